@@ -2,6 +2,6 @@
 
 from importlib import import_module
 
-MODULES = ("prices",)
+MODULES = ("prices", "tree", "norms")
 for _module in MODULES:
     import_module(f"costbook.plans.{_module}")

@@ -168,6 +168,7 @@ class Tables:
         text = VIEWS[name].replace("{explode}", "explode")
         inner = [n for n in (*BASE_TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", text)]
         # spark.sql binds each DataFrame argument by name for this one statement
+        text = text.replace("{", "{{").replace("}", "}}")
         for n in inner:
             text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", text)
         return self.spark.sql(text, **{n: getattr(self, n) for n in inner})

@@ -1,4 +1,4 @@
-"""python tests/check.py [folder] [name part ...]: compares registered queries with their SQL."""
+"""python tests/check.py [folder] [name start or @module ...]: compares registered queries with their SQL."""
 
 import sys
 import time
@@ -19,7 +19,8 @@ if __name__ == "__main__":
     con = o.connect(folder)
     bad = []
     for name, query in REGISTRY.items():
-        if parts and not any(name.startswith(p) for p in parts):
+        module = query.run.__module__.rsplit(".", 1)[-1]
+        if parts and not any(name.startswith(p) or p == f"@{module}" for p in parts):
             continue
         start = time.time()
         try:
