@@ -19,7 +19,7 @@ def chains(chapters: DataFrame, carried: tuple[str, ...] = (), node: str = "chap
     first repeated node; a chain longer than 2**doublings fails the job instead of being cut.
     """
     self_ = F.struct(F.col(node).alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in carried])
-    above = F.when((F.col(parent) != 0) & (F.col(parent) != F.col(node)), F.col(parent))
+    above = F.when((F.col(parent).cast("string") != "0") & (F.col(parent) != F.col(node)), F.col(parent))
     current = chapters.select(F.col(node).alias("node"), above.alias("up"), F.array(self_).alias("path"))
     for _ in range(doublings):
         higher = current.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("more"))

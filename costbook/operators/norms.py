@@ -223,10 +223,10 @@ def mix_lines(items: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def mix_rates(lines: DataFrame) -> DataFrame:
-    """Rate of every mix, split by the unit of its lines."""
-    amount = F.coalesce("amount", F.lit(0.0)) * F.col("unit_price")
+    """Rate of every mix, split by the unit of its lines; exact decimals, as sums may end on half a cent."""
+    amount = F.coalesce("amount", F.lit(0.0)).cast("decimal(12,4)") * F.col("unit_price").cast("decimal(20,8)")
     kind = F.when(F.col("cost_item_unit") == "工日", "labour").when(F.col("cost_item_unit") == "台班", "mech").otherwise("materials")
-    total = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2)
+    total = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0)), 2).cast("double")
     return lines.filter(F.coalesce("norms_code", F.lit("")) != "").groupBy("table_id", "norms_code").agg(
         total(amount).alias("rate"), *[total(F.when(kind == k, amount)).alias(k) for k in L.RATE_CLASSES])
 

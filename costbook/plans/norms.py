@@ -392,10 +392,11 @@ def _(t):
     return mix(t).select("table_id", "norms_code", "id", "sort_order", "cost_item", "unit_price")
 
 
-RATES = """SELECT table_id, norms_code, round(coalesce(sum(coalesce(amount, 0) * unit_price), 0), 2) AS rate,
- round(coalesce(sum(CASE WHEN cost_item_unit = '工日' THEN coalesce(amount, 0) * unit_price END), 0), 2) AS labour,
- round(coalesce(sum(CASE WHEN cost_item_unit IS NULL OR cost_item_unit NOT IN ('工日', '台班') THEN coalesce(amount, 0) * unit_price END), 0), 2) AS materials,
- round(coalesce(sum(CASE WHEN cost_item_unit = '台班' THEN coalesce(amount, 0) * unit_price END), 0), 2) AS mech FROM mix GROUP BY 1, 2"""
+WORTH = "CAST(coalesce(amount, 0) AS DECIMAL(12,4)) * CAST(unit_price AS DECIMAL(20,8))"
+RATES = f"""SELECT table_id, norms_code, CAST(round(coalesce(sum({WORTH}), 0), 2) AS DOUBLE) AS rate,
+ CAST(round(coalesce(sum(CASE WHEN cost_item_unit = '工日' THEN {WORTH} END), 0), 2) AS DOUBLE) AS labour,
+ CAST(round(coalesce(sum(CASE WHEN cost_item_unit IS NULL OR cost_item_unit NOT IN ('工日', '台班') THEN {WORTH} END), 0), 2) AS DOUBLE) AS materials,
+ CAST(round(coalesce(sum(CASE WHEN cost_item_unit = '台班' THEN {WORTH} END), 0), 2) AS DOUBLE) AS mech FROM mix GROUP BY 1, 2"""
 
 
 @register("a14_mix_rate", MIX + RATES)
@@ -424,7 +425,7 @@ def _(t):
 
 
 @register("x02_mix_spec", """
-SELECT id, sort_order, table_id, coalesce(concat(attr_level2, 'mm'), '') AS size, concat('抗压', attr_level3, 'MPa') AS strength, attr_level1 AS grade FROM norms_item""")
+SELECT id, sort_order, table_id, coalesce(attr_level2 || 'mm', '') AS size, concat('抗压', attr_level3, 'MPa') AS strength, attr_level1 AS grade FROM norms_item""")
 def _(t):
     s = lambda i: X.mix_spec(F.col(f"attr{i}_label"), F.col(f"attr_level{i}"))
     return t.norms_item.select("id", "sort_order", "table_id", s(2).alias("size"), s(3).alias("strength"), s(1).alias("grade"))
