@@ -22,15 +22,15 @@ def chunk_of(position: Column, size: int = CHUNK) -> Column:
 
 def scan(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, *,
          carry: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None,
-         previous: Mapping[str, Column] | None = None) -> DataFrame:
+         previous: Mapping[str, Column] | None = None, top: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds running columns along ``order`` within ``keys``.
 
     ``chunk`` must not decrease along ``order``.  ``carry`` keeps the last non-null value up
     to and with the row, ``total`` sums up to and with the row, ``previous`` is the value of
     the row before.
     """
-    carry, total, previous = dict(carry or {}), dict(total or {}), dict(previous or {})
-    seen = {f"_v_{n}": c for n, c in {**carry, **total}.items()}
+    carry, total, previous, top = dict(carry or {}), dict(total or {}), dict(previous or {}), dict(top or {})
+    seen = {f"_v_{n}": c for n, c in {**carry, **total, **top}.items()}
     seen |= {f"_v_{n}": F.struct(c.alias("v")) for n, c in previous.items()}
     at = F.struct(*[_plain(c).alias(f"o{i}") for i, c in enumerate(order)])
     rows = df.select("*", chunk.alias("_chunk"), *[c.alias(n) for n, c in seen.items()])
@@ -41,6 +41,7 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, *,
         "*",
         *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in carry],
         *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in total],
+        *[F.max(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in top],
         *[F.last(f"_v_{n}").over(before).alias(f"_l_{n}") for n in previous])
     end = {n: F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col("_at"))) for n in (*carry, *previous)}
     if _descends(order):
@@ -50,12 +51,13 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, *,
         ranked = rows.withColumn("_at", at)
     ends = ranked.groupBy(*keys, "_chunk").agg(
         *[c.alias(f"_e_{n}") for n, c in end.items()], *[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in total],
-        F.count(F.lit(1)).alias("_rows"))
+        *[F.max(f"_v_{n}").alias(f"_e_{n}") for n in top], F.count(F.lit(1)).alias("_rows"))
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *keys, "_chunk",
         *[F.last(f"_e_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in (*carry, *previous)],
-        *[F.sum(f"_e_{n}").over(across).alias(f"_c_{n}") for n in total])
+        *[F.sum(f"_e_{n}").over(across).alias(f"_c_{n}") for n in total],
+        *[F.max(f"_e_{n}").over(across).alias(f"_c_{n}") for n in top])
     joined = inside.alias("i").join(
         carried.alias("c"), [F.col(f"i.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_chunk")], "left")
     own = [F.col(f"i.{c}") for c in df.columns]
@@ -63,6 +65,8 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, *,
         *own,
         *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in carry],
         *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in total],
+        # greatest skips nulls
+        *[F.greatest(f"_l_{n}", f"_c_{n}").alias(n) for n in top],
         *[F.coalesce(f"_l_{n}", f"_c_{n}")["v"].alias(n) for n in previous])
 
 
