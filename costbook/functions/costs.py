@@ -75,7 +75,7 @@ def clean_cost_item(name: Column) -> Column:
         out = F.replace(out, F.lit(wrong), F.lit(right))
     out = F.regexp_replace(F.regexp_replace(out, r"^\d+\s*", ""), r"^(台班|艘班|工日)\s+", "")
     for wrong, right in WHOLE_FIXES.items():
-        out = F.when(out == wrong, F.lit(right)).otherwise(out)
+        out = F.regexp_replace(out, f"^{wrong}$", right)
     letters = F.length(F.regexp_replace(out, r"[\d\s./—\-(),;:+]+", ""))
     merged = out.rlike(r"\d{3,}") & (letters < 3)
     return F.when(noise | out.isin(*DANGLING) | merged, F.lit("")).otherwise(F.trim(out))

@@ -18,6 +18,11 @@ AMOUNT_UNITS = ("瘦班", "艘班", "台班", "工日", "kg", "元", "m3")
 RULE_ROW = r"^\|[\s\-:|]+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cells_of(line: Column) -> Column:
     """Trimmed cells between the first and the last bar of a row."""
     parts = F.split(line, r"\|")
@@ -26,6 +31,10 @@ def cells_of(line: Column) -> Column:
 
 def align(cells: Column, headers: Column) -> Column:
     """Cells brought to the width of the header: extra ones cut, missing ones filled before the cost item."""
+    return let(F.struct(cells.alias("c"), headers.alias("h")), lambda v: _aligned(v["c"], v["h"]))
+
+
+def _aligned(cells: Column, headers: Column) -> Column:
     n, h = F.size(cells), F.size(headers)
     blank = lambda k: F.array_repeat(F.lit(""), F.greatest(k, F.lit(0)))
     attrs = F.greatest(n - 6, F.lit(0))
@@ -76,26 +85,29 @@ def table_rows(pages: DataFrame) -> DataFrame:
         headers.alias("headers"), align(cells, headers).alias("cells"))
 
 
-def _cell(name: str) -> Column:
-    at = F.array_position("headers", name).cast("int")
-    return F.when(at > 0, F.try_element_at("cells", at))
-
-
 def norm_items(rows: DataFrame) -> DataFrame:
     """Table rows as norm items with up to four attributes; rows without a cost item drop out."""
-    pairs = F.filter(F.arrays_zip(F.col("headers").alias("label"), F.col("cells").alias("value")), lambda p: ~p["label"].isin(*STANDARD) & p["label"].isNotNull())
-    attr = lambda i, f: F.coalesce(F.try_element_at("attrs", F.lit(i))[f], F.lit(""))
-    item, unit, raw = clean_cost_item(_cell("费用项目")), F.coalesce(_cell("单位"), F.lit("")), _cell("数量")
+    def picked(v: Column) -> Column:
+        at = lambda name: F.array_position(v["h"], name).cast("int")
+        cell = lambda name: F.when(at(name) > 0, F.try_element_at(v["c"], at(name)))
+        pairs = F.filter(F.zip_with(v["h"], v["c"], lambda h, c: F.struct(h.alias("label"), c.alias("value"))),
+                         lambda p: p["label"].isNotNull() & ~p["label"].isin(*STANDARD))
+        return F.struct(cell("定额编号").alias("code"), cell("费用项目").alias("item"), F.coalesce(cell("单位"), F.lit("")).alias("unit"),
+                        cell("数量").alias("raw"), pairs.alias("attrs"))
+
+    fields = rows.select("page", "table_no", "row_pos", let(F.struct(F.col("headers").alias("h"), F.col("cells").alias("c")), picked).alias("f"))
+    cleaned = fields.select("page", "table_no", "row_pos", "f", let(F.col("f.item"), lambda n: clean_cost_item(n)).alias("cost_item")).filter(
+        F.coalesce("cost_item", F.lit("")) != "")
+    attr = lambda i, name: F.coalesce(F.try_element_at(F.col("f.attrs"), F.lit(i))[name], F.lit(""))
+    raw, unit = F.col("f.raw"), F.col("f.unit")
     amount = clean_amount(raw)
-    unit_in_amount = F.trim(raw).isin(*AMOUNT_UNITS)
-    named = rows.withColumn("attrs", pairs).withColumn("cost_item", item).filter(F.coalesce("cost_item", F.lit("")) != "")
-    moved = F.when((unit == "") & unit_in_amount, F.replace(F.trim(raw), F.lit("瘦"), F.lit("艘"))).otherwise(unit)
+    moved = F.when((unit == "") & F.trim(raw).isin(*AMOUNT_UNITS), F.replace(F.trim(raw), F.lit("瘦"), F.lit("艘"))).otherwise(unit)
     tail = r"\s+(kg|元|m3|工日|台班|艘班|套|个|把|根|t|m2|m)$"
-    return named.select(
-        "page", "table_no", "row_pos", F.coalesce(F.trim(_cell("定额编号")), F.lit("")).alias("norms_code"),
+    return cleaned.select(
+        "page", "table_no", "row_pos", F.coalesce(F.trim("f.code"), F.lit("")).alias("norms_code"),
         *[attr(i, "value").alias(f"attr_level{i}") for i in range(1, 5)], *[attr(i, "label").alias(f"attr{i}_label") for i in range(1, 5)],
         F.regexp_replace(F.regexp_replace("cost_item", tail, ""), r"^[tT]\s*", "").alias("cost_item"),
-        F.when(moved == "", infer_unit(F.col("cost_item"))).otherwise(moved).alias("cost_item_unit"),
+        F.when(moved == "", let(F.col("cost_item"), lambda n: infer_unit(n))).otherwise(moved).alias("cost_item_unit"),
         amount["value"].alias("amount"), amount["quality"].alias("data_quality"))
 
 

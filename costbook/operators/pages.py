@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from costbook.functions.names import ATTRIBUTE_NAME, row_fields, split_fused
 from costbook.functions.numbers import bbox_iou
 from costbook.operators.ordered import chunk_of, gap_groups, scan
+from costbook.session import settle
 
 PAGE_KEYS = ["doc", "page"]
 
@@ -81,18 +82,36 @@ def rows_by_anchor(lines: DataFrame, keys: list[str], tolerance: float, rule: st
     return lines.join(placed, [*keys, "y"])
 
 
+def value_groups(df: DataFrame, keys: list[str], value: str, tolerance: float, name: str) -> DataFrame:
+    """One-dimensional clusters of a page coordinate: a new one where the step between values exceeds the tolerance.
+
+    Runs over the distinct values of a page, bounded by its size and print resolution.
+    """
+    w = Window.partitionBy(*keys).orderBy(value)
+    distinct = df.select(*keys, value).distinct()
+    step = F.col(value) - F.lag(value).over(w)
+    marked = distinct.withColumn("_start", F.when(step <= tolerance, 0).otherwise(1))
+    placed = marked.withColumn(name, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_start")
+    return df.join(placed, [*keys, value])
+
+
+def _page_window(order: str, keys: list[str] = PAGE_KEYS) -> Window:
+    # printed rows of one page, bounded by its height
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 # ---- columns ------------------------------------------------------------------------------
 
-def cluster_centres(values: DataFrame, keys: list[str], value: str, tolerance: float, chunk: int = 1024) -> DataFrame:
+def cluster_centres(values: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """One-dimensional clusters with their mean."""
-    grouped = gap_groups(values, keys, F.col(value), F.col(value), tolerance, chunk_of(F.col(value), chunk))
+    grouped = value_groups(values, keys, value, tolerance, "group_no")
     return grouped.groupBy(*keys, "group_no").agg(F.avg(value).alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
 def code_columns(lines: DataFrame, y_max: float = 250, tolerance: float = 15) -> DataFrame:
     """Code columns of every page: cells in the header band, clustered by x, their most common code, borders half way."""
     cells = lines.filter(F.col("text").rlike(CODE) & (F.col("y") < y_max))
-    placed = gap_groups(cells, PAGE_KEYS, F.col("x"), F.col("line_no"), tolerance, chunk_of(F.col("x"), 1024), "col")
+    placed = value_groups(cells, PAGE_KEYS, "x", tolerance, "col")
     counted = placed.groupBy(*PAGE_KEYS, "col", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum((F.col("x") + F.col("x2")) / 2).alias("sc"))
     columns = counted.groupBy(*PAGE_KEYS, "col").agg(
         F.max_by("text", F.struct("n", -F.col("text").cast("long"))).alias("code"), (F.sum("sx") / F.sum("n")).alias("x"),
@@ -284,33 +303,26 @@ def table_regions(rows: DataFrame) -> DataFrame:
     number = t.rlike(r"^[-–—·]\s*\d+\s*[-–—·]?\s*$") | (((F.col("x") < 60) | (F.col("x") > 500)) & t.rlike(r"^\d{1,3}$"))
     stop = single & ~title & (t.startswith("注") | number | ((F.length("text") >= 20) & ~F.col("text").contains("表")))
     paragraph = single & (F.length("text") > 30)
-    order, chunk = [F.col("row_no")], chunk_of(F.col("row_no"))
-    down = scan(rows, PAGE_KEYS, order, chunk, carry={"_down": F.when(title, 1).when(stop, 0)})
-    # the same scan upwards: row numbers negated
-    up = scan(down.withColumn("_neg", -F.col("row_no")), PAGE_KEYS, [F.col("_neg")], chunk_of(F.col("_neg")),
-              carry={"_up": F.when(title, 1).when(paragraph, 0)})
-    marked = up.withColumn("_marked", (F.coalesce("_down", F.lit(0)) == 1) | (F.coalesce("_up", F.lit(0)) == 1))
+    down, up = _page_window("row_no"), Window.partitionBy(*PAGE_KEYS).orderBy(F.col("row_no").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = Window.partitionBy(*PAGE_KEYS).orderBy("row_no")
+    last = lambda c, w: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) == 1
+    marked = rows.withColumn("_marked", last(F.when(title, 1).when(stop, 0), down) | last(F.when(title, 1).when(paragraph, 0), up))
     multi = F.col("cells") >= 2
-    runs = scan(marked.withColumn("_multi", multi), PAGE_KEYS, order, chunk, previous={"_was": F.col("_multi")})
-    run = F.when(F.col("_multi") & ~F.coalesce("_was", F.lit(False)), 1).otherwise(0)
-    numbered_runs = scan(runs.withColumn("_begin", run), PAGE_KEYS, order, chunk, total={"_run": F.col("_begin")})
-    spans = numbered_runs.filter("_multi").groupBy(*PAGE_KEYS, "_run").agg(
-        F.min(F.when(~F.col("_marked"), F.col("row_no"))).alias("_from"), F.max("row_no").alias("_to"))
-    joined = numbered_runs.join(spans, [*PAGE_KEYS, "_run"], "left")
-    fallback = F.col("_multi") & (F.col("row_no") >= F.col("_from")) & (F.col("_to") - F.col("_from") >= 3)
-    tables = joined.withColumn("is_table", F.col("_marked") | F.coalesce(fallback, F.lit(False)))
-    seen = scan(tables, PAGE_KEYS, order, chunk, previous={"_prev": F.col("is_table")})
-    change = F.when(F.coalesce(F.col("_prev") != F.col("is_table"), F.lit(True)), 1).otherwise(0)
-    return scan(seen.withColumn("_change", change), PAGE_KEYS, order, chunk, total={"segment": F.col("_change")}).select(
-        *PAGE_KEYS, "row_no", "is_table", "segment")
+    begin = F.when(multi & ~F.coalesce(F.lag(multi).over(near), F.lit(False)), 1).otherwise(0)
+    runs = marked.withColumn("_multi", multi).withColumn("_begin", begin).withColumn("_run", F.sum("_begin").over(down))
+    whole = Window.partitionBy(*PAGE_KEYS, "_run", "_multi")
+    first, end = F.min(F.when(~F.col("_marked"), F.col("row_no"))).over(whole), F.max("row_no").over(whole)
+    fallback = F.coalesce(F.col("_multi") & (F.col("row_no") >= first) & (end - first >= 3), F.lit(False))
+    tables = runs.withColumn("is_table", F.col("_marked") | fallback)
+    change = F.when(F.coalesce(F.lag("is_table").over(near) == F.col("is_table"), F.lit(False)), 0).otherwise(1)
+    return tables.withColumn("_change", change).select(*PAGE_KEYS, "row_no", "is_table", F.sum("_change").over(down).alias("segment"))
 
 
 def merge_orphans(rows: DataFrame, keys: list[str], is_orphan: Column) -> DataFrame:
-    """Group number of rows in which an orphan row joins the row above; the first row always opens a group."""
-    order, chunk = [F.col("row_no")], chunk_of(F.col("row_no"))
-    seen = scan(rows, keys, order, chunk, previous={"_any": F.lit(1)})
-    start = F.when(is_orphan & F.col("_any").isNotNull(), 0).otherwise(1)
-    return scan(seen.withColumn("_start", start), keys, order, chunk, total={"group_no": F.col("_start")}).drop("_any", "_start")
+    """Group number of printed rows in which an orphan row joins the row above; the first row always opens a group."""
+    first = F.lag(F.lit(1)).over(Window.partitionBy(*keys).orderBy("row_no")).isNull()
+    marked = rows.withColumn("_start", F.when(is_orphan & ~first, 0).otherwise(1))
+    return marked.withColumn("group_no", F.sum("_start").over(_page_window("row_no", keys))).drop("_start")
 
 
 def drop_repeated_headers(lines: DataFrame, keys: list[str], order: str, is_header: Column) -> DataFrame:
@@ -323,11 +335,10 @@ def drop_repeated_headers(lines: DataFrame, keys: list[str], order: str, is_head
 def paragraph_text(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Lines of text from placed blocks (row_no): a wide gap gives two blanks, a narrow one a blank, none joins."""
     order = [F.col("x"), F.col("line_no")]
-    seen = scan(blocks, [*keys, "row_no"], order, chunk_of(F.col("x"), 1024), previous={"_end": F.col("x2")})
-    gap = F.col("x") - F.col("_end")
-    lead = F.when(F.col("_end").isNull() | (gap <= 0), "").when(gap > 20, "  ").otherwise(" ")
-    pieces = seen.withColumn("piece", F.concat(lead, "text"))
     # one printed line at a time
+    gap = F.col("x") - F.lag("x2").over(Window.partitionBy(*keys, "row_no").orderBy(*order))
+    lead = F.when(gap.isNull() | (gap <= 0), "").when(gap > 20, "  ").otherwise(" ")
+    pieces = blocks.withColumn("piece", F.concat(lead, "text"))
     joined = pieces.groupBy(*keys, "row_no").agg(F.array_sort(F.collect_list(F.struct("x", "line_no", "piece"))).alias("p"))
     text = F.trim(F.array_join(F.transform("p", lambda v: v["piece"]), ""))
     return joined.select(*keys, "row_no", text.alias("text")).filter((F.length("text") > 1) & ~F.col("text").rlike(r"^\d+$"))
@@ -370,7 +381,8 @@ def header_attributes(lines: DataFrame, columns: DataFrame, zones: DataFrame) ->
     plain = ~F.col("named") & ~F.col("implicit") & (t.rlike(r"^[\d.]+$") | (F.length(t) <= 8))
     levels = frags.groupBy(*PAGE_KEYS, "level").agg(_any(F.col("implicit")).alias("i"), _any(F.col("named")).alias("n"), _any(plain).alias("v"))
     kinds = levels.select(*PAGE_KEYS, "level", F.when(F.col("i"), "implicit").when(F.col("n"), "names").when(F.col("v"), "values").otherwise("other").alias("kind"))
-    placed = nearest_column(frags.join(kinds, [*PAGE_KEYS, "level"]), columns, F.col("at"), 80)
+    placed = settle(nearest_column(frags.join(kinds, [*PAGE_KEYS, "level"]), columns, F.col("at"), 80))
+    kinds = placed.select(*PAGE_KEYS, "level", "kind").distinct()
     split = split_fused(t)
     fused = placed.filter((F.col("kind") == "names") & split["name"].isNotNull()).select(*PAGE_KEYS, split["name"].alias("name"), split["value"].alias("value"), F.col("level").alias("ord"))
     fused_all = fused.groupBy(*PAGE_KEYS, "name").agg(F.max_by("value", "ord").alias("value")).join(columns.select(*PAGE_KEYS, "col", "code"), PAGE_KEYS)
@@ -402,7 +414,7 @@ def table_records(lines: DataFrame, columns: DataFrame, zones: DataFrame) -> Dat
     """One record per data row and code column: code, item, unit, resource code and amount as text."""
     t = F.col("text")
     data = lines.join(zones, PAGE_KEYS).filter((F.col("y") >= F.col("data_y") - 3) & not_noise(t) & ~t.rlike(NOTE) & (t != "-"))
-    placed = data.withColumn("row_no", bucket(F.col("y"), 5)).withColumn("at", (F.col("x") + F.col("x2")) / 2)
+    placed = settle(data.withColumn("row_no", bucket(F.col("y"), 5)).withColumn("at", (F.col("x") + F.col("x2")) / 2))
     left = placed.filter(F.col("x") < F.col("left_boundary"))
     # parts of one printed row
     heads = left.groupBy(*PAGE_KEYS, "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "line_no", "text"))), lambda p: p["text"]), " ").alias("left_text"))
@@ -485,6 +497,6 @@ def split_grid(cells: DataFrame, least_rows: int = 3) -> DataFrame:
     """Grid rows cut into tables at ordinal headings; pieces of fewer rows than ``least_rows`` drop out."""
     rows = cells.groupBy(*PAGE_KEYS, "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "text"))), lambda c: c["text"]), " ").alias("text"))
     heading = F.when(F.col("text").rlike("^[二三四五六七八九十]、") & (F.col("row_no") > 0), 1).otherwise(0)
-    pieces = scan(rows.withColumn("_h", heading), PAGE_KEYS, [F.col("row_no")], chunk_of(F.col("row_no")), total={"piece": F.col("_h")})
+    pieces = rows.withColumn("_h", heading).withColumn("piece", F.sum("_h").over(_page_window("row_no")))
     sizes = pieces.groupBy(*PAGE_KEYS, "piece").agg((F.max("row_no") - F.min("row_no") + 1).alias("rows")).filter(F.col("rows") >= least_rows)
     return pieces.join(sizes, [*PAGE_KEYS, "piece"]).select(*PAGE_KEYS, "piece", "row_no", "text")

@@ -10,6 +10,7 @@ from costbook.operators import pages as P
 from costbook.operators.ordered import chunk_of, gap_groups
 from costbook.plans.registry import register
 from costbook.plans.scalars import ITEMS, pick
+from costbook.session import settle
 from costbook.sources import pages as S
 from costbook.sources.bindings import define_derived, define_view
 
@@ -85,10 +86,11 @@ GAPS = """SELECT *, sum(CASE WHEN y - b > {tol} OR b IS NULL THEN 1 ELSE 0 END)
   SELECT *, lag(y) OVER (PARTITION BY {keys} ORDER BY y, {tie}) AS b FROM {source})"""
 
 
-@register("w11_gap_clusters", "SELECT page, CAST(g AS BIGINT) AS group_no, round(avg(y), 4) AS centre, count(*) AS n FROM (" + GAPS.format(tol=2, keys="page", tie="y", source="page_line") + ") GROUP BY 1, 2")
+@register("w11_gap_clusters", "SELECT page, CAST(g AS BIGINT) AS group_no, round(avg(y), 8) AS centre, count(*) AS n FROM (" + GAPS.format(tol=2, keys="page", tie="y", source="page_line") + ") GROUP BY 1, 2")
 def _(t):
-    groups = P.cluster_centres(t.page_line, ["page"], "y", 2.0)
-    return groups.select("page", F.col("group_no").cast("long").alias("group_no"), F.round("centre", 4).alias("centre"), "n")
+    placed = gap_groups(t.page_line, ["page"], F.col("y"), F.col("line_id"), 2.0, chunk_of(F.col("y"), 1024))
+    groups = placed.groupBy("page", "group_no").agg(F.avg("y").alias("centre"), F.count(F.lit(1)).alias("n"))
+    return groups.select("page", F.col("group_no").cast("long").alias("group_no"), F.round("centre", 8).alias("centre"), "n")
 
 
 @register("w12_rows_by_gap", "SELECT page, line_id, CAST(g AS BIGINT) AS row_no FROM (" + GAPS.format(tol=1.5, keys="page", tie="line_id", source="page_line") + ")")
@@ -223,9 +225,9 @@ def _(t):
 
 @register("j32_as_of_contents", """
 WITH p AS (SELECT o_orderstatus AS doc, o_orderkey * 2 AS page FROM orders WHERE o_orderkey * 2 < (SELECT max(o_orderkey) FROM orders)),
-e AS (SELECT doc, start AS at, 0 AS side, CAST(NULL AS BIGINT) AS page, ord, level, title FROM toc_tree UNION ALL SELECT doc, page, 1, page, NULL, NULL, NULL FROM p),
+e AS (SELECT doc, start AS pos, 0 AS side, CAST(NULL AS BIGINT) AS page, ord, level, title FROM toc_tree UNION ALL SELECT doc, page, 1, page, NULL, NULL, NULL FROM p),
 r AS (SELECT *, max(CASE WHEN level = 1 THEN {'o': ord, 't': title} END) OVER w AS c, max(CASE WHEN level = 2 THEN {'o': ord, 't': title} END) OVER w AS s, max(CASE WHEN level = 3 THEN {'o': ord, 't': title} END) OVER w AS b
-  FROM e WINDOW w AS (PARTITION BY doc ORDER BY at, side, coalesce(ord, page)))
+  FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos, side, coalesce(ord, page)))
 SELECT doc, page, coalesce(c.t, '') AS chapter, coalesce(s.t, '') AS section, coalesce(b.t, '') AS subsection FROM r WHERE side = 1""")
 def _(t):
     last = t.orders.agg(F.max("o_orderkey").alias("last"))
@@ -307,8 +309,8 @@ def _(t):
 
 
 def parts(t):
-    cols = columns(t)
-    return cols, P.table_zones(t.book_line, cols)
+    cols = settle(columns(t))
+    return cols, settle(P.table_zones(t.book_line, cols))
 
 
 @register("d05_header_attributes")
