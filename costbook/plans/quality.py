@@ -99,7 +99,7 @@ def _(t):
 
 
 define_view("md_code", """
-SELECT l_suppkey AS page, CAST(l_partkey * 3 AS STRING) AS code, CASE WHEN l_linenumber = 1 THEN '基价' ELSE '人工' END AS cost_item FROM lineitem""")
+SELECT l_suppkey AS page, CAST(l_suppkey * 10000 + l_partkey % 701 AS STRING) AS code, CASE WHEN l_linenumber = 1 THEN '基价' ELSE '人工' END AS cost_item FROM lineitem""")
 define_view("md_front", """
 SELECT s_suppkey AS page, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS chapter, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 's' END AS section, CASE WHEN s_suppkey % 5 = 0 THEN 'toc' ELSE 'norms_table' END AS type,
        s_suppkey * 7 % 100 AS continued_from FROM supplier UNION ALL SELECT s_suppkey + 1000000000, 'c', 's', 'norms_table', 0 FROM supplier""")

@@ -206,7 +206,7 @@ def _(t):
         "res_ID", "name", "refs", "quote_ID", "score", "same_unit", "rank", "total", "truncated")
 
 
-define_view("leaf", f"""
+define_view("existing_leaf", f"""
 SELECT chap_ID AS leaf_ID, CAST(chap_PID AS BIGINT) AS domain, concat({pick(TITLES, 'chap_ID')}, ' ', substr(chap_code, 7)) AS leaf_name FROM chapter WHERE chap_PID >= 100 AND chap_ID % 3 = 0""")
 define_view("new_norm", f"""
 SELECT o_orderkey AS norm_ID, CAST(100 + c_nationkey AS BIGINT) AS domain, concat({pick(TITLES, 'o_orderkey')}, ' ', o_orderstatus) AS norm_Name,
@@ -219,24 +219,24 @@ FROM chapter WHERE chap_PID >= 100 AND chap_ID % 3 = 1""")
 
 @register("j22_best_leaf")
 def _(t):
-    return M.match_leaves(t.new_norm.select("norm_ID", "domain", "norm_Name"), t.leaf, t.held_norm)
+    return M.match_leaves(t.new_norm.select("norm_ID", "domain", "norm_Name"), t.existing_leaf, t.held_norm)
 
 
 @register("j23_best_leaf_with_parent")
 def _(t):
-    return M.match_leaves_with_parent(t.new_norm, t.leaf, t.held_norm)
+    return M.match_leaves_with_parent(t.new_norm, t.existing_leaf, t.held_norm)
 
 
 @register("j24_semantic_chapter_match")
 def _(t):
-    return M.match_chapters(t.new_chapter, t.leaf)
+    return M.match_chapters(t.new_chapter, t.existing_leaf)
 
 
 @register("a30_match_quality")
 def _(t):
-    return M.quality_histogram(M.match_chapters(t.new_chapter, t.leaf))
+    return M.quality_histogram(M.match_chapters(t.new_chapter, t.existing_leaf))
 
 
 @register("q10_misassignment_audit")
 def _(t):
-    return M.misassigned(M.match_chapters(t.new_chapter, t.leaf), t.leaf)
+    return M.misassigned(M.match_chapters(t.new_chapter, t.existing_leaf), t.existing_leaf)
