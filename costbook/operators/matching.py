@@ -6,7 +6,7 @@ and the results joined back; pairs meet through an index of shared characters or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costbook.functions import names as A
@@ -20,9 +20,9 @@ MIN_SCORE = 0.34
 def _index(side: DataFrame, key: list[str], rarity: DataFrame, spared: int) -> DataFrame:
     """Every text with its tokens from rare to common, the ``spared`` most common ones left out."""
     ranked = side.select(*key, F.explode("tokens").alias("token")).join(rarity, "token")
-    listed = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
-    order = F.transform("r", lambda x: x["token"])
-    return listed.select(*key, F.slice(order, F.lit(1), F.greatest(F.size("r") - spared, F.lit(0))).alias("index"))
+    listed = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_count", "token"))).alias("_ranked"))
+    order = F.transform("_ranked", lambda x: x["token"])
+    return listed.select(*key, F.slice(order, F.lit(1), F.greatest(F.size("_ranked") - spared, F.lit(0))).alias("index"))
 
 
 def token_pairs(left: DataFrame, right: DataFrame, l_key: list[str], r_key: list[str], by: list[str], shared: int = 1) -> DataFrame:
@@ -34,7 +34,7 @@ def token_pairs(left: DataFrame, right: DataFrame, l_key: list[str], r_key: list
     """
     every = left.select(F.explode("tokens").alias("token")).unionByName(right.select(F.explode("tokens").alias("token")))
     # one row per token of the alphabet
-    rarity = every.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarity = every.groupBy("token").agg(F.count(F.lit(1)).alias("_count"))
     spared = shared - 1
     a = _index(left, [*by, *l_key], rarity, spared).withColumnRenamed("index", "l_index")
     b = _index(right, [*by, *r_key], rarity, spared).withColumnRenamed("index", "r_index")
@@ -45,10 +45,10 @@ def token_pairs(left: DataFrame, right: DataFrame, l_key: list[str], r_key: list
 
 def quote_pairs(targets: DataFrame, quotes: DataFrame) -> DataFrame:
     """Distinct text pairs with two characters in common and their prefilter score."""
-    side = lambda df, c: df.select(c).distinct().withColumn("tokens", S.norm_chars(F.col(c)))
-    pairs = token_pairs(side(targets, "t_text"), side(quotes, "q_text"), ["t_text"], ["q_text"], [], shared=2)
-    rough = S.prefilter(S.norm_chars(F.col("t_text")), S.norm_chars(F.col("q_text")))
-    return pairs.withColumn("rough", rough).filter(F.col("rough") > 0)
+    side = lambda df, text, chars: df.select(text).distinct().withColumn(chars, S.norm_chars(F.col(text))).withColumn("tokens", F.col(chars))
+    pairs = token_pairs(side(targets, "t_text", "t_chars"), side(quotes, "q_text", "q_chars"), ["t_text", "t_chars"], ["q_text", "q_chars"], [], shared=2)
+    rough = S.prefilter(F.col("t_chars"), F.col("q_chars"))
+    return pairs.select("t_text", "q_text", rough.alias("rough")).filter(F.col("rough") > 0)
 
 
 def match_gaps(gaps: DataFrame, quotes: DataFrame, n: int = 6, rough: int = ROUGH, min_score: float = MIN_SCORE) -> DataFrame:
@@ -60,35 +60,51 @@ def match_gaps(gaps: DataFrame, quotes: DataFrame, n: int = 6, rough: int = ROUG
     g = gaps.select("res_ID", squeeze("name").alias("t_text"), F.trim(F.coalesce("unit", F.lit(""))).alias("t_unit"))
     q = quotes.select("quote_ID", squeeze("name").alias("q_text"), F.trim(F.coalesce("unit", F.lit(""))).alias("q_unit"))
     pairs = quote_pairs(g, q)
+    # the rough best quotes come from the texts that lead by score, then by their lowest quote id
+    texts = q.groupBy("q_text").agg(F.min("quote_ID").alias("lowest"), F.count(F.lit(1)).alias("quotes"))
+    leading = top_per_key(pairs.join(texts, "q_text"), ["t_text"], [F.col("rough").desc(), F.col("lowest")], rough, "_p")
+    # of these at most ``rough`` texts, those behind enough better-scored quotes add none
+    better = Window.partitionBy("t_text").orderBy(F.col("rough").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = Window.partitionBy("t_text", "rough")
+    needed = leading.withColumn("_ahead", F.sum("quotes").over(better) - F.sum("quotes").over(tied)).filter(F.col("_ahead") < rough)
+    rated = needed.select("t_text", "q_text", "rough", S.sequence_ratio(F.col("t_text"), F.col("q_text")).alias("ratio"))
     # a text's first quotes are all its ranking can use, so hot texts stay bounded
     first = top_per_key(q, ["q_text"], [F.col("quote_ID")], rough, "_q")
-    offers = top_per_key(pairs.join(first, "q_text"), ["t_text"], [F.col("rough").desc(), F.col("quote_ID")], rough, "_r")
-    rated = offers.withColumn("ratio", S.sequence_ratio(F.col("t_text"), F.col("q_text")))
+    offers = top_per_key(rated.join(first, "q_text"), ["t_text"], [F.col("rough").desc(), F.col("quote_ID")], rough, "_r")
     same = (F.col("t_unit") != "") & (F.col("t_unit") == F.col("q_unit"))
     score = F.round(F.least(F.lit(1.0), F.col("ratio") + F.when(same, S.UNIT_BONUS).otherwise(0.0)), 3)
     units = g.select("t_text", "t_unit").distinct()
-    scored = rated.join(units, "t_text").select("t_text", "t_unit", "quote_ID", "rough", score.alias("score"), same.alias("same_unit")).filter(
+    scored = offers.join(units, "t_text").select("t_text", "t_unit", "quote_ID", "rough", score.alias("score"), same.alias("same_unit")).filter(
         F.col("score") >= min_score)
     # ranked once per distinct text and unit, then handed to every resource of that name
     best = top_per_key(scored, ["t_text", "t_unit"], [F.col("score").desc(), F.col("same_unit").desc(), F.col("rough").desc(), F.col("quote_ID")], n)
     return g.join(best, ["t_text", "t_unit"]).select("res_ID", "quote_ID", "score", "same_unit", "rank")
 
 
+def _forms(df: DataFrame, name: str, out: str) -> DataFrame:
+    """A name's cleaned form and the form without ordinals, worked out once per name and not per pair."""
+    cleaned = df.withColumn(out, A.clean_name(F.col(name)))
+    return cleaned.withColumn(f"{out}_bare", A.strip_cn_ordinal(F.col(out)))
+
+
+def _both(out: str) -> list[str]:
+    return [out, f"{out}_bare"]
+
+
 def _score(a: str, b: str) -> Column:
-    left, right = A.clean_name(F.col(a)), A.clean_name(F.col(b))
-    return S.match_score(left, right, A.strip_cn_ordinal(left), A.strip_cn_ordinal(right))
+    return S.match_score(F.col(a), F.col(b), F.col(f"{a}_bare"), F.col(f"{b}_bare"))
 
 
 def _characters(c: str) -> Column:
-    return F.array_distinct(F.filter(F.split(A.clean_name(F.col(c)), ""), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(F.col(c), ""), lambda x: x != ""))
 
 
 def _scores(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
     """Scores above 0 of (domain, text) against (domain, target_name, leaf_ID); texts without a common character score 0."""
-    pairs = token_pairs(texts.select("domain", text).distinct().withColumn("tokens", _characters(text)),
-                        names.select("domain", "target_name", "leaf_ID").withColumn("tokens", _characters("target_name")),
-                        [text], ["target_name", "leaf_ID"], ["domain"])
-    return pairs.withColumn("score", _score(text, "target_name")).filter(F.col("score") > 0)
+    left = _forms(texts.select("domain", text).distinct(), text, "l_form").withColumn("tokens", _characters("l_form"))
+    right = _forms(names.select("domain", "target_name", "leaf_ID"), "target_name", "r_form").withColumn("tokens", _characters("r_form"))
+    pairs = token_pairs(left, right, [text, *_both("l_form")], ["leaf_ID", *_both("r_form")], ["domain"])
+    return pairs.withColumn("score", _score("l_form", "r_form")).filter(F.col("score") > 0)
 
 
 def leaf_names(leaves: DataFrame, norms: DataFrame | None = None) -> DataFrame:
@@ -166,17 +182,18 @@ def match_chapters(chapters: DataFrame, leaves: DataFrame) -> DataFrame:
     targets = leaves.groupBy("domain", "leaf_name").agg(F.min("leaf_ID").alias("leaf_ID")).withColumn(
         "target_name", A.strip_code_prefix(F.col("leaf_name"))).withColumn("leaf_cats", A.semantic_categories(F.col("leaf_name")))
     # a shared category lifts a score above 0 even where no character is shared, so it is a token too
-    l_side = texts.withColumn("tokens", F.array_union(_characters("joint"), F.col("cats")))
-    r_side = targets.withColumn("tokens", F.array_union(_characters("target_name"), F.col("leaf_cats")))
-    pairs = token_pairs(l_side, r_side, ["name", "parent_name", "cats", "joint"], ["leaf_ID", "target_name", "leaf_cats"], ["domain"])
+    formed = _forms(_forms(_forms(texts, "name", "n_form"), "parent_name", "p_form"), "joint", "j_form")
+    l_side = formed.withColumn("tokens", F.array_union(F.array_union(_characters("n_form"), _characters("j_form")), F.col("cats")))
+    r_side = _forms(targets, "target_name", "r_form").withColumn("tokens", F.array_union(_characters("r_form"), F.col("leaf_cats")))
+    pairs = token_pairs(l_side, r_side, ["name", "parent_name", "cats", *_both("n_form"), *_both("p_form"), *_both("j_form")], ["leaf_ID", "leaf_cats", *_both("r_form")], ["domain"])
     open_ = pairs.filter((F.size("cats") == 0) | (F.size("leaf_cats") == 0) | A.compatible(F.col("cats"), F.col("leaf_cats")))
     shared = F.size(F.array_intersect("cats", "leaf_cats"))
-    raw = open_.withColumn("by_name", _score("name", "target_name")).withColumn("by_parent", _score("parent_name", "target_name")).withColumn(
-        "by_joint", _score("joint", "target_name"))
+    raw = open_.withColumn("by_name", _score("n_form", "r_form")).withColumn("by_parent", _score("p_form", "r_form")).withColumn(
+        "by_joint", _score("j_form", "r_form"))
     lifted = F.when(shared > 0, F.least(F.col("by_name") + 0.15 * shared, F.lit(1.0))).otherwise(F.col("by_name"))
     of_parent = F.when(F.col("parent_name") != "", F.greatest("by_parent", "by_joint")).otherwise(0.0)
     best = _best(raw.withColumn("score", F.greatest(lifted, of_parent)).filter(F.col("score") > 0), keys)
-    retry = pairs.filter(F.size("cats") > 0).join(best, keys, "left_anti").withColumn("score", _score("name", "target_name"))
+    retry = pairs.filter(F.size("cats") > 0).join(best, keys, "left_anti").withColumn("score", _score("n_form", "r_form"))
     relaxed = _best(retry.filter(F.col("score") > 0), keys)
     return _placed(named, best.unionByName(relaxed), keys, leaves).select("chap_ID", "name", "domain", "leaf_ID", "score")
 
