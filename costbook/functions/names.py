@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from costbook.functions.text import ORDINALS
+from costbook.functions.text import ORDINALS, let
 
 # Patterns of bracketed tails, trailing units and leading codes.
 BRACKET_TAIL = r"[（(][^)）]*[)）]$"
@@ -71,15 +71,14 @@ def strip_chapter_prefix(text: Column) -> Column:
 
 def semantic_categories(name: Column) -> Column:
     """Categories whose keywords the cleaned name holds."""
-    n = clean_name(name)
-    return F.array_compact(F.array(*[F.when(n.rlike(words), F.lit(c)) for c, words in CATEGORIES.items()]))
+    return let(clean_name(name), lambda n: F.array_compact(F.array(*[F.when(n.rlike(words), F.lit(c)) for c, words in CATEGORIES.items()])))
 
 
 def compatible(a: Column, b: Column) -> Column:
     """Whether two category lists may match; every exclusion holds both ways."""
     has = F.array_contains
-    clash = [(has(a, x) & has(b, y)) | (has(a, y) & has(b, x)) for x, y in EXCLUSIONS]
-    return ~reduce(or_, clash)
+    clash = lambda p, q: reduce(or_, [(has(p, x) & has(q, y)) | (has(p, y) & has(q, x)) for x, y in EXCLUSIONS])
+    return ~let(F.struct(a.alias("a"), b.alias("b")), lambda v: clash(v["a"], v["b"]))
 
 
 def classify_resource(style: Column, kind: Column, name: Column) -> Column:

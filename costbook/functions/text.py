@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 ORDINALS = "一二三四五六七八九十"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

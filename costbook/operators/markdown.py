@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costbook.functions.costs import clean_cost_item, infer_unit
 from costbook.functions.numbers import clean_amount
+from costbook.functions.text import let
 from costbook.operators.ordered import chunk_of, scan
 
 # Columns every table has, and words that mark the cost-item cell of a short row.
@@ -18,11 +19,6 @@ AMOUNT_UNITS = ("瘦班", "艘班", "台班", "工日", "kg", "元", "m3")
 RULE_ROW = r"^\|[\s\-:|]+$"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def cells_of(line: Column) -> Column:
     """Trimmed cells between the first and the last bar of a row."""
     parts = F.split(line, r"\|")
