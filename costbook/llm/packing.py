@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costbook.llm.tokens import Encoder
+from costbook.llm.tokens import worker_encoder
 
 FIELDS = (("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"), ("length", pa.int64(), "long"), ("ids", pa.binary(), "binary"),
           ("doc_tokens", pa.int64(), "long"), ("sequence_id", pa.int64(), "long"), ("offset", pa.int64(), "long"), ("sequence_length", pa.int64(), "long"))
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, sl
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(zip(*rows), FIELDS)], [f[0] for f in FIELDS])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         tail = np.array([end], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId() << 33, capacity, slack, finest)
         held = 0

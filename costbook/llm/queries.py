@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costbook.llm import packing, shards
+from costbook.llm import chat, credentials, decontaminate, lines, packing, shards, topk, toxicity, urls
 from costbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,57 @@ def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op8_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
+
+
+@query
+def op2_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "removed_lines")
+
+
+SQL["op2_line_spread"] = lines.SQL
+
+
+@query
+def op3_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row")
+
+
+SQL["op3_benchmark_leaks"] = decontaminate.SQL
+
+
+RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
+
+
+@query
+def op4_url_words(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), RULES)
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return topk.top_k(asked, rows, k=20, scale=64)
+
+
+SQL["op5_exact_top_k"] = topk.SQL
+
+
+@query
+def op6_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.format_trees(chat.linear_nodes(turns), keep=1))
+
+
+SQL["op6_reply_trees"] = chat.SQL
+
+
+@query
+def op7_secret_formats(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digest(credentials.find_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op9_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costbook.llm.tokens import Encoder
+from costbook.llm.tokens import worker_encoder
 
 MANIFEST = "shard int, name string, first_key long, last_key long, has_null boolean, rows long, tokens long, width int"
 GAMMA = 2  # bits per key and level of the hash
@@ -150,7 +150,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> Da
     other columns are ignored, an empty table gives an empty manifest.  Returns the manifest.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         kind, tail = f"<u{width}", np.array([end], f"<u{width}").tobytes()
         system, folder = _files(path)

@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 # The word rule of vocabularies that drop white space and never look across it.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -18,19 +16,6 @@ PLAIN_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z
 NOT_PLAIN = re.compile("[^ -~\nÀ-ÖØ-öø-ÿ]")
 
 
-def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most_bytes`` of text each; a longer single text has a range of its own."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size > most_bytes:
-            yield start, i
-            start, held = i, 0
-        held += int(size)
-    if len(sizes) > start:
-        yield start, len(sizes)
-
-
 class Encoder:
     """Ids of texts without special tokens, equal to those of one call with each whole text.
 
@@ -97,3 +82,9 @@ class Encoder:
         except KeyError:
             self._learn(pieces)
             return b"".join(map(self.words.__getitem__, pieces))
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps its words from task to task."""
+    return Encoder(path)
