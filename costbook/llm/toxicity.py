@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from costbook.llm.hashed import joined, worker_words
 
 BITS = 20
-ALPHA, BETA, L1, L2, PASSES = 0.2, 1.0, 1.5, 1.0, 4
-MAX_ROWS = 8192
+ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 12.0, 0.01, 8
+MAX_ROWS = 16_384
 
 
 class Model(NamedTuple):
