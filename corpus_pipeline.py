@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
-from costbook.llm import packing
-from costbook.llm.queries import vocabulary
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from costbook.llm import decontaminate, lines, near, packing, toxicity
+from costbook.llm.queries import table, vocabulary
 from costbook.session import scratch_path
 
 
-def pack(spark, docs, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5; the model is learned from ``labels``."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand on ten sources or more and that another document keeps; n_chars is counted anew."""
+    out = lines.dedup_lines(docs)
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2048 token ids."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_boilerplate),
+    ("near dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 # no SQL expresses the model, the signatures or the tokenizer; tests compare each stage with a plain computation
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over the documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
     path = scratch_path(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}-{name}")
-        docs = spark.read.parquet(f"{path}/{k}-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
     return docs
