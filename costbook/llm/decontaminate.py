@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costbook.llm.rows import shingles, small, text_key, words
+from costbook.llm.rows import shingles, small, text_key, unused, words
 from costbook.session import settle
 
 BITS = 64
@@ -100,8 +100,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without those that hold a benchmark passage; columns and other rows as they are."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__row")), "left_anti")
+    id_, row = unused(docs, "id", "row")
+    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(id_), F.col("row").alias(row)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_key(docs["text"]) == F.col(row)), "left_anti")
 
 
 SQL = """

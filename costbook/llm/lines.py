@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costbook.llm.rows import text_key
+from costbook.llm.rows import text_key, unused
 from costbook.session import settle
 
 
@@ -57,20 +57,20 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", prec
     own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row") == F.col("keeper.row"))
     drops = digest.join(plain, "line").withColumn("own", own).groupBy("doc_id", "row").agg(
         F.collect_list(F.when(~F.col("own"), F.col("line"))).alias("gone"), F.collect_list(F.when(F.col("own"), F.col("line"))).alias("once"))
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"), F.col("once").alias("__once"))
-    both = docs.join(drops, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__row")), "left")
+    id_, row, gone, once, kept = unused(docs, "id", "row", "gone", "once", "kept")
+    drops = drops.select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("gone").alias(gone), F.col("once").alias(once))
+    both = docs.join(drops, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_key(docs["text"]) == F.col(row)), "left")
     parts = F.split(docs["text"], "\n")
 
     def stays(line: Column, i: Column) -> Column:
         key = _line_key(line)
         first = F.array_position(F.transform(parts, _line_key), key) == i + 1
-        return ~F.array_contains("__gone", key) & (~F.array_contains("__once", key) | first)
+        return ~F.array_contains(gone, key) & (~F.array_contains(once, key) | first)
 
-    touched = F.col("__row").isNotNull() & docs["text"].isNotNull()
-    both = both.withColumn("__kept", F.when(touched, F.filter(parts, stays)))
-    removed = F.when(F.col("__kept").isNotNull(), F.size(parts) - F.size("__kept")).otherwise(0)
-    text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(docs["text"])
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "removed_lines"]
+    both = both.withColumn(kept, F.when(F.col(row).isNotNull() & docs["text"].isNotNull(), F.filter(parts, stays)))
+    removed = F.when(F.col(kept).isNotNull(), F.size(parts) - F.size(kept)).otherwise(0)
+    text = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(docs["text"])
+    columns = [text.alias(c) if c.lower() == "text" else docs[c] for c in docs.columns if c.lower() != "removed_lines"]
     return both.select(*columns, removed.alias("removed_lines"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costbook.llm.hashed import STEP, joined, mix, worker_words
-from costbook.llm.rows import small, text_key
+from costbook.llm.rows import small, text_key, unused
 from costbook.session import settle
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -191,11 +191,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class (see ``classes``), with all its columns; of rows equal in doc_id and text any one."""
-    kept = classes(docs).where("keeper").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
-    counted = settle(kept.groupBy("__id", "__row").agg(F.count(F.lit(1)).alias("__n")))
-    out = docs.withColumn("__key", text_key("text"))
-    on = out["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
+    id_, row, n, key = unused(docs, "id", "row", "n", "key")
+    kept = classes(docs).where("keeper").groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(n))
+    kept = settle(kept)
+    out = docs.withColumn(key, text_key("text"))
+    on = out["doc_id"].eqNullSafe(F.col(id_)) & (F.col(key) == F.col(row))
     # only rows that repeat need to meet
-    once = out.join(counted.where("__n = 1"), on, "left_semi")
-    often = out.join(counted.where("__n > 1"), on, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return once.unionByName(often).drop("__key")
+    once = out.join(kept.where(F.col(n) == 1), on, "left_semi")
+    often = out.join(kept.where(F.col(n) > 1), on, "left_semi").dropDuplicates(["doc_id", key])
+    return once.unionByName(often).drop(key)
