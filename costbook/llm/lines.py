@@ -40,7 +40,8 @@ def boilerplate(digest: DataFrame, min_sites: int, precision: int) -> DataFrame:
     near = wide.where("not sure").select("line")
     exact = digest.join(near, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
     exact = exact.where(F.col("sites") >= min_sites).select("line", F.lit(True).alias("counted"))
-    return wide.join(exact, "line", "left").where("sure or counted").select("line", "keeper")
+    # written too: a join with it then has an exchange on both sides, so that a frequent line can be split
+    return settle(wide.join(exact, "line", "left").where("sure or counted").select("line", "keeper"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", precision: int = 12) -> DataFrame:
