@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from costbook.functions.names import classify_boq_code, clean_text, strip_brackets
 from costbook.functions.numbers import safe_float
 from costbook.operators.ordered import chunk_of, scan
-from costbook.operators.provenance import top_per_key
 
 RESOURCE_COLUMNS = tuple("OPQRSTUVWXYZ")
 HEADER_ROWS = 2
@@ -88,10 +87,9 @@ def defined_quantities(qty: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def compat_rows(boq_items: DataFrame, qty: DataFrame, defs: DataFrame) -> DataFrame:
-    """Up to four cost rows and one row per resource for every item, texts cut to 100 characters."""
-    cut = lambda c: F.substring(c, 1, 100)
+    """Up to four cost rows and one row per resource for every item."""
     keys = [F.col("book"), F.col("code"), F.col("group_code"), F.col("sort_order"), F.col("type").alias("attr_level1"),
-            F.col("description").alias("attr_level2"), cut("work_content").alias("attr_level3"), cut("calc_rule").alias("attr_level4")]
+            F.col("description").alias("attr_level2"), F.col("work_content").alias("attr_level3"), F.col("calc_rule").alias("attr_level4")]
     cost = lambda name, c: F.when(F.coalesce(c, F.lit(0.0)) != 0, F.struct(F.lit(name).alias("cost_item"), F.lit("元").alias("unit"), F.col(c).alias("amount")))
     rate = F.when(F.col("rate").isNotNull(), F.struct(F.col("name").alias("cost_item"), F.col("unit").alias("unit"), F.col("rate").alias("amount")))
     rows = F.array_compact(F.array(cost("人工费", "labour"), cost("材料费", "materials"), cost("机械费", "mech"), rate))
@@ -104,16 +102,14 @@ def compat_rows(boq_items: DataFrame, qty: DataFrame, defs: DataFrame) -> DataFr
     return costs.unionByName(used)
 
 
-def group_summary(boq_items: DataFrame, most_units: int = 3) -> DataFrame:
-    """Per group: its units in order when they are few, first work content, number of items."""
+def group_summary(boq_items: DataFrame) -> DataFrame:
+    """Per group: its units in order of first use, first work content, number of items."""
     keys = ["book", "group_code"]
     order = F.struct("sort_order", "code")
     units = boq_items.filter(F.col("unit") != "").groupBy(*keys, "unit").agg(F.min(order).alias("at"))
-    # one unit more than is ever shown is enough to know that there are too many
-    few = top_per_key(units, keys, [F.col("at"), F.col("unit")], most_units + 1)
-    shown = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "unit"))).alias("u"))
-    text = F.when(F.size("u") <= most_units, F.array_join(F.transform("u", lambda x: x["unit"]), ", ")).otherwise("")
-    work = F.min_by(F.substring("work_content", 1, 200), F.when(F.col("work_content") != "", order))
+    shown = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "unit"))).alias("u"))
+    text = F.array_join(F.transform("u", lambda x: x["unit"]), ", ")
+    work = F.min_by("work_content", F.when(F.col("work_content") != "", order))
     sums = boq_items.groupBy(*keys).agg(F.coalesce(work, F.lit("")).alias("work_content"), F.count(F.lit(1)).alias("items"))
     return sums.join(shown.select(*keys, text.alias("units")), keys, "left").withColumn("units", F.coalesce("units", F.lit("")))
 

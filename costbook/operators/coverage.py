@@ -156,11 +156,11 @@ def list_order() -> list:
     return [F.col("price").isNull().desc(), F.col("refs").desc(), F.col("res_Code").asc(), F.col("res_ID").asc()]
 
 
-def page(df: DataFrame, order: list, limit: int, offset: int = 0, cap: int = 2000) -> DataFrame:
-    """One page of an ordered list; the page size has a ceiling, the list has none."""
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """One page of an ordered list, as long as the caller asks."""
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
-    return df.orderBy(*order).offset(offset).limit(min(limit, cap))
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def price_report(rolled: DataFrame) -> DataFrame:

@@ -213,3 +213,14 @@ def misassigned(matched: DataFrame, leaves: DataFrame, pairs: tuple = A.EXCLUSIO
     hit = lambda a, b: F.array_contains(mine, a) & F.array_contains(other, b)
     counts = joined.agg(*[F.count_if(hit(a, b)).alias(f"{a}>{b}") for a, b in pairs])
     return counts.unpivot([], counts.columns, "exclusion", "chapters")
+
+
+def gap_report(gaps: DataFrame, quotes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The gaps with their best quotes, all of them or the ``limit`` most referenced; how many there are and how many are not shown."""
+    shown = gaps if limit is None else gaps.orderBy(F.col("refs").desc(), "res_ID").limit(limit)
+    best = match_gaps(shown.select("res_ID", "name", "unit"), quotes)
+    beyond = F.lit(0) if limit is None else F.greatest(F.col("total") - limit, F.lit(0))
+    totals = gaps.agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", beyond.cast("long"))
+    # one row of totals
+    return shown.join(best, "res_ID", "left").join(F.broadcast(totals), F.lit(True)).select(
+        "res_ID", "name", "refs", "quote_ID", "score", "same_unit", "rank", "total", "truncated")

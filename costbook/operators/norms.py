@@ -206,16 +206,16 @@ MIX_KIND_ORDER = {"工日": 0, "台班": 2}
 
 
 def mix_prices(aliases: DataFrame, resources: DataFrame, prices: DataFrame, volume: str) -> DataFrame:
-    """Price by source name for one source volume; of several aliases the highest resource id counts."""
-    named = aliases.filter(F.col("src_vol") == volume).join(resources.select("res_ID", "res_Unit"), "res_ID").join(
+    """Price by source name and the alias's own unit for one source volume; of several aliases the highest resource id counts."""
+    named = aliases.filter(F.col("src_vol") == volume).join(resources.select("res_ID"), "res_ID", "left_semi").join(
         prices.select("res_ID", "price"), "res_ID", "left")
-    return named.groupBy("src_Name").agg(F.max_by(F.struct("price", "unit_factor", "res_Unit"), F.col("res_ID")).alias("r")).select(
+    return named.groupBy("src_Name").agg(F.max_by(F.struct("price", "unit_factor", "src_Unit"), F.col("res_ID")).alias("r")).select(
         "src_Name", "r.*")
 
 
 def mix_lines(items: DataFrame, prices: DataFrame) -> DataFrame:
     """Mix lines with their unit price in the line's own unit; the stored base price stays unpriced."""
-    price = prices.select(F.col("src_Name").alias("cost_item"), "price", "unit_factor", F.col("res_Unit").alias("src_unit"))
+    price = prices.select(F.col("src_Name").alias("cost_item"), "price", "unit_factor", F.col("src_Unit").alias("src_unit"))
     joined = items.join(price, "cost_item", "left")
     unit = F.coalesce("cost_item_unit", F.lit(""))
     worth = F.col("price") * F.col("unit_factor") * unit_bridge(F.col("src_unit"), unit)

@@ -46,18 +46,22 @@ def first_anchor(anchors: DataFrame) -> DataFrame:
     return usable.groupBy("res_ID").agg(F.min_by(F.struct(*rest), "anchor_ID").alias("row")).select("res_ID", "row.*")
 
 
-def overlay_anchor(prices: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Direct quotes override supplier, date and tax-free price and are named in the source."""
+ANCHOR_TEXTS = ("supplier", "contact", "phone", "address", "quote_date", "project")
+
+
+def overlay_anchor(prices: DataFrame, anchors: DataFrame, pack: str) -> DataFrame:
+    """Direct quotes override the tax-free price, tell who offered it and are named in the source.
+
+    Only the VAT pack has them; in any other pack, and without one, their columns are blank.
+    """
     a = first_anchor(anchors).select(
-        "res_ID", F.lit(True).alias("anchored"), F.col("supplier").alias("a_supplier"),
-        F.col("quote_date").alias("a_date"), F.col("project").alias("a_project"), F.col("price_excl").alias("a_excl"))
+        "res_ID", F.lit(True).alias("anchored"), *[F.col(c).alias(f"a_{c}") for c in ANCHOR_TEXTS], F.col("price_excl").alias("a_excl"))
+    a = a.filter(F.lit(pack == VAT_PACK))
     project = F.coalesce(F.col("a_project"), F.lit(""))
     source = F.coalesce(F.col("source"), F.lit(""))
     return prices.join(a, "res_ID", "left").select(
-        *[c for c in prices.columns if c not in ("supplier", "source", "price_excl", "quote_date")],
-        F.coalesce("a_supplier", F.lit("")).alias("supplier"),
-        F.coalesce("a_date", F.lit("")).alias("quote_date"),
-        project.alias("project"),
+        *[c for c in prices.columns if c not in (*ANCHOR_TEXTS, "source", "price_excl")],
+        *[F.coalesce(f"a_{c}", F.lit("")).alias(c) for c in ANCHOR_TEXTS],
         F.when(F.col("anchored"), F.col("a_excl")).otherwise(F.col("price_excl")).alias("price_excl"),
         F.when(project != "", F.concat(source, F.lit(";project="), project)).otherwise(source).alias("source"))
 

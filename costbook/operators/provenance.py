@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costbook.operators.ordered import numbered
 from costbook.operators.pricing import latest_price_row
 
 
@@ -14,11 +15,14 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def quote_provenance(matches: DataFrame, quotes: DataFrame, n: int = 60) -> DataFrame:
-    """Best quotes of every resource by confidence, then date."""
-    quote = quotes.drop("res_ID")
-    return top_per_key(matches.join(quote, "quote_ID"), ["res_ID"],
-                       [F.col("confidence").desc(), F.col("quote_date").desc(), F.col("quote_ID")], n)
+def quote_provenance(matches: DataFrame, quotes: DataFrame, n: int | None = None) -> DataFrame:
+    """Quotes of every resource ranked by confidence, then date; all of them, or the n first."""
+    both = matches.join(quotes.drop("res_ID"), "quote_ID")
+    order = [F.col("confidence").desc(), F.col("quote_date").desc(), F.col("quote_ID")]
+    if n is not None:
+        return top_per_key(both, ["res_ID"], order, n)
+    # a resource with very many quotes is ranked in parts, by confidence
+    return numbered(both, order, [-F.col("confidence")], "rank", ["res_ID"])
 
 
 def live_aliases(aliases: DataFrame, usage: DataFrame) -> DataFrame:
@@ -32,13 +36,17 @@ def volume_content(content: DataFrame, norms: DataFrame) -> DataFrame:
     return content.join(norms.select("norm_ID", "vol"), "norm_ID")
 
 
-def norms_using(consumption: DataFrame, content: DataFrame, norms: DataFrame, n: int = 30) -> DataFrame:
-    """Per resource and volume the norms that use most of it."""
+def norms_using(consumption: DataFrame, content: DataFrame, norms: DataFrame, n: int | None = None) -> DataFrame:
+    """Per resource and volume the norms that use it, ranked by amount; all of them, or the n first."""
     linked = consumption.filter(F.col("master_res_ID").isNotNull()).select(
         F.col("master_res_ID").alias("res_ID"), "vol", "cons_ID", "cons_Units")
     lines = volume_content(content, norms).join(linked, ["vol", "cons_ID"])
-    # cut to n lines per resource before the norm texts are fetched
-    best = top_per_key(lines, ["res_ID", "vol"], [F.col("cont_Amount").desc_nulls_last(), F.col("norm_ID")], n)
+    order = [F.col("cont_Amount").desc_nulls_last(), F.col("norm_ID")]
+    if n is None:
+        best = numbered(lines, order, [F.coalesce(-F.col("cont_Amount"), F.lit(float("inf")))], "rank", ["res_ID", "vol"])
+    else:
+        # cut before the norm texts are fetched
+        best = top_per_key(lines, ["res_ID", "vol"], order, n)
     return best.join(norms.select("norm_ID", "norm_Code", "norm_Name"), "norm_ID")
 
 

@@ -84,7 +84,7 @@ def unit_rates(matrix: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 BLOCK_KEYS = ["chapter", "section", "subsection"]
-BLOCK_SCHEMA = "chapter string, section string, subsection string, norm_ID long, block int, kept int, dropped int"
+BLOCK_SCHEMA = "chapter string, section string, subsection string, norm_ID long, block int, kept int"
 
 
 def _pack(capacity: int):
@@ -100,10 +100,13 @@ def _pack(capacity: int):
                 new = [x for x in wanted if x not in held]
                 if held and len(held) + len(new) > capacity:
                     block, held, new = block + 1, set(), wanted
-                taken = new[:capacity]
-                held.update(taken)
-                out.append((*key, row.norm_ID, block, len(taken), len(new) - len(taken)))
-            yield pd.DataFrame(out, columns=[*BLOCK_KEYS, "norm_ID", "block", "kept", "dropped"])
+                for at in range(0, max(len(new), 1), capacity):
+                    if at:
+                        block, held = block + 1, set()
+                    taken = new[at:at + capacity]
+                    held.update(taken)
+                    out.append((*key, row.norm_ID, block, len(taken)))
+            yield pd.DataFrame(out, columns=[*BLOCK_KEYS, "norm_ID", "block", "kept"])
     return run
 
 
@@ -112,7 +115,8 @@ def pack_blocks(items: DataFrame, capacity: int = BLOCK_COLUMNS) -> DataFrame:
 
     ``items`` (chapter, section, subsection, pos, norm_ID, labels).  The open block is an
     order-dependent set, so a sub-section is read in order; it streams through in sorted
-    batches and only the open block, at most ``capacity`` labels, is held.
+    batches and only the open block, at most ``capacity`` labels, is held.  An item with more labels
+    than a block holds goes on in the blocks after it, one row each, so no label is lost.
     """
     ordered = items.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "pos", "norm_ID")
     return ordered.select(*BLOCK_KEYS, "norm_ID", "labels").mapInPandas(_pack(capacity), BLOCK_SCHEMA)
@@ -134,7 +138,7 @@ def chapter_order() -> list[Column]:
 def machine_shift_matrix(items: DataFrame, cost: list[str], usage: list[str], fallback_units: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Machine shifts by code: a row without amount names the machine, the others fill its columns.
 
-    Returns the matrix and the unit of every column.
+    Returns the matrix and the unit of every column: the first one told, else the fallback, else blank.
     """
     order = F.struct("sort_order", "id")
     is_name = F.col("amount").isNull()
@@ -144,6 +148,7 @@ def machine_shift_matrix(items: DataFrame, cost: list[str], usage: list[str], fa
     shown = matrix.withColumn("unit", F.when(F.col("unit_raw") != "", F.col("unit_raw")).otherwise("台班")).drop("unit_raw")
     found = items.filter(F.coalesce("cost_item_unit", F.lit("")) != "").groupBy("cost_item").agg(
         F.min_by("cost_item_unit", F.struct("table_id", "sort_order", "id")).alias("unit"))
-    units = found.filter(F.col("cost_item").isin(*cost, *usage))
-    missing = L.label(F.col("cost_item"), fallback_units)
-    return shown, units.withColumn("unit", F.coalesce("unit", missing))
+    columns = items.sparkSession.createDataFrame([(c, fallback_units.get(c, "")) for c in (*cost, *usage)], "cost_item string, missing string")
+    # the column list is as long as the call's arguments
+    units = F.broadcast(columns).join(found, "cost_item", "left").select("cost_item", F.coalesce("unit", "missing").alias("unit"))
+    return shown, units

@@ -91,12 +91,12 @@ def _(t):
 
 
 @register("d13_boq_compat_rows", """
-SELECT book, code, group_code, sort_order, type AS attr_level1, description AS attr_level2, substr(work_content, 1, 100) AS attr_level3, substr(calc_rule, 1, 100) AS attr_level4,
+SELECT book, code, group_code, sort_order, type AS attr_level1, description AS attr_level2, work_content AS attr_level3, calc_rule AS attr_level4,
   x.cost_item, x.unit, x.amount FROM (
   SELECT i.*, unnest([{'cost_item': '人工费', 'unit': '元', 'amount': labour}, {'cost_item': '材料费', 'unit': '元', 'amount': materials},
     {'cost_item': '机械费', 'unit': '元', 'amount': mech}]) AS x FROM boq_item i) WHERE x.amount <> 0
-UNION ALL SELECT book, code, group_code, sort_order, type, description, substr(work_content, 1, 100), substr(calc_rule, 1, 100), name, unit, rate FROM boq_item WHERE rate IS NOT NULL
-UNION ALL SELECT i.book, i.code, i.group_code, i.sort_order, i.type, i.description, substr(i.work_content, 1, 100), substr(i.calc_rule, 1, 100),
+UNION ALL SELECT book, code, group_code, sort_order, type, description, work_content, calc_rule, name, unit, rate FROM boq_item WHERE rate IS NOT NULL
+UNION ALL SELECT i.book, i.code, i.group_code, i.sort_order, i.type, i.description, i.work_content, i.calc_rule,
   coalesce(d.name, concat('消耗量(', q.col, ')')), coalesce(d.unit, ''), q.consumption
   FROM boq_item i JOIN boq_qty q ON q.book = i.book AND q.code = i.code LEFT JOIN boq_def d ON d.book = q.book AND d.sub_code = q.sub_code AND d.col = q.col""")
 def _(t):
@@ -106,8 +106,8 @@ def _(t):
 
 @register("a21_boq_group_summary", """
 WITH u AS (SELECT book, group_code, unit, min({'a': sort_order, 'b': code}) AS pos FROM boq_item WHERE unit <> '' GROUP BY 1, 2, 3),
-v AS (SELECT book, group_code, count(*) AS n, string_agg(unit, ', ' ORDER BY pos) AS units FROM u GROUP BY 1, 2)
-SELECT i.book, i.group_code, coalesce(max(CASE WHEN v.n <= 3 THEN v.units END), '') AS units,
+v AS (SELECT book, group_code, string_agg(unit, ', ' ORDER BY pos) AS units FROM u GROUP BY 1, 2)
+SELECT i.book, i.group_code, coalesce(max(v.units), '') AS units,
   coalesce(min_by(i.work_content, i.sort_order) FILTER (i.work_content <> ''), '') AS work_content, count(*) AS items
 FROM boq_item i LEFT JOIN v ON v.book = i.book AND v.group_code = i.group_code GROUP BY 1, 2""")
 def _(t):

@@ -54,7 +54,7 @@ SELECT CAST(n_nationkey AS BIGINT) AS section_id, n_name AS section_title, CAST(
        n_nationkey AS section_no FROM nation""")
 define_view("book_chapter", "SELECT CAST(r_regionkey AS BIGINT) AS chapter_id, r_name AS chapter_name FROM region")
 define_view("mix_alias", """
-SELECT res_ID, src_vol, src_Name, unit_factor FROM resource_alias WHERE src_vol = 'B'""")
+SELECT res_ID, src_vol, src_Name, src_Unit, unit_factor FROM resource_alias WHERE src_vol = 'B'""")
 
 
 def lines(t: Tables):
@@ -374,7 +374,7 @@ def _(t):
 
 
 MIX = f"""
-WITH mp AS (SELECT src_Name, max_by(struct_pack(price := p.price, f := a.unit_factor, u := r.res_Unit), a.res_ID) AS s FROM mix_alias a
+WITH mp AS (SELECT src_Name, max_by(struct_pack(price := p.price, f := a.unit_factor, u := a.src_Unit), a.res_ID) AS s FROM mix_alias a
   JOIN resource r ON r.res_ID = a.res_ID LEFT JOIN (SELECT * FROM latest_row WHERE pack = '{PACK}') p ON p.res_ID = a.res_ID GROUP BY 1),
 mix AS (SELECT i.*, s.price * s.f * CASE WHEN s.u = 't' AND coalesce(cost_item_unit, '') = 'kg' THEN CAST(0.001 AS DOUBLE)
   WHEN s.u = 'kg' AND coalesce(cost_item_unit, '') = 't' THEN CAST(1000 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS unit_price

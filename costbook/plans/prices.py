@@ -31,12 +31,14 @@ SELECT res_ID, quote_ID, CASE WHEN quote_ID % 2 = 0 THEN 'exact' ELSE 'name' END
 define_view("resource_alias", """
 SELECT master_res_ID AS res_ID, vol AS src_vol,
        CASE WHEN cons_ID % 5 = 0 THEN cons_ID + 1000000000 ELSE cons_ID END AS src_cons_ID,
-       cons_Name AS src_Name, CAST(cons_ID % 50 AS DOUBLE) AS src_Price,
+       cons_Name AS src_Name, CASE WHEN cons_ID % 4 = 0 THEN 'kg' WHEN cons_ID % 4 = 1 THEN 't' ELSE cons_Units END AS src_Unit,
+       CAST(cons_ID % 50 AS DOUBLE) AS src_Price,
        CASE WHEN cons_ID % 7 = 0 THEN NULL ELSE CAST(1 + cons_ID % 3 AS DOUBLE) END AS unit_factor
 FROM consumption WHERE master_res_ID IS NOT NULL""")
 define_view("price_anchor", """
 SELECT quote_ID AS anchor_ID, res_ID, CAST(quote_ID % 2 AS INT) AS use_for_price,
-       CASE WHEN quote_ID % 3 = 0 THEN '' ELSE supplier END AS supplier, '' AS address,
+       CASE WHEN quote_ID % 3 = 0 THEN '' ELSE supplier END AS supplier, concat('C', CAST(quote_ID % 4 AS STRING)) AS contact,
+       CASE WHEN quote_ID % 6 = 0 THEN '' ELSE CAST(quote_ID % 1000 AS STRING) END AS phone, '' AS address,
        CASE WHEN quote_ID % 5 = 0 THEN concat('P', CAST(quote_ID % 7 AS STRING)) ELSE '' END AS project,
        CAST(quote_date AS STRING) AS quote_date, price_incl - 1 AS price_excl
 FROM price_quote""")
@@ -349,9 +351,10 @@ def _(t):
 
 
 @register("o01_price_list_order", LISTED.replace("{where}", "") + f"""
-SELECT {', '.join(ROLLED_COLUMNS)} FROM rolled ORDER BY (price IS NULL) DESC, refs DESC, res_Code, res_ID LIMIT 500""")
+SELECT row_number() OVER (ORDER BY (price IS NULL) DESC, refs DESC, res_Code, res_ID) AS no, {', '.join(ROLLED_COLUMNS)} FROM rolled""")
 def _(t):
-    return _rolled(C.page(C.roll_up(listing(t)), C.list_order(), 500))
+    coarse = [F.col("price").isNotNull(), -F.col("refs"), F.substring("res_Code", 1, 6)]
+    return numbered(_rolled(C.roll_up(listing(t))), C.list_order(), coarse, "no")
 
 
 @register("o02_paging", LISTED.replace("{where}", "WHERE vol = 'C'") + f"""
@@ -362,12 +365,12 @@ def _(t):
 
 @register("e03_price_list", LISTED.replace("{where}", "WHERE cons_Style IN (6, 7) AND price_res_ID IS NOT NULL") + f"""
 SELECT {', '.join(ROLLED_COLUMNS)}, (SELECT count(*) FROM rolled) AS total, (SELECT CAST(sum(refs) AS BIGINT) FROM rolled) AS total_refs
-FROM rolled ORDER BY (price IS NULL) DESC, refs DESC, res_Code, res_ID LIMIT 200""")
+FROM rolled""")
 def _(t):
     listed = listing(t, scope="me_main", priced="yes")
     totals = C.list_totals(listed).select("total", F.col("refs").alias("total_refs"))
-    rows = _rolled(C.page(C.roll_up(listed), C.list_order(), 200))
-    # one totals row, repeated on every row of the page
+    rows = _rolled(C.roll_up(listed))
+    # one totals row, repeated on every row of the list
     return rows.join(F.broadcast(totals), F.lit(True))
 
 
@@ -413,7 +416,7 @@ def _(t):
 SELECT res_ID, quote_ID, confidence, match_type, supplier, CAST(quote_date AS STRING) AS quote_date, CAST(rank AS INT) AS rank FROM (
   SELECT m.res_ID, m.quote_ID, m.confidence, m.match_type, q.supplier, q.quote_date,
          row_number() OVER (PARTITION BY m.res_ID ORDER BY m.confidence DESC, q.quote_date DESC, q.quote_ID) AS rank
-  FROM quote_match m JOIN price_quote q ON q.quote_ID = m.quote_ID) WHERE rank <= 60""")
+  FROM quote_match m JOIN price_quote q ON q.quote_ID = m.quote_ID)""")
 def _(t):
     best = V.quote_provenance(t.quote_match, t.price_quote)
     return best.select("res_ID", "quote_ID", "confidence", "match_type", "supplier",
@@ -428,22 +431,27 @@ def _(t):
 
 
 @register("j08_anchor_overlay", f"""
-SELECT p.res_ID, p.price, coalesce(a.supplier, '') AS supplier, coalesce(a.quote_date, '') AS quote_date,
-       coalesce(a.project, '') AS project, CASE WHEN a.res_ID IS NOT NULL THEN a.price_excl ELSE p.price_excl END AS price_excl,
+SELECT p.res_ID, p.pack, p.price, coalesce(a.supplier, '') AS supplier, coalesce(a.contact, '') AS contact, coalesce(a.phone, '') AS phone,
+       coalesce(a.address, '') AS address, coalesce(a.quote_date, '') AS quote_date, coalesce(a.project, '') AS project, CASE WHEN a.res_ID IS NOT NULL THEN a.price_excl ELSE p.price_excl END AS price_excl,
        CASE WHEN coalesce(a.project, '') <> '' THEN concat(coalesce(p.source, ''), ';project=', a.project) ELSE coalesce(p.source, '') END AS source
-FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY res_ID, pack ORDER BY price_date DESC) AS rn FROM price_row) WHERE rn = 1) p
-LEFT JOIN {ANCHOR} a ON a.res_ID = p.res_ID WHERE p.pack = '{PACK}'""")
+FROM (SELECT *, CASE pack WHEN 'ASIA' THEN '{L.VAT_PACK}' ELSE 'EUROPE' END AS shown
+      FROM (SELECT *, row_number() OVER (PARTITION BY res_ID, pack ORDER BY price_date DESC) AS rn FROM price_row) WHERE rn = 1 AND pack IN ('ASIA', 'EUROPE')) p
+LEFT JOIN {ANCHOR} a ON a.res_ID = p.res_ID AND p.shown = '{L.VAT_PACK}'""")
 def _(t):
-    prices = R.latest_price_row(t.price_row.filter(F.col("pack") == PACK))
-    return R.overlay_anchor(prices, t.price_anchor).select(
-        "res_ID", "price", "supplier", "quote_date", "project", "price_excl", "source")
+    parts = []
+    # one region stands for the VAT pack, which has anchors, another for a pack that has none
+    for region, pack in (("ASIA", L.VAT_PACK), ("EUROPE", "EUROPE")):
+        prices = R.latest_price_row(t.price_row.filter(F.col("pack") == region))
+        parts.append(R.overlay_anchor(prices, t.price_anchor, pack).select(
+            "res_ID", "pack", "price", *R.ANCHOR_TEXTS, "price_excl", "source"))
+    return parts[0].unionByName(parts[1])
 
 
 NORMS_USING = """SELECT res_ID, vol, norm_ID, norm_Code, norm_Name, cont_Amount, cons_Units, CAST(rank AS INT) AS rank FROM (
   SELECT c.master_res_ID AS res_ID, n.vol, n.norm_ID, n.norm_Code, n.norm_Name, ct.cont_Amount, c.cons_Units,
          row_number() OVER (PARTITION BY c.master_res_ID, n.vol ORDER BY ct.cont_Amount DESC, n.norm_ID) AS rank
   FROM content ct JOIN norm n ON n.norm_ID = ct.norm_ID JOIN consumption c ON c.vol = n.vol AND c.cons_ID = ct.cons_ID
-  WHERE c.master_res_ID IS NOT NULL) WHERE rank <= 30"""
+  WHERE c.master_res_ID IS NOT NULL)"""
 
 
 @register("j09_norms_using_resource", NORMS_USING)
@@ -462,11 +470,11 @@ def _(t):
 
 
 @register("o03_observation_order", f"""
-SELECT res_ID, obs_ref, value_cny, weight, source FROM benchmark_obs WHERE pack = '{PACK}'
-ORDER BY weight DESC, value_cny, obs_ref, source, res_ID LIMIT 1000""")
+SELECT row_number() OVER (ORDER BY weight DESC, value_cny, obs_ref, source, res_ID) AS no, res_ID, obs_ref, value_cny, weight, source
+FROM benchmark_obs WHERE pack = '{PACK}'""")
 def _(t):
-    return V.observations(t.benchmark_obs, PACK).orderBy(*V.observation_order(), "res_ID").select(
-        "res_ID", "obs_ref", "value_cny", "weight", "source").limit(1000)
+    rows = V.observations(t.benchmark_obs, PACK).select("res_ID", "obs_ref", "value_cny", "weight", "source")
+    return numbered(rows, [*V.observation_order(), F.col("res_ID")], [-F.col("weight"), F.floor(F.col("value_cny") / 64)], "no")
 
 
 @register("e05_benchmark", f"""
@@ -482,7 +490,7 @@ def _(t):
 
 
 @register("e04_price_detail", f"""
-WITH q AS (SELECT res_ID, least(count(*), 60) AS quotes FROM quote_match GROUP BY 1),
+WITH q AS (SELECT res_ID, count(*) AS quotes FROM quote_match GROUP BY 1),
 a AS (SELECT a.res_ID, count(*) AS aliases FROM resource_alias a JOIN usage u
       ON u.res_ID = a.res_ID AND u.vol = a.src_vol AND u.cons_ID = a.src_cons_ID GROUP BY 1),
 n AS (SELECT res_ID, count(*) AS norms, round(sum(cont_Amount), 4) AS amount FROM ({NORMS_USING}) GROUP BY 1),

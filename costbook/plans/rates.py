@@ -179,6 +179,14 @@ def _(t):
     return U.machine_shift_matrix(t.shift_item, ["k1", "k2"], ["u1"], {"u1": "工日"})[0]
 
 
+@register("a25_machine_shift_units", """
+SELECT c.cost_item, coalesce(u.unit, c.missing) AS unit FROM (VALUES ('k1', ''), ('k2', ''), ('u1', '工日'), ('none', '元')) c(cost_item, missing)
+LEFT JOIN (SELECT cost_item, min_by(cost_item_unit, {'a': table_id, 'b': sort_order, 'c': id}) AS unit FROM shift_item WHERE coalesce(cost_item_unit, '') <> '' GROUP BY 1) u
+  ON u.cost_item = c.cost_item""")
+def _(t):
+    return U.machine_shift_matrix(t.shift_item, ["k1", "k2", "none"], ["u1"], {"u1": "工日", "none": "元"})[1]
+
+
 # ---- fuzzy matching -------------------------------------------------------------------
 
 def gap_resources(t):
@@ -197,13 +205,7 @@ def _(t):
 
 @register("e07_gap_match_report", None)
 def _(t):
-    gaps = gap_resources(t)
-    # the call's own ceiling: most referenced gaps first, the remainder is reported
-    shown = gaps.orderBy(F.col("refs").desc(), "res_ID").limit(200)
-    best = M.match_gaps(shown.select("res_ID", "name", "unit"), quotes(t))
-    totals = gaps.agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", F.greatest(F.col("total") - 200, F.lit(0)))
-    return shown.join(best, "res_ID", "left").join(F.broadcast(totals), F.lit(True)).select(
-        "res_ID", "name", "refs", "quote_ID", "score", "same_unit", "rank", "total", "truncated")
+    return M.gap_report(gap_resources(t), quotes(t))
 
 
 define_view("existing_leaf", f"""

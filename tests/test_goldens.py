@@ -188,8 +188,16 @@ def test_block_packing_equals_a_plain_walk(spark):
             if held and len(held) + len(new) > 6:
                 block, held, new = block + 1, set(), labels
             held.update(new[:6])
-            want.append((nid, block, min(len(new), 6), max(0, len(new) - 6)))
-    assert rows(RT.pack_blocks(df, 6).select("norm_ID", "block", "kept", "dropped")) == sorted(want)
+            want.append((nid, block, min(len(new), 6)))
+            if len(new) > 6:
+                block, held = block + 1, set(new[6:])
+                want.append((nid, block, len(new) - 6))
+    assert rows(RT.pack_blocks(df, 6).select("norm_ID", "block", "kept")) == sorted(want)
+
+
+def test_an_item_of_sixty_labels_loses_none(spark):
+    df = spark.createDataFrame([("c", "s", "g", 1, 7, [f"r{j}" for j in range(130)])], "chapter string, section string, subsection string, pos long, norm_ID long, labels array<string>")
+    assert rows(RT.pack_blocks(df).select("norm_ID", "block", "kept")) == [(7, 1, 55), (7, 2, 55), (7, 3, 20)]
 
 
 def test_rows_by_anchor(spark):
