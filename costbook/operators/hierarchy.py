@@ -1,6 +1,7 @@
 """Chapter trees: ancestor chains, descendant sets, and what is rolled up or rewritten along them.
 
-Chains are built by pointer doubling: n joins reach 2**n levels, all inside one plan.
+Chains are built by pointer doubling: n joins reach 2**n levels.  Three are planned at once; where a chain is still open after
+them, which one look at the rows tells, more follow.
 """
 
 from __future__ import annotations
@@ -11,26 +12,32 @@ from pyspark.sql import functions as F
 DOUBLINGS = 3
 
 
-def chains(chapters: DataFrame, carried: tuple[str, ...] = (), node: str = "chap_ID", parent: str = "chap_PID",
-           doublings: int = DOUBLINGS) -> DataFrame:
+def _doubled(current: DataFrame) -> DataFrame:
+    """Every open chain longer by that of the node it ends at."""
+    # chains that are complete have no key to join on; the salt keeps them from meeting in one task
+    salt = F.when(F.col("up").isNull(), F.pmod(F.xxhash64("node"), F.lit(256))).otherwise(F.lit(0).cast("long"))
+    higher = current.select(F.col("node").alias("up"), F.lit(0).cast("long").alias("salt"), F.col("up").alias("up2"), F.col("path").alias("more"))
+    return current.withColumn("salt", salt).join(higher, ["up", "salt"], "left").select(
+        "node", F.col("up2").alias("up"), F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
+
+
+def chains(chapters: DataFrame, carried: tuple[str, ...] = (), node: str = "chap_ID", parent: str = "chap_PID") -> DataFrame:
     """``node`` and ``chain``: structs from the root to the node.
 
     A parent that is 0, the node itself or missing ends the chain.  Cycles are cut at the
-    first repeated node; a chain longer than 2**doublings fails the job instead of being cut.
+    first repeated node.  Chains of any length are followed to their end.
     """
     self_ = F.struct(F.col(node).alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in carried])
     above = F.when((F.col(parent).cast("string") != "0") & (F.col(parent) != F.col(node)), F.col(parent))
     current = chapters.select(F.col(node).alias("node"), above.alias("up"), F.array(self_).alias("path"))
-    for _ in range(doublings):
-        higher = current.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("more"))
-        current = current.join(higher, "up", "left").select(
-            "node", F.col("up2").alias("up"),
-            F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
     distinct = F.array_distinct("path")
     # up turns null where a parent row is missing, so one that is left stands for a real row
-    too_deep = F.col("up").isNotNull() & (F.size(distinct) == F.size("path"))
-    checked = F.when(too_deep, F.raise_error(F.lit(f"chapter chain longer than {2 ** doublings}"))).otherwise(distinct)
-    return current.select("node", F.reverse(checked).alias("chain"))
+    open_ = F.col("up").isNotNull() & (F.size(distinct) == F.size("path"))
+    for _ in range(DOUBLINGS):
+        current = _doubled(current)
+    while not current.filter(open_).isEmpty():
+        current = _doubled(current)
+    return current.select("node", F.reverse(distinct).alias("chain"))
 
 
 def chapter_paths(chapters: DataFrame, carried: tuple[str, ...] = ("chap_Name", "chap_code")) -> DataFrame:
