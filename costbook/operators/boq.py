@@ -169,21 +169,19 @@ def mix_sheet(grid: DataFrame, columns: tuple[str, ...] = tuple("JKLMNOPQRSTUVWX
     return tables, lines
 
 
-def resolve_codes(bill: DataFrame, norms: DataFrame, fallback: str = "strict") -> DataFrame:
+def resolve_codes(bill: DataFrame, norms: DataFrame) -> DataFrame:
     """Norm of every bill code: exact chapter first, else the code anywhere in the volume.
 
-    ``strict`` tries the volume only where the chapter is known and merely lacks the code,
-    as the original does; ``any`` also where the chapter code itself is unknown.
+    ``strict_ID`` tries the volume only where the chapter is known and merely lacks the code,
+    as the original does; ``any_ID`` also where the chapter code itself is unknown.
     """
-    if fallback not in ("strict", "any"):
-        raise ValueError(f"unknown fallback: {fallback}")
     exact = norms.groupBy("volume", "chapter_code", "norm_code").agg(F.min("norm_ID").alias("exact_ID"))
     loose = norms.groupBy("volume", "norm_code").agg(F.min("norm_ID").alias("loose_ID"))
     known = norms.select("volume", "chapter_code").distinct().withColumn("known", F.lit(True))
     joined = bill.join(exact, ["volume", "chapter_code", "norm_code"], "left").join(loose, ["volume", "norm_code"], "left").join(
         known, ["volume", "chapter_code"], "left")
-    may = F.lit(True) if fallback == "any" else F.coalesce("known", F.lit(False))
-    return joined.withColumn("norm_ID", F.coalesce("exact_ID", F.when(may, F.col("loose_ID")))).drop("exact_ID", "loose_ID", "known")
+    strict = F.coalesce("exact_ID", F.when(F.col("known"), F.col("loose_ID")))
+    return joined.select(*bill.columns, strict.alias("strict_ID"), F.coalesce("exact_ID", "loose_ID").alias("any_ID"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

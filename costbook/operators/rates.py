@@ -56,10 +56,15 @@ def price_lines(lines: DataFrame, prices: DataFrame) -> DataFrame:
     return lines.join(prices.withColumnRenamed("res_ID", "master_res_ID"), "master_res_ID", "left")
 
 
-def registry(lines: DataFrame) -> DataFrame:
-    """Distinct resources by label, the first line of each, numbered by class then name."""
+def first_lines(lines: DataFrame) -> DataFrame:
+    """Distinct resources by label, the first line of each."""
     own = [c for c in lines.columns if c != "label"]
-    first = lines.groupBy("label").agg(F.min_by(F.struct(*own), F.struct("norm_ID", "cons_ID")).alias("r")).select("label", "r.*")
+    return lines.groupBy("label").agg(F.min_by(F.struct(*own), F.struct("norm_ID", "cons_ID")).alias("r")).select("label", "r.*")
+
+
+def registry(lines: DataFrame) -> DataFrame:
+    """The first line of every label, numbered by class then name."""
+    first = first_lines(lines)
     order = [class_rank(F.col("cls")), F.col("name"), F.col("label")]
     return numbered(first, order, [order[0], F.substring("name", 1, 8)], "no")
 
@@ -83,6 +88,17 @@ def unit_rates(matrix: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.groupBy("norm_ID").agg(*parts, F.round(F.sum(worth), 4).alias("rate"))
 
 
+def rates(lines: DataFrame) -> DataFrame:
+    """Unit rates of priced lines; a label's reference price is that of its first line.
+
+    The lines are grouped once: reference prices come from the same groups, so the facts are read once.
+    """
+    cells = lines.groupBy("norm_ID", "label").agg(
+        F.max_by("amount", F.struct("cons_ID", "amount")).alias("amount"), F.min_by("cls", F.struct("cons_ID", "cls")).alias("cls"),
+        F.min_by("price", "cons_ID").alias("price"))
+    return unit_rates(cells.drop("price"), cells.groupBy("label").agg(F.min_by("price", "norm_ID").alias("price")))
+
+
 BLOCK_KEYS = ["chapter", "section", "subsection"]
 BLOCK_SCHEMA = "chapter string, section string, subsection string, norm_ID long, block int, kept int"
 

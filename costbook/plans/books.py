@@ -208,10 +208,7 @@ def coded_norms(t):
 
 @register("j19_boq_code_resolution", BILL + "SELECT * FROM resolved")
 def _(t):
-    keys = ["disc", "cat", "subcat", "boq_code"]
-    strict = B.resolve_codes(bill(t), coded_norms(t)).withColumnRenamed("norm_ID", "strict_ID")
-    loose = B.resolve_codes(bill(t), coded_norms(t), "any").select(*keys, F.col("norm_ID").alias("any_ID"))
-    return strict.join(loose, keys).select(*keys, "volume", "norm_code", "strict_ID", "any_ID")
+    return B.resolve_codes(bill(t), coded_norms(t)).select("disc", "cat", "subcat", "boq_code", "volume", "norm_code", "strict_ID", "any_ID")
 
 
 # ---- consolidation -------------------------------------------------------------------

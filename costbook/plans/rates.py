@@ -84,7 +84,7 @@ def _(t):
 SELECT label, row_number() OVER (PARTITION BY unit ORDER BY CASE cls WHEN 'labour' THEN 0 WHEN 'materials' THEN 1 ELSE 2 END, name, label) AS no FROM rg""")
 def _(t):
     order = [U.class_rank(F.col("cls")), F.col("name"), F.col("label")]
-    return numbered(U.registry(priced_lines(t)).drop("no"), order, [order[0], F.substring("name", 1, 8)], "no", ["unit"]).select("label", "no")
+    return numbered(U.first_lines(priced_lines(t)), order, [order[0], F.substring("name", 1, 8)], "no", ["unit"]).select("label", "no")
 
 
 @register("a26_consumption_matrix", "WITH " + RES + "SELECT * FROM mx")
@@ -94,28 +94,29 @@ def _(t):
 
 @register("a27_unit_rate", "WITH " + RES + "SELECT * FROM ur")
 def _(t):
-    lines = priced_lines(t)
-    return U.unit_rates(U.consumption_matrix(lines), U.registry(lines))
+    return U.rates(priced_lines(t))
 
 
 def _items(t, found=None):
-    """Items of the export: selected norms below their chapter levels with their labels in order."""
+    """Items of the export: selected norms (all, if none are given) below their chapter levels with their labels in order."""
     paths = H.chapter_paths(t.chapter).select("chap_ID", *H.split_levels(F.col("names")))
     norms = t.norm.join(paths, "chap_ID").select("norm_ID", "norm_Code", *U.BLOCK_KEYS)
-    wanted = norms if found is None else norms.join(found, "norm_ID", "left_semi")
-    lines = U.resource_lines(volume_content(t.content, t.norm), t.consumption, ["vol", "cons_ID"])
+    content = volume_content(t.content, t.norm)
+    if found is not None:
+        norms, content = norms.join(found, "norm_ID", "left_semi"), content.join(found, "norm_ID", "left_semi")
+    lines = U.resource_lines(content, t.consumption, ["vol", "cons_ID"])
     labels = lines.groupBy("norm_ID").agg(F.transform(F.array_sort(F.collect_set(F.struct("cons_ID", "label"))), lambda x: x["label"]).alias("labels"))
-    return wanted.join(labels, "norm_ID").withColumn("pos", F.col("norm_ID")), lines
+    return norms.join(labels, "norm_ID").withColumn("pos", F.col("norm_ID"))
 
 
 @register("w17_block_packing")
 def _(t):
-    return U.pack_blocks(_items(t)[0])
+    return U.pack_blocks(_items(t))
 
 
 @register("w20_block_numbers")
 def _(t):
-    named = U.block_names(U.pack_blocks(_items(t)[0]))
+    named = U.block_names(U.pack_blocks(_items(t)))
     order = [F.col(c) for c in (*U.BLOCK_KEYS, "block", "norm_ID")]
     return numbered(named, order, [F.col("chapter"), F.col("section"), F.substring("subsection", 1, 15)], "seq")
 
@@ -124,19 +125,16 @@ def _(t):
 def _(t):
     found, _missing = resolved(t)
     wanted = found.select(F.col("norm_ID_found").alias("norm_ID")).distinct()
-    items, _lines = _items(t, wanted)
-    lines = priced_lines(t, wanted)
-    rates = U.unit_rates(U.consumption_matrix(lines), U.registry(lines))
-    return U.block_names(U.pack_blocks(items)).join(rates, "norm_ID", "left")
+    rates = U.rates(priced_lines(t, wanted))
+    return U.block_names(U.pack_blocks(_items(t, wanted))).join(rates, "norm_ID", "left")
 
 
-@register("e13_export_unit_rates", PICKS.rstrip() + ", " + RES + """
-SELECT ur.* FROM ur WHERE norm_ID IN (SELECT norm_ID_found FROM rs)""")
+# the export knows the selected norms only: a label's reference price is its first line among them
+@register("e13_export_unit_rates", PICKS.rstrip() + ", " + RES.replace("c.cons_ID = ct.cons_ID),\npx", "c.cons_ID = ct.cons_ID WHERE ct.norm_ID IN (SELECT norm_ID_found FROM rs)),\npx") + """
+SELECT ur.* FROM ur""")
 def _(t):
     found, _missing = resolved(t)
-    lines = priced_lines(t)
-    kept = priced_lines(t, found.select(F.col("norm_ID_found").alias("norm_ID")))
-    return U.unit_rates(U.consumption_matrix(kept), U.registry(lines))
+    return U.rates(priced_lines(t, found.select(F.col("norm_ID_found").alias("norm_ID"))))
 
 
 @register("d14_consumption_book", BILL.rstrip() + ", " + RES.replace("rl AS (", "rl AS (", 1) + """
@@ -144,10 +142,10 @@ SELECT b.disc, b.cat, b.subcat, b.boq_code, b.strict_ID AS norm_ID, c3.chap_Name
 FROM resolved b JOIN norm n ON n.norm_ID = b.strict_ID JOIN chapter c1 ON c1.chap_ID = n.chap_ID JOIN chapter c2 ON c2.chap_ID = c1.chap_PID JOIN chapter c3 ON c3.chap_ID = c2.chap_PID
 LEFT JOIN ur ON ur.norm_ID = b.strict_ID""")
 def _(t):
-    found = B.resolve_codes(bill(t), coded_norms(t)).filter(F.col("norm_ID").isNotNull()).select("disc", "cat", "subcat", "boq_code", "norm_ID")
+    found = B.resolve_codes(bill(t), coded_norms(t)).filter(F.col("strict_ID").isNotNull()).select(
+        "disc", "cat", "subcat", "boq_code", F.col("strict_ID").alias("norm_ID"))
     paths = H.chapter_paths(t.chapter).select("chap_ID", *H.split_levels(F.col("names"), fourth=True)).drop("level4")
-    lines = priced_lines(t)
-    rates = U.unit_rates(U.consumption_matrix(lines), U.registry(lines))
+    rates = U.rates(priced_lines(t))
     return found.join(t.norm.select("norm_ID", "chap_ID"), "norm_ID").join(paths, "chap_ID").join(rates, "norm_ID", "left").drop("chap_ID")
 
 
