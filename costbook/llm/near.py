@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costbook.llm.hashed import STEP, joined, mix, worker_words
@@ -17,6 +17,7 @@ from costbook.session import settle
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4  # two texts at a similarity of 0.8 share no band with probability (1 - 0.8**4)**32 = 5e-8
 FEW = 16  # buckets of at most so many texts compare all their pairs
+STEP_OF_SIZE = 1.02
 # Poisson(1): chance of at most n darts in a unit of area
 DARTS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 20)))))
 
@@ -134,18 +135,36 @@ def _across(rows: DataFrame, key: list[str]) -> DataFrame:
     return one.join(two, key).where((F.col("a") < F.col("b")) & (F.col("l") != F.col("m")) & near).select("a", "b").distinct()
 
 
-def rare_keys(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(unit, node, label, size): each node's rarest strips, enough that two similar texts share one.
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP_OF_SIZE))).cast("int")
 
-    Strips are ordered by the number of groups that hold them, so a passage in many texts comes last.  Of n strips the first
-    (1 - similarity) * n + 1 are kept; those of one group only can link nothing.
+
+def rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that are not connected yet and share a rare strip where two similar texts must share one.
+
+    Strips are ordered by the number of groups that hold them, so a passage in many texts comes last.  Take the first strip
+    that two texts of n and m strips share: behind its place i in the one and j in the other lie at most n - i and m - j, and a similarity s
+    needs s / (1 + s) * (n + m) of them.  So only the foremost strips are keys, the deeper a strip the fewer partners by
+    size: a key is a strip and a class of sizes, that of the smaller text.  Strips of one group only can link nothing.
     """
-    nodes = settle(rows.select("node", "label", "size").distinct())
-    units = nodes.join(sets, "node").select("node", "label", "size", F.explode_outer("units").alias("unit"))
+    need = SIMILARITY / (1 + SIMILARITY)
+    nodes = settle(rows.select("node", "label").distinct())
+    units = nodes.join(sets, "node").select("node", "label", F.size("units").alias("n"), F.explode_outer("units").alias("unit"))
     spread = units.select("unit", "label").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("groups"))
-    ordered = units.join(spread, "unit").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("groups", "unit"))).alias("units"))
-    first = F.slice("units", 1, (F.floor((1 - SIMILARITY) * F.size("units") + 1e-9) + 1).cast("int"))
-    return ordered.select("node", "label", "size", F.explode_outer(first).alias("u")).where("u.groups > 1").select(F.col("u.unit").alias("unit"), "node", "label", "size")
+    ordered = units.join(spread, "unit").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("groups", "unit"))).alias("units"))
+    first = F.slice("units", 1, (F.floor((1 - SIMILARITY) * F.col("n") + 1e-9) + 1).cast("int"))
+    keys = settle(ordered.select("node", "label", "n", F.posexplode_outer(first).alias("at", "u")).where("u.groups > 1").select("node", "label", "n", "at", "u.unit"))
+    rest = F.col("n") - F.col("at")
+    lower = keys.where(rest >= need * (F.col("n") + F.col("n") / STEP_OF_SIZE) - 1e-9).select(
+        "unit", _size_class(F.col("n")).alias("class"), F.col("node").alias("x"), F.col("label").alias("l"), F.col("n"), rest.alias("r"))
+    # partners are not larger, and no larger than the strips behind allow
+    most = F.least(F.col("n").cast("double"), F.floor(rest / need - F.col("n") + 1e-9).cast("double"))
+    least = F.ceil(SIMILARITY * F.col("n") - 1e-9)
+    upper = keys.where(most >= least).select("unit", F.explode(F.sequence(_size_class(least), _size_class(most))).alias("class"),
+                                             F.col("node").alias("y"), F.col("label").alias("k"), F.col("n").alias("m"), rest.alias("q"))
+    enough = F.least("r", "q") >= need * (F.col("n") + F.col("m")) - 1e-9
+    pairs = lower.join(upper, ["unit", "class"]).where((F.col("n") <= F.col("m")) & (F.col("x") != F.col("y")) & (F.col("l") != F.col("k")) & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -155,9 +174,10 @@ def classes(docs: DataFrame) -> DataFrame:
     occurrences) is at least 0.8, and classes are the connected sets of links.  keeper marks the rows equal to the
     one that stays: the least doc_id (null last), then the least text key.
 
-    Texts of equal words are one node.  Nodes that share a band form a bucket.  First each node is compared with its bucket's
-    least node only, and verified links are contracted: a group of copies of any size is mostly done.  Buckets that still
-    hold several groups compare across groups: small ones all pairs, others the pairs that share a rare shingle, which no similar pair can lack.
+    Texts of equal words are one node.  Nodes that share a band form a bucket.  First each node is compared with one node of its
+    bucket only, the one whose buckets are the largest (in a group of copies, mostly their original), and verified links are contracted: a group
+    of any size is mostly done.  Buckets that still hold several groups compare across groups: small ones all pairs, others by
+    ``rare_pairs``, which no similar pair can lack.
     So no bucket, however large, makes all its pairs, and no link within a bucket is lost.
 
     Null and empty texts have no words and are equal; a null doc_id is kept, and is class_id only if the class has no other; repeated
@@ -167,9 +187,13 @@ def classes(docs: DataFrame) -> DataFrame:
     # one row per distinct text; the numbers hold because the frame is written
     nodes = settle(signed.dropDuplicates(["content"]).withColumn("node", F.monotonically_increasing_id()))
     bands = nodes.select("node", "size", F.explode_outer("bands").alias("band")).where("band is not null")
-    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    # frames joined by band are written, so that a frequent band is split in the joins
+    buckets = settle(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = settle(bands.join(buckets, "band"))
-    stars = settle(shared.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = settle(shared.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("h")).select("band", (-F.col("h.least")).alias("hub")))
+    stars = shared.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    stars = settle(stars.distinct())
     wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id", "row"), "node")
     sets = settle(strip_sets(docs, wanted))
     links = settle(similar(stars, sets))
@@ -178,7 +202,7 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = open_.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     rest = settle(open_.join(mixed, "band", "left_semi"))
     pairs = _across(rest.where(F.col("n") <= FEW), ["band"])
-    pairs = pairs.unionByName(_across(rare_keys(rest.where(F.col("n") > FEW), sets), ["unit"])).distinct()
+    pairs = pairs.unionByName(rare_pairs(rest.where(F.col("n") > FEW), sets)).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
     labels = components(links.unionByName(similar(pairs, sets)))
     grouped = nodes.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label"))
