@@ -108,7 +108,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     shapes = settle(parts.groupBy(F.col("raw"), F.col("by.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("n")))
     counted = settle(shapes.select(F.explode("raw").alias("raw"), "verdict", "n").groupBy("raw").agg(
         F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("allow")))
-    split_ = segments(counted.select(F.col("raw.token").alias("token")).distinct(), word_counts(pages))
+    split_ = segments(counted.select(F.col("raw.token").alias("token")).distinct(), settle(word_counts(pages)))
     spelled = settle(counted.join(split_, counted["raw.token"] == split_["token"]).select("raw", "block", "allow", F.explode("words").alias("word")))
     per_word = spelled.groupBy("raw.kind", "word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     size = per_word.agg(F.count(F.lit(1)).alias("words"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
