@@ -22,13 +22,35 @@ def data_lines(lines: DataFrame) -> DataFrame:
     return lines.filter((t != "") & ~furniture & (F.col("y") >= end)).withColumn("text", t).withColumn("kind", band(F.col("x"), ROCK_BANDS, "other"))
 
 
+def _marker():
+    return (F.col("x") < 50) & F.col("text").isin(*LEVEL_MARKS)
+
+
 def place(lines: DataFrame) -> DataFrame:
-    """Level and rock each line belongs to: a numbered name opens a rock, number 1 opens a level."""
-    opens = (F.col("kind") == "rock") & F.col("text").rlike(r"^\d+\.\s")
+    """Level (from 1) and rock (from 1, 0 before the first) each line belongs to.
+
+    A numbered name opens a rock.  A name with number 1 opens a level too, but only if the running level has its mark and a
+    rock before its last one; what comes before the first rock belongs to the first level.
+    """
+    opens = (F.col("kind") == "rock") & F.col("text").rlike(r"^\d+\.\s") & ~_marker()
     order = [F.col("page_idx"), F.col("y"), F.col("x"), F.col("line_no")]
     flag = lambda c: F.when(c, 1).otherwise(0)
-    return scan(lines, ["doc"], order, chunk_of(F.col("page_idx"), 64), total={
-        "rock_no": flag(opens), "level_no": flag(opens & F.col("text").startswith("1."))})
+    numbered = scan(lines, ["doc"], order, chunk_of(F.col("page_idx"), 64), total={
+        "rock_no": flag(opens), "part_no": flag(opens & F.col("text").startswith("1."))})
+    # a row per name with number 1; the walk over them is as long as the printed table has such names
+    parts = numbered.groupBy("doc", "part_no").agg(F.count_if(_marker()).alias("marks"), F.count_if(opens).alias("rocks"))
+    part = F.sort_array(F.collect_list(F.struct("part_no", "marks", "rocks")))
+    none = F.array().cast("array<struct<part_no:bigint,level_no:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("marks"), F.lit(0).cast("long").alias("rocks"), F.lit(1).cast("long").alias("level"), none.alias("out"))
+
+    def step(s, p):
+        new = (p["part_no"] > 0) & (s["marks"] > 0) & (s["rocks"] > 1)
+        level = s["level"] + F.when(new, 1).otherwise(0)
+        return F.struct((F.when(new, 0).otherwise(s["marks"]) + p["marks"]).alias("marks"), (F.when(new, 0).otherwise(s["rocks"]) + p["rocks"]).alias("rocks"),
+                        level.alias("level"), F.concat(s["out"], F.array(F.struct(p["part_no"].cast("long").alias("part_no"), level.alias("level_no")))).alias("out"))
+
+    levels = parts.groupBy("doc").agg(part.alias("parts")).select("doc", F.explode(F.aggregate("parts", start, step, lambda s: s["out"])).alias("l"))
+    return numbered.join(levels.select("doc", "l.part_no", "l.level_no"), ["doc", "part_no"]).drop("part_no")
 
 
 def rocks(placed: DataFrame) -> DataFrame:
@@ -42,13 +64,14 @@ def rocks(placed: DataFrame) -> DataFrame:
 
 
 def level_values(placed: DataFrame) -> DataFrame:
-    """First value and first bracketed alternative of every column per level, carried on from the level before."""
+    """First value and first bracketed alternative of every column per level, carried on from the level before; a level has
+    a mark or a rock."""
     at = F.struct("page_idx", "y", "x", "line_no")
     bracketed = F.col("text").startswith("(") | F.col("text").startswith("（")
     pick = lambda k, alt: F.min_by("text", F.when((F.col("kind") == k) & (bracketed if alt else ~bracketed), at))
-    marker = (F.col("x") < 50) & F.col("text").isin(*LEVEL_MARKS)
     levels = placed.groupBy("doc", "level_no").agg(
-        F.max_by("text", F.when(marker, at)).alias("level"), *[pick(k, False).alias(k) for k in VALUES], *[pick(k, True).alias(f"alt_{k}") for k in VALUES])
+        F.max("rock_no").alias("_rocks"), F.max_by("text", F.when(_marker(), at)).alias("level"), *[pick(k, False).alias(k) for k in VALUES], *[pick(k, True).alias(f"alt_{k}") for k in VALUES])
+    levels = levels.filter(F.col("level").isNotNull() | (F.col("_rocks") > 0)).drop("_rocks")
     return carry_values(levels, ["doc"], "level_no", VALUES)
 
 

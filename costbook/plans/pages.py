@@ -135,9 +135,9 @@ def _(t):
 
 @register("j31_nearest_column", COLUMNS + """
 SELECT l.doc, l.page, l.line_no, CASE WHEN min(abs((l.x + l.x2) / 2 - c.centre)) < 80 THEN min_by(c.code, {'d': abs((l.x + l.x2) / 2 - c.centre), 'c': c.col}) END AS code
-FROM book_line l JOIN code_col c ON c.doc = l.doc AND c.page = l.page WHERE l.y > 60 GROUP BY l.doc, l.page, l.line_no, l.x, l.x2, l.text""")
+FROM book_line l JOIN code_col c ON c.doc = l.doc AND c.page = l.page GROUP BY l.doc, l.page, l.line_no, l.x, l.x2, l.text""")
 def _(t):
-    cells = t.book_line.filter("y > 60").dropDuplicates(["doc", "page", "line_no", "x", "x2", "text"])
+    cells = t.book_line.dropDuplicates(["doc", "page", "line_no", "x", "x2", "text"])
     return P.nearest_column(cells, columns(t), (F.col("x") + F.col("x2")) / 2, 80).select("doc", "page", "line_no", "code")
 
 
@@ -224,15 +224,14 @@ def _(t):
 
 
 @register("j32_as_of_contents", """
-WITH p AS (SELECT o_orderstatus AS doc, o_orderkey * 2 AS page FROM orders WHERE o_orderkey * 2 < (SELECT max(o_orderkey) FROM orders)),
+WITH p AS (SELECT o_orderstatus AS doc, o_orderkey AS page FROM orders),
 e AS (SELECT doc, start AS pos, 0 AS side, CAST(NULL AS BIGINT) AS page, ord, level, title FROM toc_tree UNION ALL SELECT doc, page, 1, page, NULL, NULL, NULL FROM p),
 r AS (SELECT *, max(CASE WHEN level = 1 THEN {'o': ord, 't': title} END) OVER w AS c, max(CASE WHEN level = 2 THEN {'o': ord, 't': title} END) OVER w AS s, max(CASE WHEN level = 3 THEN {'o': ord, 't': title} END) OVER w AS b
   FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos, side, coalesce(ord, page)))
 SELECT doc, page, coalesce(c.t, '') AS chapter, coalesce(s.t, '') AS section, coalesce(b.t, '') AS subsection FROM r WHERE side = 1""")
 def _(t):
-    last = t.orders.agg(F.max("o_orderkey").alias("last"))
-    pages = t.orders.select(F.col("o_orderstatus").alias("doc"), (F.col("o_orderkey") * 2).alias("page")).join(F.broadcast(last), F.col("page") < F.col("last"))
-    return P.as_of_contents(pages.select("doc", "page"), P.contents_tree(t.toc_line))
+    pages = t.orders.select(F.col("o_orderstatus").alias("doc"), F.col("o_orderkey").alias("page"))
+    return P.as_of_contents(pages, P.contents_tree(t.toc_line))
 
 
 @register("j32_page_context")

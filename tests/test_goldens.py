@@ -265,3 +265,29 @@ def test_replacing_one_source_keeps_the_others(spark, tmp_path):
     for s, n in (("a", 1), ("b", 2), ("a", 3)):
         ST.replace_sources(frame(s, n), path)
     assert rows(spark.read.parquet(path).select("source_id", "id")) == [("a", 3), ("b", 2)]
+
+
+def test_appendix_levels_equal_a_plain_walk(spark):
+    from costbook.operators import appendix as X
+    random.seed(8)
+    lines = []
+    for k in range(240):
+        kind = random.random()
+        x, text = (60.0, f"{random.choice([1, 1, 2, 3])}. rock{k}") if kind < 0.35 else (20.0, random.choice(["V", "VI"])) if kind < 0.55 else (70.0, f"more{k}") if kind < 0.65 else (260.0, str(k))
+        lines.append((f"D{k % 3}", k // 60, k, x, 200.0 + k, text))
+    got = {(r.doc, r.line_no): (r.level_no, r.rock_no) for r in X.place(X.data_lines(spark.createDataFrame(
+        lines, "doc string, page_idx long, line_no long, x double, y double, text string"))).collect()}
+    want = {}
+    for doc in ("D0", "D1", "D2"):
+        level, rock, marked, done = 1, 0, False, 0
+        for d, _, line, x, _, text in lines:
+            if d != doc:
+                continue
+            if x < 50:
+                marked = True
+            elif x == 60.0:
+                if text.startswith("1.") and marked and done > 1:
+                    level, marked, done = level + 1, False, 0
+                rock, done = rock + 1, done + 1
+            want[d, line] = (level, rock)
+    assert got == want and max(v[0] for v in want.values()) > 3

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 # queries whose global numbers come from one row per chunk
 NUMBERED = {"a28_resource_registry", "w20_block_numbers", "e08_chapter_index", "e14_export_price_list", "o01_price_list_order", "o03_observation_order", "o07_chapter_order"}
 # queries that attach a one-row total to every row
-ONE_ROW = {"e03_price_list", "e07_gap_match_report", "j32_as_of_contents"}
+ONE_ROW = {"e03_price_list", "e07_gap_match_report"}
 WRITES = {"src01_read_library", "d05_header_attributes", "d06_table_records", "u06_attribute_order", "snk04_class_tree_export"}
 
 
