@@ -42,17 +42,17 @@ def paths(nodes: DataFrame) -> DataFrame:
         further = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("end"))
         jumps.append(settle(jump.join(further, ["tree", "to"]).select("tree", "node", F.col("end").alias("to"))))
     leaves = nodes.join(link.select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    way = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    way = settle(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     for k in range(len(jumps) - 2, -1, -1):
         step = way.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        way = way.unionByName(step)
+        way = settle(way.unionByName(step))  # else the plan doubles each round
     return way
 
 
 def best_branches(nodes: DataFrame, keep: int | None) -> DataFrame:
     """(tree, leaf, rank, turns): the ``keep`` branches of each tree (None: all) with the highest sum of scores, ties to the
     smaller leaf; turns: array of (up, role, text), root first."""
-    way = settle(paths(nodes))
+    way = paths(nodes)
     on_way = way.join(nodes.select("tree", "node", "role", "text", "score"), ["tree", "node"])
     branches = on_way.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0))).alias("total"))
     ranked = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
