@@ -35,8 +35,10 @@ def paths(nodes: DataFrame) -> DataFrame:
     # a parent that is not there ends the way
     known = nodes.select("tree", F.col("node").alias("to"))
     jumps = [settle(link.join(known, ["tree", "to"], "left_semi"))]
+    # no way is longer than there are nodes
+    rounds = jumps[0].count().bit_length() + 1
     while not jumps[-1].isEmpty():
-        if len(jumps) > 40:
+        if len(jumps) > rounds:
             raise ValueError("a node is its own ancestor")
         jump = jumps[-1]
         further = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("end"))
