@@ -17,7 +17,7 @@ from costbook.session import settle
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4  # two texts at a similarity of 0.8 share no band with probability (1 - 0.8**4)**32 = 5e-8
 FEW = 16  # buckets of at most so many texts compare all their pairs
-STEP_OF_SIZE = 1.02
+STEP_OF_SIZE = 1.05
 # Poisson(1): chance of at most n darts in a unit of area
 DARTS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 20)))))
 
