@@ -43,21 +43,74 @@ def items_of(benchmark: DataFrame, shingle: int, radius: int) -> DataFrame:
     return rows.select("*", simhash("shingles").alias("print"), strips("shingles").alias("strips"))
 
 
-def seeds_of(items: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(seed, item, size, at, slack): the rows by which windows are found.
+def least_shared(similarity: float) -> Column:
+    """Strips that an item of ``size`` and a window of ``held`` shingles share at least if they are that similar."""
+    return F.ceil((F.col("size") + F.col("held")) * similarity / (1 + similarity) - 1e-9).cast("int")
+
+
+def seeds_of(items: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(seed, item, size, seeds): the rows by which documents are found, one for each distinct seed of an item.
 
     A window as similar as asked shares at least ``similarity`` of an item's shingles, hence one of any
-    (1 - similarity) * size + 1 of them; the longest are taken, as they are the rarest.  slack: how far the
-    words of such a window can have moved against the item, (1 - s) / (1 + s) * size shingles less those that a move breaks.
+    (1 - similarity) * size + 1 of them, wherever it stands in the window; the longest are taken, as they are the
+    rarest.  seeds: how many shingles of the item are one of its seeds.
     """
     need = F.floor((1 - similarity) * F.col("size") + 1e-9).cast("int") + 1
-    spelled = F.transform("shingles", lambda x, i: F.struct(
-        F.length(F.array_join(F.slice("words", i + 1, shingle), "")).alias("letters"), x.alias("seed"), i.alias("at")))
+    spelled = F.transform("shingles", lambda x, i: F.struct(F.length(F.array_join(F.slice("words", i + 1, shingle), "")).alias("letters"), x.alias("seed"), i.alias("at")))
     chosen = items.withColumn("spelled", spelled).withColumn("need", need)
     chosen = chosen.withColumn("best", F.transform(F.slice(F.sort_array("spelled", asc=False), 1, F.col("need")), lambda x: x["seed"]))
-    slack = F.greatest(F.lit(0), F.floor(F.col("size") * (1 - similarity) / (1 + similarity) + 1e-9).cast("int") - (shingle - 1))
-    chosen = chosen.select("item", "size", slack.alias("slack"), F.explode(F.filter("spelled", lambda x: F.array_contains("best", x["seed"]))).alias("s"))
-    return chosen.select(F.col("s.seed").alias("seed"), F.col("s.at").alias("at"), "item", "size", "slack")
+    chosen = chosen.withColumn("seeds", F.size(F.filter("shingles", lambda x: F.array_contains("best", x))))
+    return chosen.select(F.explode(F.array_distinct("best")).alias("seed"), "item", "size", "seeds")
+
+
+def starts_with(at: str, least: str, held: str, count: str) -> Column:
+    """Runs (first, last) of all starts whose windows of ``held`` places, of ``count`` in all, hold ``least`` or more of the places ``at`` (ascending)."""
+    places, k, n = F.col(at), F.col(least), F.col(held)
+    room = F.transform(F.slice(places, 1, F.greatest(F.size(places) - k + 1, F.lit(0))), lambda x, i: F.struct(
+        F.greatest(F.lit(0), F.get(places, i + k - 1) - n + 1).alias("first"), F.least(x, F.col(count) - n).alias("last")))
+    return F.filter(room, lambda r: r["first"] <= r["last"])
+
+
+def merged(runs: str) -> Column:
+    """Runs, ascending in both ends, with those joined that touch."""
+    own = F.col(runs)
+    first = F.filter(own, lambda r, i: (i == 0) | (r["first"] > F.get(own, i - 1)["last"] + 1))
+    last = F.filter(own, lambda r, i: (i == F.size(own) - 1) | (F.get(own, i + 1)["first"] > r["last"] + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last")))
+
+
+def windows_of(docs: DataFrame, items: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, row, size, start, window) of all windows that can be as similar to an item of their size as asked.
+
+    Documents are found by seeds.  A window has at least as many places with a seed as an item's seeds are more than the
+    shingles it can lack; around such windows all shingles of the item are looked up, and those windows stay that have
+    as many places with one of them as they must share.  Neither count asks for an order.
+    """
+    seeds = small(seeds_of(items, similarity, shingle))
+    texts = docs.select("doc_id", text_key("text").alias("row"), words(F.col("text")).alias("words"))
+    texts = texts.select("doc_id", "row", shingles(F.col("words"), shingle).alias("shingles"))
+    # outer: else Spark tests the array's size before, by hashing the shingles once more
+    found = texts.select("doc_id", "row", F.size("shingles").alias("count"), F.posexplode_outer("shingles").alias("pos", "seed")).join(seeds, "seed")
+    found = found.groupBy("doc_id", "row", "count", "item", "size", "seeds").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    found = found.withColumn("held", F.least("size", "count"))
+    found = found.withColumn("least", F.greatest(F.lit(1), F.col("seeds") - F.col("size") + least_shared(similarity)))
+    found = found.withColumn("runs", starts_with("at", "least", "held", "count")).withColumn("run", F.explode(merged("runs")))
+    # few and short: one row for each document that can leak, so that its text is cut once more
+    asked = settle(found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "run")).alias("asked")))
+    asked = small(asked.withColumnRenamed("doc_id", "id").withColumnRenamed("row", "key"))
+    again = docs.select("doc_id", "text", text_key("text").alias("row"))
+    again = again.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")))
+    again = again.select("doc_id", "row", "asked", words(F.col("text")).alias("words"))
+    again = again.select("doc_id", "row", "asked", shingles(F.col("words"), shingle).alias("shingles"))
+    again = again.select("doc_id", "row", "shingles", F.explode("asked").alias("ask")).select("doc_id", "row", "shingles", "ask.item", "ask.run")
+    again = again.join(small(items.select("item", "size", F.array_distinct("shingles").alias("kinds"))), "item")
+    again = again.withColumn("held", F.least("size", F.size("shingles")))
+    again = again.withColumn("part", F.slice("shingles", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + F.col("held"))).drop("shingles")
+    again = again.withColumn("count", F.size("part")).withColumn("least", least_shared(similarity))
+    shared = F.filter(F.transform("part", lambda x, i: F.when(F.array_contains("kinds", x), i)), lambda i: i.isNotNull())
+    again = again.withColumn("at", shared).withColumn("runs", starts_with("at", "least", "held", "count")).withColumn("run_of", F.explode(merged("runs")))
+    again = again.withColumn("from", F.explode(F.sequence("run_of.first", "run_of.last")))
+    return again.select("doc_id", "row", "size", (F.col("run.first") + F.col("from")).alias("start"), F.slice("part", F.col("from") + 1, F.col("held")).alias("window"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 19) -> DataFrame:
@@ -66,25 +119,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: f
 
     Texts are words in lower case.  A window has as many words as the item, or is the whole document where that is shorter.  It
     counts if its weighted Jaccard similarity to the item over ``shingle``-word shingles (weight: occurrences) is at least
-    ``similarity``.  Windows that share a seed shingle (see ``seeds_of``) are fingerprinted by SimHash, each distinct
-    window once; a block index finds all item fingerprints of the same size within ``radius`` bits (19 of 64: at a
+    ``similarity``, in whatever order the words of the passage come.  All windows that hold enough of an item's shingles (see
+    ``windows_of``) are fingerprinted by SimHash, each distinct one once; a block index finds all item fingerprints of the same size within ``radius`` bits (19 of 64: at a
     similarity of 0.8 bits differ with probability 0.15, so one true window in a thousand is further off); the exact similarity decides.
 
     Rows without words, in either table, match nothing.  Null ids are kept as they are; repeated rows count once;
     other columns are ignored; empty tables give no rows.
     """
     items = settle(items_of(benchmark, shingle, radius))
-    seeds = small(seeds_of(items, shingle, similarity))
-    texts = docs.select("doc_id", text_key("text").alias("row"), words(F.col("text")).alias("words"))
-    texts = texts.select("doc_id", "row", shingles(F.col("words"), shingle).alias("shingles"))
-    # outer: else Spark tests the array's size before, by hashing the shingles once more
-    found = texts.select("doc_id", "row", "shingles", F.posexplode_outer("shingles").alias("pos", "seed")).join(seeds, "seed")
-    starts = F.transform(F.sequence(-F.col("slack"), F.col("slack")), lambda d: F.greatest(
-        F.lit(0), F.least(F.col("pos") - F.col("at") + d, F.size("shingles") - F.col("size"))))
-    found = found.withColumn("start", F.explode_outer(F.array_distinct(starts)))
-    found = found.withColumn("window", F.slice("shingles", F.col("start") + 1, F.col("size"))).drop("shingles", "words")
     # the windows are few and short; they are written once and read for matching and for the result
-    hits = settle(found.select("doc_id", "row", "size", "start", F.xxhash64("window").alias("content"), "window"))
+    hits = settle(windows_of(docs, items, shingle, similarity).withColumn("content", F.xxhash64("window")))
     windows = hits.select("size", "content", "window").dropDuplicates(["size", "content"])
     windows = windows.select("*", simhash("window").alias("print"), strips("window").alias("strips"))
     probes = windows.select("size", "content", "strips", F.col("print").alias("w_print"), F.posexplode(blocks("print", radius)).alias("block", "part"))

@@ -80,3 +80,19 @@ def test_empty_tables(spark, tables):
     some_d, some_i = spark.createDataFrame([(*d, 1, "r", 2) for d in docs[:3]], DOCS), spark.createDataFrame([(*i, 1) for i in items[:3]], ITEMS)
     assert decontaminate.leaks(none_d, some_i).count() == 0 and decontaminate.leaks(some_d, none_i).count() == 0
     assert decontaminate.decontaminate(some_d, none_i).count() == 3
+
+
+def test_order_of_the_passage_does_not_matter(spark):
+    dice = random.Random(11)
+    items, docs = [], []
+    for size in (45, 57, 60, 90, 200):
+        words = [f"x{dice.randrange(10**6)}" for _ in range(size)]
+        items.append((size, " ".join(words)))
+        halves = words[size // 2:] + words[:size // 2]
+        docs += [(len(docs), " ".join(halves)), (len(docs) + 1, f"{prose(dice, 70)} {' '.join(halves)} {prose(dice, 130)}")]
+        edited = list(halves)
+        edited[3] = "other"
+        docs.append((len(docs), f"{prose(dice, 9)} {' '.join(edited)}"))
+    found = decontaminate.leaks(spark.createDataFrame([(*d, 1, "r", 2) for d in docs], DOCS), spark.createDataFrame([(*i, 1) for i in items], ITEMS)).collect()
+    want = plain(docs, items)
+    assert {(r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found} == want and len(want) >= 10
