@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on ten sources or more and that another document keeps; n_chars is counted anew."""
+    """All documents, without lines that stand on ten sources or more (long ones: three) and that another document keeps; n_chars is counted anew."""
     out = lines.dedup_lines(docs)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 

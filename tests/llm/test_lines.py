@@ -60,3 +60,11 @@ def test_rows_alike_are_treated_alike(spark):
 
 def test_nothing(spark):
     assert run(spark, []) == []
+
+
+def test_long_lines_need_fewer_sites(spark):
+    long, short = "many words " * 10, "few words"
+    rows = [(k, f"own {k}\n{long}\n{short}", f"s{k % 4}") for k in range(20)] + [(k, f"pair {long}\nown {k}", f"s{k % 2}") for k in range(20, 24)]
+    got = run(spark, rows)
+    assert got == order([(0, f"own 0\n{long}\n{short}", 0)] + [(k, f"own {k}\n{short}", 1) for k in range(1, 20)] + [(k, t, 0) for k, t, _ in rows[20:]])
+    assert run(spark, rows, long_sites=10) == order(plain(rows, 10)) and run(spark, rows, min_sites=2) == order(plain(rows, 2))
