@@ -134,6 +134,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, scale: int) -> DataFrame:
     queries: (query_id, vector), rows: (vec_id, vector).  A row with the query's own id is no candidate.  Rows whose id or vector is null, or whose
     vector holds a null, NaN or infinity, take no part; vectors meet those of their own length.  Repeated ids are candidates row by row; repeated
     query ids are searched once per distinct vector and share one list.  Empty tables give no rows.
+    Scores are exact below 2**53 only: where max|query| * max|row| * dimensions of whole components of a pair of blocks
+    reaches that, the task raises ValueError and the search gives no result.
 
     Both sides are packed into blocks; each pair of blocks is work of its own, and a task returns the best k per query of
     its blocks only.  Query blocks are copied once per group of row blocks, so one query block's work spreads over tasks.
