@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costbook.functions import labels as L
 from costbook.functions.text import join_spec, mix_name, nrm_prefix, strip_ordinals, unit_bridge
 from costbook.operators.hierarchy import closure, natural_order
-from costbook.operators.ordered import CHUNK, chunk_of, numbered, scan
+from costbook.operators.ordered import chunk_of, numbered, scan
 from costbook.operators.pricing import cost_columns
 
 
@@ -54,7 +54,7 @@ def code_to_chapters(norms: DataFrame, items: DataFrame) -> DataFrame:
         items.select("code", F.lit(1).alias("kind"), F.col("code").alias("ord"), F.lit(0).cast("long").alias("_n"), "chap_ID"))
     kept = all_.filter(F.coalesce("code", F.lit("")) != "")
     order = [F.col("kind"), F.col("_n"), F.col("ord"), F.col("chap_ID")]
-    return numbered(kept, order, [F.col("kind"), chunk_of(F.col("_n"), 1 << 16)], "pos", ["code"]).select("code", "pos", "chap_ID")
+    return numbered(kept, order, "pos", ["code"]).select("code", "pos", "chap_ID")
 
 
 def search_text(norms: DataFrame, slice_size: int = 1 << 14) -> DataFrame:
@@ -138,7 +138,7 @@ def detail_order() -> list[Column]:
 
 def sort_rows(rows: DataFrame) -> DataFrame:
     """Running number of the rows of each chapter."""
-    return numbered(rows, detail_order(), [F.col("part"), chunk_of(F.col("ord"))], "sort_order", ["chap_ID"])
+    return numbered(rows, detail_order(), "sort_order", ["chap_ID"])
 
 
 def nrm_mapped(nrm: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def section_tables(items: DataFrame) -> DataFrame:
     subs = items.groupBy("section_id", "subitem_title").agg(
         F.count(F.lit(1)).alias("row_count"), F.min_by("page", "id").alias("page"), F.min("id").alias("first_id"))
     shape = subs.groupBy("section_id").agg(F.count(F.lit(1)).alias("subitems"), F.sum("row_count").alias("section_rows"))
-    placed = numbered(subs, [F.col("first_id")], [chunk_of(F.col("first_id"), CHUNK * 16)], "_pos", ["section_id"])
+    placed = numbered(subs, [F.col("first_id")], "_pos", ["section_id"])
     pos = (F.col("_pos") - 1).cast("long")
     return placed.join(shape, "section_id").select(
         "section_id", "subitem_title", "row_count", "page", "section_rows", "subitems", pos.alias("position"),

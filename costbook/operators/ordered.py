@@ -7,11 +7,14 @@ per chunk, carry values and totals from chunk to chunk.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costbook.session import settle
+
 CHUNK = 4096
 
 
@@ -78,24 +81,32 @@ def _plain(column: Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-def numbered(df: DataFrame, order: list[Column], chunk_keys: list[Column], name: str,
-             keys: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Consecutive numbers from 1 along ``order``, per ``keys`` or over the whole frame.
 
-    ``chunk_keys`` are ascending coarse parts of the order.  Only their counts, one row per
-    distinct coarse part, meet in one task; the rows themselves stay in their chunks.
+    The rows are dealt by ranges of the whole order, so a key with a third of all rows, or many rows alike in the first
+    parts of the order, spread over the tasks.  A row's number is its place in its task plus what lies in the tasks
+    before: one count per task (and key there) is all that is gathered.  Rows alike in the whole order and keys are
+    numbered in any way; null keys are one key.
     """
-    keys = keys or []
-    parts = [f"_k{i}" for i in range(len(chunk_keys))]
-    rows = df.select("*", *[c.alias(p) for c, p in zip(chunk_keys, parts)])
-    counts = rows.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, *parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, *parts).orderBy(*order)
-    ranked = rows.withColumn("_rn", F.row_number().over(local))
-    joined = ranked.alias("r").join(
-        offsets.alias("o"), [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*keys, *parts)])
-    return joined.select((F.col("_rn") + F.col("_offset")).alias(name), *[F.col(f"r.{c}") for c in df.columns])
+    by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # written, so that places and counts are those of one run
+    rows = settle(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    held = rows.groupBy(*keys, task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+        starts = held.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    else:
+        counts = sorted((r["_task"], r["_n"], r["_first"]) for r in held.collect())  # a row per task
+        sums = [0, *accumulate(n for _, n, _ in counts)]
+        starts = F.broadcast(df.sparkSession.createDataFrame(
+            [(t, before - first) for (t, _, first), before in zip(counts, sums)], "_task long, _start long"))
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_task"), F.col("_start"))
+    on = [task == F.col("_task"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    joined = rows.join(starts, on)
+    return joined.select((F.col("_at") + F.col("_start") + 1).alias(name), *[c for c in df.columns if c != name])
 
 
 def gap_groups(df: DataFrame, keys: list[str], value: Column, tie: Column, tolerance: float,

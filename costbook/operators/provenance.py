@@ -21,8 +21,7 @@ def quote_provenance(matches: DataFrame, quotes: DataFrame, n: int | None = None
     order = [F.col("confidence").desc(), F.col("quote_date").desc(), F.col("quote_ID")]
     if n is not None:
         return top_per_key(both, ["res_ID"], order, n)
-    # a resource with very many quotes is ranked in parts, by confidence
-    return numbered(both, order, [-F.col("confidence")], "rank", ["res_ID"])
+    return numbered(both, order, "rank", ["res_ID"])
 
 
 def live_aliases(aliases: DataFrame, usage: DataFrame) -> DataFrame:
@@ -43,7 +42,7 @@ def norms_using(consumption: DataFrame, content: DataFrame, norms: DataFrame, n:
     lines = volume_content(content, norms).join(linked, ["vol", "cons_ID"])
     order = [F.col("cont_Amount").desc_nulls_last(), F.col("norm_ID")]
     if n is None:
-        best = numbered(lines, order, [F.coalesce(-F.col("cont_Amount"), F.lit(float("inf")))], "rank", ["res_ID", "vol"])
+        best = numbered(lines, order, "rank", ["res_ID", "vol"])
     else:
         # cut before the norm texts are fetched
         best = top_per_key(lines, ["res_ID", "vol"], order, n)

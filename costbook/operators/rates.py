@@ -66,7 +66,7 @@ def registry(lines: DataFrame) -> DataFrame:
     """The first line of every label, numbered by class then name."""
     first = first_lines(lines)
     order = [class_rank(F.col("cls")), F.col("name"), F.col("label")]
-    return numbered(first, order, [order[0], F.substring("name", 1, 8)], "no")
+    return numbered(first, order, "no")
 
 
 def consumption_matrix(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from costbook.functions import text as X
 from costbook.operators import hierarchy as H
 from costbook.operators import norms as N
 from costbook.operators import pricing as R
-from costbook.operators.ordered import chunk_of, numbered
+from costbook.operators.ordered import numbered
 from costbook.operators.provenance import volume_content
 from costbook.plans.prices import PACK, _latest
 from costbook.plans.registry import register
@@ -321,7 +321,7 @@ SELECT c.chap_ID, c.chap_PID, c.chap_Name, length(c.chap_code) - length(replace(
 def _(t):
     counts = H.subtree_counts(t.chapter, H.direct_counts(t.spread_norm, t.enterprise_item)).select("chap_ID", "badge")
     order = [F.col("chap_code"), F.col("chap_ID")]
-    ranked = numbered(t.chapter.join(counts, "chap_ID"), order, [F.substring("chap_code", 1, 12)], "no")
+    ranked = numbered(t.chapter.join(counts, "chap_ID"), order, "no")
     return ranked.select("chap_ID", "chap_PID", "chap_Name", H.code_level(F.col("chap_code")).cast("long").alias("level"), "badge",
                          (F.col("no") - 1).alias("sort_order"))
 
@@ -409,7 +409,7 @@ SELECT table_id, norms_code, id, row_number() OVER (PARTITION BY table_id, norms
   CASE WHEN cost_item = '基价' THEN 3 WHEN cost_item_unit = '工日' THEN 0 WHEN cost_item_unit = '台班' THEN 2 ELSE 1 END, sort_order, id) AS no FROM norms_item""")
 def _(t):
     order = N.mix_order()
-    return numbered(t.norms_item, order, [order[0], F.col("sort_order")], "no", ["table_id", "norms_code"]).select("table_id", "norms_code", "id", "no")
+    return numbered(t.norms_item, order, "no", ["table_id", "norms_code"]).select("table_id", "norms_code", "id", "no")
 
 
 SPEC2 = "CASE WHEN a.attr_level2 IS NOT NULL THEN concat(' ', a.attr_level2, 'mm') ELSE '' END"

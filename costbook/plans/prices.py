@@ -353,8 +353,7 @@ def _(t):
 @register("o01_price_list_order", LISTED.replace("{where}", "") + f"""
 SELECT row_number() OVER (ORDER BY (price IS NULL) DESC, refs DESC, res_Code, res_ID) AS no, {', '.join(ROLLED_COLUMNS)} FROM rolled""")
 def _(t):
-    coarse = [F.col("price").isNotNull(), -F.col("refs"), F.substring("res_Code", 1, 6)]
-    return numbered(_rolled(C.roll_up(listing(t))), C.list_order(), coarse, "no")
+    return numbered(_rolled(C.roll_up(listing(t))), C.list_order(), "no")
 
 
 @register("o02_paging", LISTED.replace("{where}", "WHERE vol = 'C'") + f"""
@@ -401,8 +400,7 @@ def _(t):
 SELECT row_number() OVER (ORDER BY price IS NOT NULL, refs DESC, res_Code) AS no, * FROM ({REPORT.strip()})""")
 def _(t):
     unpriced_first = F.when(F.col("price").isNull(), 0).otherwise(1)
-    return numbered(report(t), [unpriced_first, F.col("refs").desc(), F.col("res_Code")],
-                    [unpriced_first, -F.col("refs"), F.substring("res_Code", 1, 6)], "no")
+    return numbered(report(t), [unpriced_first, F.col("refs").desc(), F.col("res_Code")], "no")
 
 
 @register("snk07_export_statistics", LISTED.replace("{where}", "") + """
@@ -474,7 +472,7 @@ SELECT row_number() OVER (ORDER BY weight DESC, value_cny, obs_ref, source, res_
 FROM benchmark_obs WHERE pack = '{PACK}'""")
 def _(t):
     rows = V.observations(t.benchmark_obs, PACK).select("res_ID", "obs_ref", "value_cny", "weight", "source")
-    return numbered(rows, [*V.observation_order(), F.col("res_ID")], [-F.col("weight"), F.floor(F.col("value_cny") / 64)], "no")
+    return numbered(rows, [*V.observation_order(), F.col("res_ID")], "no")
 
 
 @register("e05_benchmark", f"""

@@ -114,7 +114,7 @@ def _(t):
 @register("o08_codes_as_numbers", "SELECT page, code, row_number() OVER (PARTITION BY page ORDER BY CAST(code AS BIGINT)) AS no FROM (SELECT DISTINCT page, code FROM md_code)")
 def _(t):
     number = F.col("code").cast("long")
-    return numbered(t.md_code.select("page", "code").distinct(), [number], [F.floor(number / 65536)], "no", ["page"])
+    return numbered(t.md_code.select("page", "code").distinct(), [number], "no", ["page"])
 
 
 @register("q07_markdown_pages", f"""

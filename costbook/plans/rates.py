@@ -84,7 +84,7 @@ def _(t):
 SELECT label, row_number() OVER (PARTITION BY unit ORDER BY CASE cls WHEN 'labour' THEN 0 WHEN 'materials' THEN 1 ELSE 2 END, name, label) AS no FROM rg""")
 def _(t):
     order = [U.class_rank(F.col("cls")), F.col("name"), F.col("label")]
-    return numbered(U.first_lines(priced_lines(t)), order, [order[0], F.substring("name", 1, 8)], "no", ["unit"]).select("label", "no")
+    return numbered(U.first_lines(priced_lines(t)), order, "no", ["unit"]).select("label", "no")
 
 
 @register("a26_consumption_matrix", "WITH " + RES + "SELECT * FROM mx")
@@ -118,7 +118,7 @@ def _(t):
 def _(t):
     named = U.block_names(U.pack_blocks(_items(t)))
     order = [F.col(c) for c in (*U.BLOCK_KEYS, "block", "norm_ID")]
-    return numbered(named, order, [F.col("chapter"), F.col("section"), F.substring("subsection", 1, 15)], "seq")
+    return numbered(named, order, "seq")
 
 
 @register("e13_export_norms")
@@ -157,7 +157,7 @@ def _(t):
     upper = t.chapter.select(F.col("chap_ID").alias("up"), F.col("chap_Name").alias("chapter"))
     rows = t.norm.select("chap_ID", F.col("vol").alias("volume")).distinct().join(leaf, "chap_ID").join(upper, "up").select("volume", "chapter").distinct()
     order = [*U.chapter_order(), F.col("volume")]
-    return numbered(rows, order, order[:2], "no")
+    return numbered(rows, order, "no")
 
 
 FIELDS = "CASE l_linenumber WHEN 1 THEN 'k1' WHEN 2 THEN 'k2' WHEN 3 THEN 'u1' WHEN 4 THEN 'other' ELSE 'k1' END"

@@ -216,5 +216,4 @@ SELECT chap_ID, chap_code, row_number() OVER (PARTITION BY chap_PID ORDER BY
   list_transform(string_split(chap_code, '.'), lambda x: CAST(x AS INT)), chap_ID) AS no FROM chapter""")
 def _(t):
     order = H.natural_order(F.col("chap_code"))
-    return numbered(t.chapter, [order, F.col("chap_ID")], [F.slice(order, 1, 2), F.floor(F.coalesce(F.try_element_at(order, F.lit(3)), F.lit(-1)) / 4096)],
-                    "no", ["chap_PID"]).select("chap_ID", "chap_code", "no")
+    return numbered(t.chapter, [order, F.col("chap_ID")], "no", ["chap_PID"]).select("chap_ID", "chap_code", "no")
