@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costbook.llm import chat, credentials, decontaminate, lines, near, packing, shards, topk, toxicity, urls
+from costbook.llm import chat, credentials, decontaminate, lines, mixing, near, packing, shards, topk, toxicity, urls
 from costbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,11 @@ def op9_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near.classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op11_threshold_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, folder, "documents"))
+
+
+SQL["op11_threshold_mix"] = mixing.SQL
