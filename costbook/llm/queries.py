@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costbook.llm import chat, credentials, decontaminate, lines, mixing, near, packing, shards, topk, toxicity, urls
+from costbook.llm import chat, credentials, decontaminate, lines, mixing, near, packing, shards, topk, toxicity, tries, urls
 from costbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,11 @@ def op11_threshold_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op11_threshold_mix"] = mixing.SQL
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_nodes(tries.rebuilt(tries.conversations(table(spark, folder, "conversations"))))
+
+
+SQL["op12_prefix_trie"] = tries.SQL
