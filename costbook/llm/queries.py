@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costbook.llm import chat, credentials, decontaminate, lines, mixing, near, packing, shards, topk, toxicity, tries, urls
+from costbook.llm import chat, credentials, decontaminate, lines, manifest, mixing, near, packing, shards, topk, toxicity, tries, urls
 from costbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,11 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_prefix_trie"] = tries.SQL
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify(table(spark, folder, "documents"), manifest.tampered())
+
+
+SQL["op13_merkle_manifest"] = manifest.sql(tries.crc32_sql("CAST(doc_id AS VARCHAR)"))
