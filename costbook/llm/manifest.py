@@ -298,7 +298,7 @@ def verify(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
     sweeps, subroots = climb(leaves.select("tree", "place", "digest"), folder)
     trees = settle(numbered(subroots, [F.col("tree").asc_nulls_first()], "place").withColumn("place", F.col("place") - 1))
     above, roots = climb(trees.select(F.lit("").alias("tree"), "place", F.col("subroot").alias("digest")), folder)
-    top = roots.select(F.lit("").alias("tree"), F.array().cast(PATH).alias("way"), "subroot")
+    top = roots.select("tree", F.array().cast(PATH).alias("way"), "subroot")
     blocks = descend(above, top, folder)
     down = proofs(above[0][0], blocks, folder, "tree string, place long, way " + PATH + ", subroot string", _ways)
     ways = settle(trees.join(down.select("place", "way"), "place").select("tree", "way", "subroot"))
