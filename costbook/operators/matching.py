@@ -1,54 +1,68 @@
 """Fuzzy matching: unpriced resources to quotes, norms and chapters to the leaves of another tree.
 
-Names repeat far more often than they differ, so texts are compared once per distinct pair
-and the results joined back; pairs meet through an index of shared characters or a domain.
+Names repeat far more often than they differ, so distinct texts are compared and the results joined back.  Texts
+are ids and sets of numbered characters until the best are known.  Candidates are sought in rounds of falling
+thresholds: what a round cannot reach scores less than its threshold, so a text that has enough above it is done, and
+only the others meet more partners in the next round.  The last round has no threshold, so nothing is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costbook.functions import names as A
 from costbook.functions import similarity as S
+from costbook.operators import postings as P
 from costbook.operators.provenance import top_per_key
+from costbook.session import settle
 
 ROUGH = 40
 MIN_SCORE = 0.34
+ROUGH_ROUNDS = (0.7, 0.35, 0.0)
+SCORE_ROUNDS = (S.CONTAINED, 0.6, 0.35, 0.0)
+ANY = 1e-9  # a ratio that one shared token reaches
+LIFT = 0.15  # for each category that two chapters share
 
 
-def _index(side: DataFrame, key: list[str], rarity: DataFrame, spared: int) -> DataFrame:
-    """Every text with its tokens from rare to common, the ``spared`` most common ones left out."""
-    ranked = side.select(*key, F.explode("tokens").alias("token")).join(rarity, "token")
-    listed = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_count", "token"))).alias("_ranked"))
-    order = F.transform("_ranked", lambda x: x["token"])
-    return listed.select(*key, F.slice(order, F.lit(1), F.greatest(F.size("_ranked") - spared, F.lit(0))).alias("index"))
+def _with_id(rows: DataFrame) -> DataFrame:
+    """The rows written with an id of their own."""
+    return settle(rows.withColumn("id", F.monotonically_increasing_id()))
 
 
-def token_pairs(left: DataFrame, right: DataFrame, l_key: list[str], r_key: list[str], by: list[str], shared: int = 1) -> DataFrame:
-    """Pairs of texts of one block (``by``) that have at least ``shared`` tokens in common.
+def _rough(n: Column, m: Column, shared: Column) -> Column:
+    """The prefilter from sizes: larger of Jaccard and 0.7 times containment, 0 below two shared characters."""
+    return F.when(shared < 2, F.lit(0.0)).otherwise(F.greatest(shared / (n + m - shared), shared / F.least(n, m) * 0.7))
 
-    Two texts that share k tokens also share one outside any k-1 of each, so leaving out the
-    k-1 most common tokens of every text loses no pair.  A pair is kept only at its rarest
-    common token: it appears once, and a hot block is spread over its tokens.
-    """
-    every = left.select(F.explode("tokens").alias("token")).unionByName(right.select(F.explode("tokens").alias("token")))
-    # one row per token of the alphabet
-    rarity = every.groupBy("token").agg(F.count(F.lit(1)).alias("_count"))
-    spared = shared - 1
-    a = _index(left, [*by, *l_key], rarity, spared).withColumnRenamed("index", "l_index")
-    b = _index(right, [*by, *r_key], rarity, spared).withColumnRenamed("index", "r_index")
-    met = a.withColumn("token", F.explode("l_index")).join(b.withColumn("token", F.explode("r_index")), [*by, "token"])
-    first = F.try_element_at(F.array_intersect("l_index", "r_index"), F.lit(1))
-    return met.filter(first == F.col("token")).select(*by, *l_key, *r_key)
 
+def leading_pairs(targets: DataFrame, quotes: DataFrame, rough: int, rounds: Sequence[float] = ROUGH_ROUNDS) -> DataFrame:
+    """(l_id, r_id, rough, lowest, quotes) of target and quote texts, for each target at least those that hold its ``rough`` best quotes.
 
-def quote_pairs(targets: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Distinct text pairs with two characters in common and their prefilter score."""
-    side = lambda df, text, chars: df.select(text).distinct().withColumn(chars, S.norm_chars(F.col(text))).withColumn("tokens", F.col(chars))
-    pairs = token_pairs(side(targets, "t_text", "t_chars"), side(quotes, "q_text", "q_chars"), ["t_text", "t_chars"], ["q_text", "q_chars"], [], shared=2)
-    rough = S.prefilter(F.col("t_chars"), F.col("q_chars"))
-    return pairs.select("t_text", "q_text", rough.alias("rough")).filter(F.col("rough") > 0)
+    ``targets`` (id, tokens), ``quotes`` (id, tokens, lowest, quotes), where quotes counts the quotes of a text.
+    """
+    t_side, q_side = P.numbered_tokens(targets.select("id", "tokens"), quotes.select("id", "tokens", "lowest", "quotes"))
+    open_ = t_side.select(F.col("id").alias("l_id"), F.col("tokens").alias("l_tokens"))
+    right = q_side.select(F.col("id").alias("r_id"), F.col("tokens").alias("r_tokens"), "lowest", "quotes")
+    done = []
+    for least in rounds:
+        # a prefilter of ``least`` needs this share of the smaller text's characters
+        share = min(least / 0.7, 2 * least / (1 + least))
+        enough = lambda n, m, s, least=least: (s >= 2) & (_rough(n, m, s) >= least - 1e-9)
+        met = P.contained(open_, right, [], share, 2, enough)
+        pairs = met.select("l_id", "r_id", _rough(F.col("l_n"), F.col("r_n"), F.col("shared")).alias("rough"), "lowest", "quotes")
+        if least == rounds[-1]:
+            done.append(pairs)
+            break
+        pairs = settle(pairs)
+        full = pairs.groupBy("l_id").agg(F.sum("quotes").alias("n")).where(F.col("n") >= rough).select("l_id")
+        done.append(pairs.join(full, "l_id", "left_semi"))
+        open_ = settle(open_.join(full, "l_id", "left_anti"))
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
 
 
 def match_gaps(gaps: DataFrame, quotes: DataFrame, n: int = 6, rough: int = ROUGH, min_score: float = MIN_SCORE) -> DataFrame:
@@ -59,15 +73,18 @@ def match_gaps(gaps: DataFrame, quotes: DataFrame, n: int = 6, rough: int = ROUG
     squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
     g = gaps.select("res_ID", squeeze("name").alias("t_text"), F.trim(F.coalesce("unit", F.lit(""))).alias("t_unit"))
     q = quotes.select("quote_ID", squeeze("name").alias("q_text"), F.trim(F.coalesce("unit", F.lit(""))).alias("q_unit"))
-    pairs = quote_pairs(g, q)
+    t_texts = _with_id(g.select("t_text").distinct())
+    q_texts = _with_id(q.groupBy("q_text").agg(F.min("quote_ID").alias("lowest"), F.count(F.lit(1)).alias("quotes")))
+    pairs = leading_pairs(t_texts.withColumn("tokens", S.norm_chars(F.col("t_text"))), q_texts.withColumn("tokens", S.norm_chars(F.col("q_text"))), rough)
     # the rough best quotes come from the texts that lead by score, then by their lowest quote id
-    texts = q.groupBy("q_text").agg(F.min("quote_ID").alias("lowest"), F.count(F.lit(1)).alias("quotes"))
-    leading = top_per_key(pairs.join(texts, "q_text"), ["t_text"], [F.col("rough").desc(), F.col("lowest")], rough, "_p")
+    leading = top_per_key(pairs, ["l_id"], [F.col("rough").desc(), F.col("lowest")], rough, "_p")
     # of these at most ``rough`` texts, those behind enough better-scored quotes add none
-    better = Window.partitionBy("t_text").orderBy(F.col("rough").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy("t_text", "rough")
+    better = Window.partitionBy("l_id").orderBy(F.col("rough").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = Window.partitionBy("l_id", "rough")
     needed = leading.withColumn("_ahead", F.sum("quotes").over(better) - F.sum("quotes").over(tied)).filter(F.col("_ahead") < rough)
-    rated = needed.select("t_text", "q_text", "rough", S.sequence_ratio(F.col("t_text"), F.col("q_text")).alias("ratio"))
+    # only now the texts themselves are fetched
+    named = needed.join(t_texts.withColumnRenamed("id", "l_id"), "l_id").join(q_texts.select(F.col("id").alias("r_id"), "q_text"), "r_id")
+    rated = named.select("t_text", "q_text", "rough", S.sequence_ratio(F.col("t_text"), F.col("q_text")).alias("ratio"))
     # a text's first quotes are all its ranking can use, so hot texts stay bounded
     first = top_per_key(q, ["q_text"], [F.col("quote_ID")], rough, "_q")
     offers = top_per_key(rated.join(first, "q_text"), ["t_text"], [F.col("rough").desc(), F.col("quote_ID")], rough, "_r")
@@ -87,24 +104,70 @@ def _forms(df: DataFrame, name: str, out: str) -> DataFrame:
     return cleaned.withColumn(f"{out}_bare", A.strip_cn_ordinal(F.col(out)))
 
 
-def _both(out: str) -> list[str]:
-    return [out, f"{out}_bare"]
-
-
 def _score(a: str, b: str) -> Column:
     return S.match_score(F.col(a), F.col(b), F.col(f"{a}_bare"), F.col(f"{b}_bare"))
 
 
-def _characters(c: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.col(c), ""), lambda x: x != ""))
+def _sets(texts: DataFrame, form: str, lift: Column | None = None) -> DataFrame:
+    """The character sets of each text's form and bare form: (text_id, domain, bare, differs, lift, tokens)."""
+    kinds = F.explode(F.array(F.struct(F.lit(False).alias("bare"), F.col(form).alias("form")), F.struct(F.lit(True).alias("bare"), F.col(f"{form}_bare").alias("form"))))
+    differs = F.col(form) != F.col(f"{form}_bare")
+    rows = texts.select(F.col("id").alias("text_id"), "domain", differs.alias("differs"), (F.lit(0.0) if lift is None else lift).alias("lift"), kinds.alias("k"))
+    return rows.select("text_id", "domain", "differs", "lift", "k.bare", P.characters(F.col("k.form")).alias("tokens"))
 
 
-def _scores(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
-    """Scores above 0 of (domain, text) against (domain, target_name, leaf_ID); texts without a common character score 0."""
-    left = _forms(texts.select("domain", text).distinct(), text, "l_form").withColumn("tokens", _characters("l_form"))
-    right = _forms(names.select("domain", "target_name", "leaf_ID"), "target_name", "r_form").withColumn("tokens", _characters("r_form"))
-    pairs = token_pairs(left, right, [text, *_both("l_form")], ["leaf_ID", *_both("r_form")], ["domain"])
-    return pairs.withColumn("score", _score("l_form", "r_form")).filter(F.col("score") > 0)
+def _best(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Highest score per key; of equal scores the lowest leaf."""
+    return scores.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("leaf_ID")).alias("neg"))).alias("b")).select(
+        *keys, (-F.col("b.neg")).alias("leaf_ID"), F.col("b.score").alias("score"))
+
+
+def best_leaves(left: DataFrame, right: DataFrame, score: Callable[[DataFrame], DataFrame], more: Callable[[DataFrame, float], DataFrame] | None = None,
+                rounds: Sequence[float] = SCORE_ROUNDS) -> DataFrame:
+    """(l_id, leaf_ID, score): for each text of ``left`` its best leaf of ``right`` with a score above 0.
+
+    ``left`` and ``right`` are sets of characters (see ``_sets``), several for a text where several of its forms count.  What two forms share bounds
+    their ratio; a form that holds the other counts as 0.85 at least, and then shares all its characters.  A score exceeds its ratios
+    by at most the left side's lift.  ``score`` adds leaf_ID and score to pairs (l_id, r_id), and may drop pairs; ``more`` gives pairs that may reach a
+    threshold without shared characters.
+    """
+    l_sets, r_sets = P.numbered_tokens(_with_id(left), _with_id(right))
+    r_sets = r_sets.select(F.col("text_id").alias("r_id"), "domain", "bare", F.col("differs").alias("r_differs"), F.col("tokens").alias("r_tokens"))
+    l_sets = l_sets.select(F.col("text_id").alias("l_id"), "domain", "bare", F.col("differs").alias("l_differs"), "lift", F.col("tokens").alias("l_tokens"))
+    # where no form has ordinals, the bare forms say nothing new
+    also = ~F.col("bare") | F.col("l_differs") | F.col("r_differs")
+    ids, by = ["l_id", "r_id"], ["domain", "bare"]
+    done = []
+    for least in rounds:
+        near = P.overlapping(l_sets, r_sets, by, F.greatest(F.lit(least) - F.col("lift"), F.lit(ANY)), also).select(*ids)
+        if least > 0:
+            near = near.unionByName(P.contained(l_sets, r_sets, by, 1.0, 1, lambda n, m, s: s >= F.least(n, m), also).select(*ids))
+        if more is not None:
+            near = near.unionByName(more(l_sets, least).select(*ids))
+        best = _best(score(near.distinct()).where("score > 0"), ["l_id"])
+        if least == rounds[-1]:
+            done.append(best)
+            break
+        best = settle(best.where(F.col("score") >= least))
+        done.append(best)
+        l_sets = settle(l_sets.join(best.select("l_id"), "l_id", "left_anti"))
+        if l_sets.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def _best_by_name(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
+    """(domain, text, leaf_ID, score): the best of ``names`` (domain, target_name, leaf_ID) for each distinct text; none where no character is shared."""
+    left = _with_id(_forms(texts.select("domain", text).distinct(), text, "l_form"))
+    right = _with_id(_forms(names.select("domain", "target_name", "leaf_ID"), "target_name", "r_form"))
+    l_names = left.select(F.col("id").alias("l_id"), "l_form", "l_form_bare")
+    r_names = right.select(F.col("id").alias("r_id"), "leaf_ID", "r_form", "r_form_bare")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        return pairs.join(l_names, "l_id").join(r_names, "r_id").select("l_id", "leaf_ID", _score("l_form", "r_form").alias("score"))
+
+    best = best_leaves(_sets(left, "l_form"), _sets(right, "r_form"), score)
+    return left.select(F.col("id").alias("l_id"), "domain", text).join(best, "l_id").drop("l_id")
 
 
 def leaf_names(leaves: DataFrame, norms: DataFrame | None = None) -> DataFrame:
@@ -121,12 +184,6 @@ def leaf_names(leaves: DataFrame, norms: DataFrame | None = None) -> DataFrame:
     return names.groupBy("domain", "target_name").agg(F.min("leaf_ID").alias("leaf_ID"))
 
 
-def _best(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Highest score per key; of equal scores the lowest leaf."""
-    return scores.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("leaf_ID")).alias("neg"))).alias("b")).select(
-        *keys, (-F.col("b.neg")).alias("leaf_ID"), F.col("b.score").alias("score"))
-
-
 def _first_leaf(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("domain").agg(F.min("leaf_ID").alias("first_leaf"))
 
@@ -144,7 +201,7 @@ def match_leaves(norms: DataFrame, leaves: DataFrame, held: DataFrame, accepted:
     Scores of ``accepted`` and more count as matched, lower ones are kept as fallback, and a
     norm that meets nothing goes to the domain's first leaf.
     """
-    best = _best(_scores(norms, "norm_Name", leaf_names(leaves, held)), ["domain", "norm_Name"])
+    best = _best_by_name(norms, "norm_Name", leaf_names(leaves, held))
     kind = F.when(F.col("score") >= accepted, "matched").when(F.col("met"), "fallback").otherwise("first")
     return _placed(norms, best, ["domain", "norm_Name"], leaves).select("norm_ID", "domain", "leaf_ID", "score", kind.alias("kind"))
 
@@ -157,9 +214,9 @@ def match_leaves_with_parent(norms: DataFrame, leaves: DataFrame, held: DataFram
     joint = texts.filter(F.col("parent") != "").withColumn("joint", F.concat_ws(" ", "parent", "norm_Name"))
     own = leaf_names(leaves)
     # the best leaf of each text alone is all the final choice needs
-    of_name = _best(_scores(texts, "norm_Name", leaf_names(leaves, held)), ["domain", "norm_Name"])
-    of_parent = _best(_scores(joint, "parent", own), ["domain", "parent"])
-    of_joint = _best(_scores(joint, "joint", own), ["domain", "joint"])
+    of_name = _best_by_name(texts, "norm_Name", leaf_names(leaves, held))
+    of_parent = _best_by_name(joint, "parent", own)
+    of_joint = _best_by_name(joint, "joint", own)
     offers = (texts.join(of_name, ["domain", "norm_Name"]).select(*keys, "leaf_ID", "score")
               .unionByName(joint.join(of_parent, ["domain", "parent"]).select(*keys, "leaf_ID", "score"))
               .unionByName(joint.join(of_joint, ["domain", "joint"]).select(*keys, "leaf_ID", "score")))
@@ -181,20 +238,32 @@ def match_chapters(chapters: DataFrame, leaves: DataFrame) -> DataFrame:
         "joint", F.concat_ws(" ", "parent_name", "name"))
     targets = leaves.groupBy("domain", "leaf_name").agg(F.min("leaf_ID").alias("leaf_ID")).withColumn(
         "target_name", A.strip_code_prefix(F.col("leaf_name"))).withColumn("leaf_cats", A.semantic_categories(F.col("leaf_name")))
-    # a shared category lifts a score above 0 even where no character is shared, so it is a token too
-    formed = _forms(_forms(_forms(texts, "name", "n_form"), "parent_name", "p_form"), "joint", "j_form")
-    l_side = formed.withColumn("tokens", F.array_union(F.array_union(_characters("n_form"), _characters("j_form")), F.col("cats")))
-    r_side = _forms(targets, "target_name", "r_form").withColumn("tokens", F.array_union(_characters("r_form"), F.col("leaf_cats")))
-    pairs = token_pairs(l_side, r_side, ["name", "parent_name", "cats", *_both("n_form"), *_both("p_form"), *_both("j_form")], ["leaf_ID", "leaf_cats", *_both("r_form")], ["domain"])
-    open_ = pairs.filter((F.size("cats") == 0) | (F.size("leaf_cats") == 0) | A.compatible(F.col("cats"), F.col("leaf_cats")))
-    shared = F.size(F.array_intersect("cats", "leaf_cats"))
-    raw = open_.withColumn("by_name", _score("n_form", "r_form")).withColumn("by_parent", _score("p_form", "r_form")).withColumn(
-        "by_joint", _score("j_form", "r_form"))
-    lifted = F.when(shared > 0, F.least(F.col("by_name") + 0.15 * shared, F.lit(1.0))).otherwise(F.col("by_name"))
-    of_parent = F.when(F.col("parent_name") != "", F.greatest("by_parent", "by_joint")).otherwise(0.0)
-    best = _best(raw.withColumn("score", F.greatest(lifted, of_parent)).filter(F.col("score") > 0), keys)
-    retry = pairs.filter(F.size("cats") > 0).join(best, keys, "left_anti").withColumn("score", _score("n_form", "r_form"))
-    relaxed = _best(retry.filter(F.col("score") > 0), keys)
+    left = _with_id(_forms(_forms(_forms(texts, "name", "n_form"), "parent_name", "p_form"), "joint", "j_form"))
+    right = _with_id(_forms(targets, "target_name", "r_form"))
+    l_names, r_names = left.drop("domain").withColumnRenamed("id", "l_id"), right.drop("domain").withColumnRenamed("id", "r_id")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(l_names, "l_id").join(r_names, "r_id")
+        fit = both.where((F.size("cats") == 0) | (F.size("leaf_cats") == 0) | A.compatible(F.col("cats"), F.col("leaf_cats")))
+        raw = fit.select("l_id", "leaf_ID", "parent_name", F.size(F.array_intersect("cats", "leaf_cats")).alias("shared"), _score("n_form", "r_form").alias("by_name"),
+                         _score("p_form", "r_form").alias("by_parent"), _score("j_form", "r_form").alias("by_joint"))
+        lifted = F.when(F.col("shared") > 0, F.least(F.col("by_name") + LIFT * F.col("shared"), F.lit(1.0))).otherwise(F.col("by_name"))
+        of_parent = F.when(F.col("parent_name") != "", F.greatest("by_parent", "by_joint")).otherwise(0.0)
+        return raw.select("l_id", "leaf_ID", F.greatest(lifted, of_parent).alias("score"))
+
+    def by_category(open_: DataFrame, least: float) -> DataFrame:
+        # shared categories lift a score above 0 even where no character is shared
+        some = left.select(F.col("id").alias("l_id"), "domain", "cats").where(F.size("cats") * LIFT >= least).join(open_.select("l_id").distinct(), "l_id", "left_semi")
+        held = right.select(F.col("id").alias("r_id"), "domain", F.explode("leaf_cats").alias("cat"))
+        return some.select("l_id", "domain", F.explode("cats").alias("cat")).join(held, ["domain", "cat"])
+
+    sets = _sets(left, "n_form", F.size("cats") * LIFT)
+    for form in ("p_form", "j_form"):
+        sets = sets.unionByName(_sets(left.where("parent_name <> ''"), form))
+    found = settle(best_leaves(sets, _sets(right, "r_form"), score, by_category))
+    best = left.select(F.col("id").alias("l_id"), *keys).join(found, "l_id").drop("l_id")
+    again = left.where(F.size("cats") > 0).join(found.withColumnRenamed("l_id", "id"), "id", "left_anti")
+    relaxed = again.select(*keys).join(_best_by_name(again, "name", right.select("domain", "target_name", "leaf_ID")), ["domain", "name"]).select(*best.columns)
     return _placed(named, best.unionByName(relaxed), keys, leaves).select("chap_ID", "name", "domain", "leaf_ID", "score")
 
 

@@ -207,14 +207,14 @@ def _(t):
 
 
 define_view("existing_leaf", f"""
-SELECT chap_ID AS leaf_ID, CAST(chap_PID AS BIGINT) AS domain, concat({pick(TITLES, 'chap_ID')}, ' ', substr(chap_code, 7)) AS leaf_name FROM chapter WHERE chap_PID >= 100 AND chap_ID % 3 = 0""")
+SELECT chap_ID AS leaf_ID, CAST(chap_PID AS BIGINT) AS domain, concat({pick(TITLES, 'chap_ID')}, ' ', substr(chap_code, 7)) AS leaf_name FROM chapter WHERE chap_PID >= 100 AND chap_ID % 2 = 0""")
 define_view("new_norm", f"""
 SELECT o_orderkey AS norm_ID, CAST(100 + c_nationkey AS BIGINT) AS domain, concat({pick(TITLES, 'o_orderkey')}, ' ', o_orderstatus) AS norm_Name,
        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE {pick(TITLES, '(o_orderkey + 7)')} END AS parent_name FROM orders JOIN customer ON o_custkey = c_custkey""")
 define_view("held_norm", f"SELECT 1000 + o_custkey AS chap_ID, {pick(TITLES, '(o_orderkey * 3)')} AS norm_Name FROM orders")
 define_view("new_chapter", f"""
 SELECT chap_ID, CAST(chap_PID AS BIGINT) AS domain, {pick(TITLES, '(chap_ID * 5)')} AS name, CASE WHEN chap_ID % 4 = 0 THEN NULL ELSE {pick(TITLES, '(chap_ID + 3)')} END AS parent_name
-FROM chapter WHERE chap_PID >= 100 AND chap_ID % 3 = 1""")
+FROM chapter WHERE chap_PID >= 100 AND chap_ID % 2 = 1""")
 
 
 @register("j22_best_leaf")
