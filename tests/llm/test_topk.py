@@ -31,7 +31,7 @@ def run(spark, queries, rows, k):
 def test_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROW_BLOCK", 200)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "TILE", 2)
     dice = np.random.default_rng(1)
     rows = [(int(k), [float(x) for x in dice.normal(0, 0.1, 24)]) for k in range(900)]
     rows += [(1000 + k, list(rows[5][1])) for k in range(40)]  # ties
@@ -47,6 +47,23 @@ def test_few_rows(spark, n):
     assert run(spark, rows, rows, 20) == sorted(plain(rows, rows, 20))
 
 
-def test_components_that_are_too_large_fail(spark):
-    with pytest.raises(Exception, match="too large"):
-        run(spark, [(1, [1e12])], [(2, [1e12])], 5)
+def test_large_components_score_in_whole_numbers(spark):
+    dice = np.random.default_rng(4)
+    rows = [(k, [float(np.float32(x)) for x in dice.normal(0, 10.0 ** (k % 9), 6)]) for k in range(60)] + [(k, [2.0**30, x, 0.0, 0.0, 0.0, 0.0]) for k, x in ((100, 1.0), (101, 2.0), (102, 1.0))]
+    got, want = run(spark, rows[::4] + rows[-3:], rows, 5), sorted(plain(rows[::4] + rows[-3:], rows, 5))
+    hold = lambda s: min(max(s, -2**63), 2**63 - 1)
+    assert all(-2**63 <= s < 2**63 for *_, s in got)
+    assert sorted((q, s) for q, _, _, s in got) == sorted((q, hold(s)) for q, _, _, s in want)
+    assert [r for r in got if r[0] in {q for q, _, _, _ in want if all(abs(s) < 2**63 for p, _, _, s in want if p == q)}] == [
+        r for r in want if all(abs(s) < 2**63 for p, _, _, s in want if p == r[0])]
+
+
+def test_scores_beyond_64_bits_are_held_at_the_end(spark):
+    rows = [(1, [2.0**100]), (2, [2.0**101]), (3, [-(2.0**100)]), (4, [2.0])]
+    assert run(spark, rows[:1], rows, 5) == [(1, 1, 2, 2**63 - 1), (1, 2, 4, 2**63 - 1), (1, 3, 3, -2**63)]
+
+
+def test_no_block_passes_a_window(spark):
+    rows = spark.createDataFrame([(k, [0.5, float(k)]) for k in range(10)], "vec_id long, vector array<float>")
+    plan = topk.top_k(rows.withColumnRenamed("vec_id", "query_id"), rows, 3, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Window" in line and "columns" in line]
