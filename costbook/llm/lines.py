@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from costbook.llm.rows import text_key, unused
 from costbook.session import settle
 
+MIN_SITES = 10
 LONG_CHARS = 100
 LONG_SITES = 3
 
@@ -29,6 +30,12 @@ def line_digest(docs: DataFrame, site: str = "source", long_chars: int = LONG_CH
     return rows.where("line is not null")
 
 
+def least_sites(is_long: Column, min_sites: int, long_sites: int) -> Column:
+    """The rule of the operator: on how many sites a line must stand to be boilerplate, by its own length alone.  Texts of
+    different hands share short lines, so those need ``min_sites``; a long line that repeats was copied, and needs ``long_sites``."""
+    return F.when(is_long, F.lit(min(long_sites, min_sites))).otherwise(F.lit(min_sites))
+
+
 def boilerplate(digest: DataFrame, min_sites: int, long_sites: int, precision: int) -> DataFrame:
     """(line, keeper) of the lines on ``min_sites`` sites or more, or ``long_sites`` if they are long; keeper is the row that comes first by doc_id.
 
@@ -38,7 +45,7 @@ def boilerplate(digest: DataFrame, min_sites: int, long_sites: int, precision: i
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     spread = digest.groupBy("line").agg(F.hll_sketch_agg("site", precision).alias("sketch"), F.min(order).alias("keeper"))
-    least = F.when(F.col("line").bitwiseAND(F.lit(1)) == 1, F.lit(min(long_sites, min_sites))).otherwise(F.lit(min_sites))
+    least = least_sites(F.col("line").bitwiseAND(F.lit(1)) == 1, min_sites, long_sites)
     margin = F.greatest(F.lit(1.0), least * 3 * 1.04 / math.sqrt(1 << precision))
     estimate = F.hll_sketch_estimate("sketch")
     # the few lines with a spread near or above the threshold; written once, read by both branches
@@ -51,7 +58,7 @@ def boilerplate(digest: DataFrame, min_sites: int, long_sites: int, precision: i
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = 10, site: str = "source", precision: int = 12, long_sites: int = LONG_SITES, long_chars: int = LONG_CHARS
+    docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", precision: int = 12, long_sites: int = LONG_SITES, long_chars: int = LONG_CHARS
 ) -> DataFrame:
     """Documents without the boilerplate lines that another document keeps.
 
@@ -67,29 +74,30 @@ def dedup_lines(
     own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row") == F.col("keeper.row"))
     drops = digest.join(plain, "line").withColumn("own", own).groupBy("doc_id", "row").agg(
         F.collect_list(F.when(~F.col("own"), F.col("line"))).alias("gone"), F.collect_list(F.when(F.col("own"), F.col("line"))).alias("once"))
-    id_, row, gone, once, kept = unused(docs, "id", "row", "gone", "once", "kept")
+    id_, row, gone, once, keys, kept = unused(docs, "id", "row", "gone", "once", "keys", "kept")
     drops = drops.select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("gone").alias(gone), F.col("once").alias(once))
     both = docs.join(drops, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_key(docs["text"]) == F.col(row)), "left")
     parts = F.split(docs["text"], "\n")
+    # each line is hashed once a text
+    both = both.withColumn(keys, F.when(F.col(row).isNotNull() & docs["text"].isNotNull(), F.transform(parts, lambda x: _line_key(x, long_chars))))
 
     def stays(line: Column, i: Column) -> Column:
-        key = _line_key(line, long_chars)
-        first = F.array_position(F.transform(parts, lambda x: _line_key(x, long_chars)), key) == i + 1
-        return ~F.array_contains(gone, key) & (~F.array_contains(once, key) | first)
+        key = F.get(keys, i)
+        return ~F.array_contains(gone, key) & (~F.array_contains(once, key) | (F.array_position(keys, key) == i + 1))
 
-    both = both.withColumn(kept, F.when(F.col(row).isNotNull() & docs["text"].isNotNull(), F.filter(parts, stays)))
+    both = both.withColumn(kept, F.when(F.col(keys).isNotNull(), F.filter(parts, stays)))
     removed = F.when(F.col(kept).isNotNull(), F.size(parts) - F.size(kept)).otherwise(0)
     text = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(docs["text"])
     columns = [text.alias(c) if c.lower() == "text" else docs[c] for c in docs.columns if c.lower() != "removed_lines"]
     return both.select(*columns, removed.alias("removed_lines"))
 
 
-SQL = """
+SQL = f"""
 WITH line AS (
   SELECT doc_id, source, line, trim(line) AS key, pos FROM (
     SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 plain AS (
-  SELECT key, min(doc_id) AS keeper FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= 10),
+  SELECT key, min(doc_id) AS keeper FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(source, '')) >= CASE WHEN length(key) >= {LONG_CHARS} THEN {LONG_SITES} ELSE {MIN_SITES} END),
 judged AS (
   SELECT l.doc_id, l.line, l.pos, plain.key IS NOT NULL AND NOT (l.doc_id = keeper AND row_number() OVER (PARTITION BY l.doc_id, l.key ORDER BY l.pos) = 1) AS gone
   FROM line l LEFT JOIN plain ON plain.key = l.key)
