@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costbook.llm.rows import text_key
-from costbook.session import settle
 
 # The base patterns, in order of kind.
 KINDS = ("assign", "access", "hex")
@@ -20,7 +19,8 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so shorter ones can be left out in the pattern
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Runs that each kind's pattern could find, by its alphabet and least length; those of hex are all found by the base pattern.
+RUNS = (re.compile(r"[A-Za-z0-9+/_.=-]{6,}"), re.compile(r"[A-Z0-9]{20,}"), re.compile(r"[0-9a-f]{24,}"))
 LEARNED = "format"
 
 #: Signs of a format and how many characters each stands for; any other character stands for itself.
@@ -30,6 +30,8 @@ SPREAD = {sign: math.log(len(chars)) for sign, chars in CLASSES.items()}
 
 SAMPLE, LONGEST = 512, 256  # labelled credentials of a kind to learn from, and their length at most
 CONFIDENCE, REJECT = 0.05, 0.05
+EXAMPLES = 8  # fewer examples of a kind teach no automaton
+REMEMBERED = 200_000  # judged strings that a worker keeps
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -44,18 +46,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, string) of runs of 16 characters or more with a digit that no base span touches."""
-    out, k, reach = [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        if not any(c.isdigit() for c in m[0]):
-            continue
+def candidates(text: str, base: list[tuple[int, int, int, str]], kind: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, string) of all runs of a kind's alphabet, of its least length or more, that no base span touches."""
+    k, reach = 0, 0
+    for m in RUNS[kind].finditer(text):
         while k < len(base) and base[k][0] < m.end():
             reach = max(reach, base[k][2])
             k += 1
         if reach <= m.start():
-            out.append((m.start(), m.end(), m[0]))
-    return out
+            yield m.start(), m.end(), m[0]
 
 
 class Automaton:
@@ -155,12 +154,13 @@ class Automaton:
 
 
 class Formats:
-    """An automaton for each kind, and the likelihood that all but a share ``reject`` of its examples reach."""
+    """An automaton for each kind with EXAMPLES examples or more, and the likelihood that all but a share ``reject`` of its examples reach."""
 
     def __init__(self, examples: dict[str, list[str]], reject: float = REJECT):
         self.models = []
+        self.known: dict[str, bool] = {}
         for kind in sorted(examples):
-            if len(examples[kind]) >= 8:
+            if len(examples[kind]) >= EXAMPLES:
                 model = Automaton(examples[kind])
                 scores = sorted(model.likelihood(x) for x in examples[kind])
                 self.models.append((kind, model, scores[int(len(scores) * reject)]))
@@ -168,30 +168,38 @@ class Formats:
     def fits(self, text: str) -> bool:
         return any(model.likelihood(text) >= least for _, model, least in self.models)
 
-
-def scan(docs: DataFrame) -> DataFrame:
-    """Every row's base spans, candidates and labelled credentials, in one pass over the whole texts."""
+    def added(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+        """Spans, in order, of the candidates that an automaton of any kind accepts; of overlapping ones the first alphabet's."""
+        out: list[tuple[int, int]] = []
+        for kind in range(len(KINDS)):
+            found = []
+            for start, end, run in candidates(text, base, kind):
+                fits = self.known.get(run)
+                if fits is None:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    fits = self.known[run] = self.fits(run)
+                if fits and not any(a < end and start < b for a, b in out):
+                    found.append((start, end))
+            out += found
+        return sorted(out)
+
+
+def labelled(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(kind, text) of all credentials that the base patterns find, of at most ``longest`` characters."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("text", pa.string())]))
         for b in batches:
-            base, more = [], []
-            for x in b.column(1):
-                text = x.as_py() or ""
-                found = base_spans(text)
-                base.append([{"start": s, "kind": k, "end": e, "text": t} for s, k, e, t in found])
-                more.append([{"start": s, "kind": len(KINDS), "end": e, "text": t} for s, e, t in candidates(text, found)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(more, span)], ["doc_id", "base", "more"])
+            found = [(k, t) for x in b.column(0) for _, k, _, t in base_spans(x.as_py() or "") if len(t) <= longest]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())], ["kind", "text"])
 
-    span = "array<struct<start: long, kind: int, end: long, text: string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(work, f"doc_id long, base {span}, more {span}")
+    return docs.select("text").mapInArrow(work, "kind int, text string")
 
 
-def learn(scanned: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Formats:
+def learn(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Formats:
     """Automata from a bounded sample of labelled credentials: of each kind and of each of ``sample`` hash classes the
     string with the smallest hash, of at most ``longest`` characters."""
-    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", F.col("b.text").alias("text")).where(F.length("text") <= longest)
     order = text_key("text")
-    chosen = labelled.groupBy("kind", F.pmod(order, F.lit(sample)).alias("class")).agg(F.min_by("text", order).alias("text"))
+    chosen = labelled(docs, longest).groupBy("kind", F.pmod(order, F.lit(sample)).alias("class")).agg(F.min_by("text", order).alias("text"))
     examples = defaultdict(list)
     for row in chosen.toLocalIterator():  # at most 3 * sample short strings
         examples[KINDS[row["kind"]]].append(row["text"])
@@ -201,22 +209,30 @@ def learn(scanned: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> F
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of start, end, kind in order of start, then kind) for every row of ``docs`` (doc_id, text).
 
-    Offsets are code points, ends exclusive.  Base spans always stay; a candidate becomes a span of kind "format" if an automaton finds
-    it as likely as its own examples.  A null text is empty and has no spans; null ids and repeated rows are scanned row by row; other
+    Offsets are code points, ends exclusive.  Base spans always stay.  Candidates are all runs of characters that a kind's base pattern could hold, of its
+    least length or more (assign 6, access 20, hex 24); one becomes a span of kind "format" if the automaton of any kind finds
+    it as likely as its own examples.  A kind needs EXAMPLES (8) different labelled credentials in the sample to have an automaton.  The
+    texts are read twice, first for the examples; candidates are judged where they are found, so only spans are written.
+
+    A null text is empty and has no spans; null ids and repeated rows are scanned row by row; other
     columns are ignored; without labelled credentials nothing is added; an empty table gives no rows.
     """
-    scanned = settle(scan(docs))
-    formats = learn(scanned)
-
-    @F.arrow_udf("array<boolean>")
-    def fits(texts: pa.Array) -> pa.Array:
-        return pa.array([[formats.fits(x) for x in row] for row in texts.to_pylist()], pa.list_(pa.bool_()))
-
-    judged = scanned.withColumn("fits", fits(F.transform("more", lambda x: x["text"])))
-    added = F.filter(F.col("more"), lambda x, i: F.get("fits", i))
-    named = F.array(*(F.lit(k) for k in (*KINDS, LEARNED)))
-    spans = F.transform(F.sort_array(F.concat("base", added)), lambda x: F.struct(x["start"], x["end"], F.get(named, x["kind"]).alias("kind")))
-    return judged.select("doc_id", spans.alias("spans"))
+    formats = learn(docs)
+    names = [*KINDS, LEARNED]
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                text = x.as_py() or ""
+                base = base_spans(text)
+                spans = sorted([(s, k, e) for s, k, e, _ in base] + [(s, len(KINDS), e) for s, e in formats.added(text, base)])
+                out.append([{"start": s, "end": e, "kind": names[k]} for s, k, e in spans])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, spans_type)], ["doc_id", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return rows.mapInArrow(work, "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -48,6 +48,21 @@ def test_base_spans_stay_and_formats_add(spark, docs):
     assert sum(len(added[300 + k]) == 1 for k in range(20)) >= 15 and all(x.startswith("format:7:27") for k in range(20) for x in added[300 + k])
 
 
+def test_candidates_of_any_length_and_sign_are_judged(spark):
+    dice = random.Random(8)
+    pick = lambda signs, n: "".join(dice.choice(signs) for _ in range(n))
+    rows = [(k, f"token={pick('QRST', 3)}.{pick('uvwx', 4)}") for k in range(200)]
+    rows += [(500, "alone QQRS.uvxx"), (501, "alone QRS.uvwx here, TTQ.xxuv"), (502, "QRSuvwx QRS.uvw other.word"), (503, "password: QRS.uvwx")]
+    frame = spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == "format"] for r in credentials.find_secrets(frame).collect()}
+    assert found[501] == [(6, 14), (21, 29)] and found[500] == found[502] == found[503] == [] and not any(found[k] for k in range(200))
+
+
+def test_too_few_examples_teach_nothing(spark):
+    rows = [(k, f"token=QRS.uv{k}xx") for k in range(7)] + [(50, "QRS.uv1xx")]
+    assert all(x["kind"] != "format" for r in credentials.find_secrets(spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)).collect() for x in r["spans"])
+
+
 def test_nothing(spark):
     assert credentials.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r["spans"] for r in credentials.find_secrets(spark.createDataFrame([(1, "no secrets 1234567890123456", "b", 1)], SCHEMA)).collect()] == [[]]
