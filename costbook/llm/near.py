@@ -18,6 +18,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4  # two texts at a similarity of 0.8 share no band with probability (1 - 0.8**4)**32 = 5e-8
 FEW = 16  # buckets of at most so many texts compare all their pairs
 STEP_OF_SIZE = 1.05
+SLOTS = 1 << 20  # of the table that strips are ordered by
 # Poisson(1): chance of at most n darts in a unit of area
 DARTS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 20)))))
 
@@ -88,17 +89,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def strip_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, units) of the wanted rows (doc_id, row, node), one row a node: the low halves of the hashes, for exact counts."""
+    """(node, units) of the wanted rows (doc_id, row, node), one row a node: the hashes of its strips, for exact counts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words()
         with np.errstate(over="ignore"):
             for b in batches:
-                units = [np.unique(strips(words.of(x.as_py()), SHINGLE).astype(np.uint32)).view(np.int32) for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.list_(pa.int32()))], ["node", "units"])
+                units = [strips(words.of(x.as_py()), SHINGLE).view(np.int64) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.list_(pa.int64()))], ["node", "units"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), text_key("text").alias("r"), "text")
     on = F.col("d").eqNullSafe(wanted["doc_id"]) & (F.col("r") == wanted["row"])
-    return rows.join(small(wanted), on).select("node", "text").mapInArrow(work, "node long, units array<int>").dropDuplicates(["node"])
+    return rows.join(small(wanted), on).select("node", "text").mapInArrow(work, "node long, units array<long>").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,21 +140,49 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP_OF_SIZE))).cast("int")
 
 
+def spread_table(own: DataFrame) -> np.ndarray:
+    """For each of SLOTS slots of the hash, the most groups that hold one of its strips.  The strips are counted map-side and across tasks;
+    at most SLOTS small numbers come to the driver and go to the workers, whatever the input."""
+    held = own.select("label", F.explode_outer("units").alias("unit")).distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    slots = held.groupBy(F.col("unit").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.max("groups").cast("int").alias("groups")).toArrow()
+    table = np.ones(SLOTS, np.int32)
+    table[slots.column("slot").to_numpy()] = slots.column("groups").to_numpy()
+    return table
+
+
+def foremost(own: DataFrame) -> DataFrame:
+    """(node, label, n, at, unit): the foremost strips of each node that more than one group may hold, with their places.
+
+    Strips are ordered by the table of ``spread_table``, then by hash.  Any order that is the same for all nodes loses nothing; by this one a passage in
+    many texts comes last.  No strip is joined with its count.
+    """
+    table = own.sparkSession.sparkContext.broadcast(spread_table(own))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = []
+            for node, label, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own_units = units.values.to_numpy()
+                n = len(own_units)
+                groups = table.value[own_units & (SLOTS - 1)]
+                at = np.lexsort((own_units, groups))[:int((1 - SIMILARITY) * n + 1e-9) + 1]
+                place = np.flatnonzero(groups[at] > 1)
+                out.append([np.full(len(place), node), np.full(len(place), label), np.full(len(place), n), place, own_units[at[place]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) if c else pa.array([], pa.int64()) for c in (zip(*out) if out else [()] * 5)], ["node", "label", "n", "at", "unit"])
+
+    return own.select("node", "label", "units").mapInArrow(work, "node long, label long, n long, at long, unit long")
+
+
 def rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of nodes that are not connected yet and share a rare strip where two similar texts must share one.
 
-    Strips are ordered by the number of groups that hold them, so a passage in many texts comes last.  Take the first strip
-    that two texts of n and m strips share: behind its place i in the one and j in the other lie at most n - i and m - j, and a similarity s
-    needs s / (1 + s) * (n + m) of them.  So only the foremost strips are keys, the deeper a strip the fewer partners by
-    size: a key is a strip and a class of sizes, that of the smaller text.  Strips of one group only can link nothing.
+    Take the first strip, in the order of ``foremost``, that two texts of n and m strips share: behind its place i in the one and j in the other lie
+    at most n - i and m - j, and a similarity s needs s / (1 + s) * (n + m) of them.  So only the foremost strips are keys, the deeper a strip the
+    fewer partners by size: a key is a strip and a class of sizes, that of the smaller text.  Strips of one group only can link nothing.
     """
     need = SIMILARITY / (1 + SIMILARITY)
-    nodes = settle(rows.select("node", "label").distinct())
-    units = nodes.join(sets, "node").select("node", "label", F.size("units").alias("n"), F.explode_outer("units").alias("unit"))
-    spread = units.select("unit", "label").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("groups"))
-    ordered = units.join(spread, "unit").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("groups", "unit"))).alias("units"))
-    first = F.slice("units", 1, (F.floor((1 - SIMILARITY) * F.col("n") + 1e-9) + 1).cast("int"))
-    keys = settle(ordered.select("node", "label", "n", F.posexplode_outer(first).alias("at", "u")).where("u.groups > 1").select("node", "label", "n", "at", "u.unit"))
+    own = settle(rows.select("node", "label").distinct().join(sets, "node"))
+    keys = settle(foremost(own))
     rest = F.col("n") - F.col("at")
     lower = keys.where(rest >= need * (F.col("n") + F.col("n") / STEP_OF_SIZE) - 1e-9).select(
         "unit", _size_class(F.col("n")).alias("class"), F.col("node").alias("x"), F.col("label").alias("l"), F.col("n"), rest.alias("r"))
