@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costbook.functions import labels as L
 from costbook.functions.names import classify_resource
 from costbook.functions.text import join_spec
+from costbook.operators.blocks import pack
 from costbook.operators.ordered import numbered
 
 BLOCK_COLUMNS = 55
@@ -100,42 +98,14 @@ def rates(lines: DataFrame) -> DataFrame:
 
 
 BLOCK_KEYS = ["chapter", "section", "subsection"]
-BLOCK_SCHEMA = "chapter string, section string, subsection string, norm_ID long, block int, kept int"
-
-
-def _pack(capacity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, block, held = None, 0, set()
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                key = (row.chapter, row.section, row.subsection)
-                if key != group:
-                    group, block, held = key, 1, set()
-                wanted = list(dict.fromkeys(row.labels))
-                new = [x for x in wanted if x not in held]
-                if held and len(held) + len(new) > capacity:
-                    block, held, new = block + 1, set(), wanted
-                for at in range(0, max(len(new), 1), capacity):
-                    if at:
-                        block, held = block + 1, set()
-                    taken = new[at:at + capacity]
-                    held.update(taken)
-                    out.append((*key, row.norm_ID, block, len(taken)))
-            yield pd.DataFrame(out, columns=[*BLOCK_KEYS, "norm_ID", "block", "kept"])
-    return run
 
 
 def pack_blocks(items: DataFrame, capacity: int = BLOCK_COLUMNS) -> DataFrame:
-    """Column blocks per sub-section: items in order, a new block when the labels would outgrow it.
+    """Column blocks per sub-section: items in order, a new block when the labels would outgrow it (see ``blocks.pack``).
 
-    ``items`` (chapter, section, subsection, pos, norm_ID, labels).  The open block is an
-    order-dependent set, so a sub-section is read in order; it streams through in sorted
-    batches and only the open block, at most ``capacity`` labels, is held.  An item with more labels
-    than a block holds goes on in the blocks after it, one row each, so no label is lost.
+    ``items`` (chapter, section, subsection, pos, norm_ID, labels).
     """
-    ordered = items.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "pos", "norm_ID")
-    return ordered.select(*BLOCK_KEYS, "norm_ID", "labels").mapInPandas(_pack(capacity), BLOCK_SCHEMA)
+    return pack(items, BLOCK_KEYS, [F.col("pos"), F.col("norm_ID")], "norm_ID", capacity)
 
 
 def block_names(blocks: DataFrame) -> DataFrame:
