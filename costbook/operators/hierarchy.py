@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costbook.operators import tours
+from costbook.session import settle
+
 DOUBLINGS = 3
 
 
@@ -21,22 +24,31 @@ def _doubled(current: DataFrame) -> DataFrame:
         "node", F.col("up2").alias("up"), F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
 
 
+def _open() -> Column:
+    # up turns null where a parent row is missing, so one that is left stands for a real row
+    return F.col("up").isNotNull() & (F.size(F.array_distinct("path")) == F.size("path"))
+
+
+def _first_chains(chapters: DataFrame, carried: tuple[str, ...], node: str, parent: str) -> DataFrame:
+    """(node, up, path) after DOUBLINGS, written once."""
+    self_ = F.struct(F.col(node).alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in carried])
+    above = F.when((F.col(parent).cast("string") != "0") & (F.col(parent) != F.col(node)), F.col(parent))
+    current = chapters.select(F.col(node).alias("node"), above.alias("up"), F.array(self_).alias("path"))
+    for _ in range(DOUBLINGS):
+        current = _doubled(current)
+    return settle(current)
+
+
 def chains(chapters: DataFrame, carried: tuple[str, ...] = (), node: str = "chap_ID", parent: str = "chap_PID") -> DataFrame:
     """``node`` and ``chain``: structs from the root to the node.
 
     A parent that is 0, the node itself or missing ends the chain.  Cycles are cut at the
     first repeated node.  Chains of any length are followed to their end.
     """
-    self_ = F.struct(F.col(node).alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in carried])
-    above = F.when((F.col(parent).cast("string") != "0") & (F.col(parent) != F.col(node)), F.col(parent))
-    current = chapters.select(F.col(node).alias("node"), above.alias("up"), F.array(self_).alias("path"))
+    current = _first_chains(chapters, carried, node, parent)
     distinct = F.array_distinct("path")
-    # up turns null where a parent row is missing, so one that is left stands for a real row
-    open_ = F.col("up").isNotNull() & (F.size(distinct) == F.size("path"))
-    for _ in range(DOUBLINGS):
-        current = _doubled(current)
-    while not current.filter(open_).isEmpty():
-        current = _doubled(current)
+    while not current.filter(_open()).isEmpty():
+        current = settle(_doubled(current))
     return current.select("node", F.reverse(distinct).alias("chain"))
 
 
@@ -57,16 +69,50 @@ def split_levels(names: Column, fourth: bool = False) -> list[Column]:
     return [*parts, at(4).alias("level4")] if fourth else parts
 
 
+def _pairs(current: DataFrame) -> DataFrame:
+    up = current.select("node", F.posexplode(F.array_distinct("path")).alias("distance", "a"))
+    return up.select("node", F.col("a.id").alias("ancestor"), F.col("distance"))
+
+
 def closure(chapters: DataFrame, node: str = "chap_ID", parent: str = "chap_PID") -> DataFrame:
     """Every node with each of its ancestors, itself included at distance 0."""
     up = chains(chapters, (), node, parent).select("node", F.posexplode(F.reverse("chain")).alias("distance", "a"))
     return up.select("node", F.col("a.id").alias("ancestor"), F.col("distance"))
 
 
+class Subtrees:
+    """Answers about subtrees.  Where no chain is longer than the planned doublings reach, a node has a bounded number of ancestors and all pairs
+    are at hand; in deeper trees interval labels answer (see ``tours``), and only nodes on or below a circle keep their pairs."""
+
+    def __init__(self, chapters: DataFrame, node: str = "chap_ID", parent: str = "chap_PID"):
+        current = _first_chains(chapters, (), node, parent)
+        self.places = None
+        if current.filter(_open()).isEmpty():
+            self.pairs = _pairs(current)
+        else:
+            self.places = tours.tour(chapters, node, parent)
+            circles = chapters.join(self.places.select(F.col("node").alias(node)), node, "left_anti")
+            self.pairs = closure(settle(circles), node, parent)
+
+    def totals(self, weights: DataFrame) -> DataFrame:
+        """(node, total): sum of ``weights`` (node, weight) over each subtree; nodes whose subtree has no weight may lack."""
+        of_pairs = self.pairs.join(weights, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("weight").alias("total"))
+        return of_pairs if self.places is None else of_pairs.unionByName(tours.below(self.places, weights))
+
+    def below(self, roots: DataFrame) -> DataFrame:
+        """(ancestor, node) for each of ``roots`` (node) and every node of its subtree."""
+        of_pairs = self.pairs.join(roots.select(F.col("node").alias("ancestor")).distinct(), "ancestor").select("ancestor", "node")
+        return of_pairs if self.places is None else of_pairs.unionByName(tours.inside(self.places, roots))
+
+    def covered(self, roots: DataFrame) -> DataFrame:
+        """The nodes (node) of the subtrees of ``roots`` (node), each once."""
+        of_pairs = self.pairs.join(roots.select(F.col("node").alias("ancestor")).distinct(), "ancestor").select("node").distinct()
+        return of_pairs if self.places is None else of_pairs.unionByName(tours.covered(self.places, roots))
+
+
 def descendants(chapters: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes below the roots (column ``root``), roots included."""
-    return closure(chapters).join(roots.select(F.col("root").alias("ancestor")).distinct(), "ancestor").select(
-        F.col("ancestor").alias("root"), F.col("node").alias("chap_ID"))
+    return Subtrees(chapters).below(roots.select(F.col("root").alias("node"))).select(F.col("ancestor").alias("root"), F.col("node").alias("chap_ID"))
 
 
 def nearest_mapped(chapters: DataFrame, mapping: DataFrame, key: str = "domain") -> DataFrame:
@@ -94,8 +140,7 @@ def direct_counts(norms: DataFrame, items: DataFrame | None = None) -> DataFrame
 def subtree_counts(chapters: DataFrame, direct: DataFrame) -> DataFrame:
     """Direct count, count of the whole subtree, and the badge shown in the tree."""
     own = chapters.join(direct, "chap_ID", "left").withColumn("direct", F.coalesce("direct", F.lit(0)).cast("long"))
-    below = closure(chapters).join(direct.withColumnRenamed("chap_ID", "node"), "node").groupBy(
-        F.col("ancestor").alias("chap_ID")).agg(F.sum("direct").alias("subtree"))
+    below = Subtrees(chapters).totals(direct.select(F.col("chap_ID").alias("node"), F.col("direct").alias("weight"))).select(F.col("node").alias("chap_ID"), F.col("total").alias("subtree"))
     parent = direct.select(F.col("chap_ID").alias("chap_PID"), F.col("direct").alias("above"))
     total = F.coalesce("subtree", F.lit(0)).cast("long")
     badge = F.when((total == 0) & (F.col("chap_PID") != 0), F.coalesce("above", F.lit(0))).otherwise(total)
@@ -114,14 +159,14 @@ def prune_empty(chapters: DataFrame, norms: DataFrame, prunable: Column | None =
     """Drops chapters whose subtree holds no norm, until nothing changes; roots stay.
 
     Removing empty leaves to a fixpoint keeps exactly the chapters above some norm, so one
-    closure replaces the loop.  With ``prunable`` only matching chapters may go, and a
+    roll-up replaces the loop.  With ``prunable`` only matching chapters may go, and a
     chapter above one that must stay is not a leaf and stays as well.
     """
     may_go = F.lit(True) if prunable is None else prunable
     holders = norms.select(F.col("chap_ID")).distinct().withColumn("_holds", F.lit(True))
     flagged = chapters.join(holders, "chap_ID", "left")
-    anchor = flagged.filter(F.col("_holds") | ~may_go | (F.col("chap_PID") == 0)).select(F.col("chap_ID").alias("node"))
-    keep = closure(chapters).join(anchor, "node", "left_semi").select(F.col("ancestor").alias("chap_ID")).distinct()
+    anchor = flagged.filter(F.col("_holds") | ~may_go | (F.col("chap_PID") == 0)).select(F.col("chap_ID").alias("node")).distinct()
+    keep = Subtrees(chapters).totals(anchor.withColumn("weight", F.lit(1))).where("total > 0").select(F.col("node").alias("chap_ID"))
     return chapters.join(keep, "chap_ID", "left_semi")
 
 
@@ -144,16 +189,16 @@ def override_subtree(chapters: DataFrame, by_prefix: dict[str, str], seed: Colum
     for prefix, name in by_prefix.items():
         arms = F.when(F.substring("chap_code", 1, 2) == prefix, F.lit(name)).otherwise(arms)
     seeds = chapters.filter(seed).select(F.col("chap_ID").alias("root"))
-    inside = descendants(chapters, seeds).select("chap_ID").distinct().withColumn("_inside", F.lit(True))
+    inside = Subtrees(chapters).covered(seeds.withColumnRenamed("root", "node")).select(F.col("node").alias("chap_ID"), F.lit(True).alias("_inside"))
     return chapters.join(inside, "chap_ID", "left").withColumn(
         "discipline", F.when(F.col("_inside"), F.lit(label)).otherwise(arms)).drop("_inside")
 
 
 def under_retired(chapters: DataFrame, norms: DataFrame, retired: DataFrame) -> DataFrame:
     """Norms that still sit below roots that were to be emptied, per root."""
-    inside = descendants(chapters, retired.select(F.col("chap_ID").alias("root")))
-    counts = norms.groupBy("chap_ID").agg(F.count(F.lit(1)).alias("n"))
-    return inside.join(counts, "chap_ID").groupBy("root").agg(F.sum("n").alias("norms"))
+    counts = norms.groupBy(F.col("chap_ID").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+    asked = retired.select(F.col("chap_ID").alias("node")).distinct()
+    return Subtrees(chapters).totals(counts).join(asked, "node", "left_semi").where("total > 0").select(F.col("node").alias("root"), F.col("total").alias("norms"))
 
 
 def orphans(df: DataFrame, child: str, parent: str) -> DataFrame:
@@ -174,7 +219,7 @@ def with_offset(df: DataFrame, offset: int, columns: tuple[str, ...], root_stays
 def copy_subtree(chapters: DataFrame, norms: DataFrame, content: DataFrame, consumption: DataFrame,
                  roots: DataFrame, offset: int, source_lib: str) -> dict[str, DataFrame]:
     """Chapters below the roots with their facts under shifted ids, and one lineage row per norm."""
-    inside = descendants(chapters, roots).select("chap_ID").distinct()
+    inside = Subtrees(chapters).covered(roots.select(F.col("root").alias("node"))).select(F.col("node").alias("chap_ID"))
     kept_norms = norms.join(inside, "chap_ID", "left_semi")
     kept_content = content.join(kept_norms.select("norm_ID"), "norm_ID", "left_semi")
     kept_cons = consumption.join(kept_content.select("cons_ID"), "cons_ID", "left_semi")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from costbook.functions.costs import clean_cost_item, infer_unit
 from costbook.functions.numbers import clean_amount
 from costbook.functions.text import let
-from costbook.operators.ordered import chunk_of, scan
 
 # Columns every table has, and words that mark the cost-item cell of a short row.
 STANDARD = ("定额编号", "分部工程", "分项工程", "费用项目", "单位", "数量")
@@ -26,7 +25,7 @@ def cells_of(line: Column) -> Column:
 
 
 def align(cells: Column, headers: Column) -> Column:
-    """Cells brought to the width of the header: extra ones cut, missing ones filled before the cost item."""
+    """Cells brought to the width of the header: extra ones cut (see ``overflow``), missing ones filled before the cost item."""
     return let(F.struct(cells.alias("c"), headers.alias("h")), lambda v: _aligned(v["c"], v["h"]))
 
 
@@ -46,43 +45,44 @@ def _aligned(cells: Column, headers: Column) -> Column:
             .when((slots > 0) & (F.size(shifted) == h), shifted).otherwise(F.concat(cells, blank(h - n))))
 
 
+def overflow(cells: Column, headers: Column) -> Column:
+    """The cells that a row has beyond its header."""
+    return F.slice(cells, F.size(headers) + 1, F.greatest(F.size(cells) - F.size(headers), F.lit(0)))
+
+
 def table_rows(pages: DataFrame) -> DataFrame:
-    """Rows of all tables of Markdown pages (page, body), with heading, header and aligned cells.
+    """Rows of all tables of Markdown pages (page, body), with heading, header, aligned cells and the cells beyond the header.
 
     A run of bar lines belongs to the first heading since the run before it; a run without
     heading counts only when a rule row follows its header and the header opens with the code column.
+    Runs are found within the page's array of lines, so a page is read once and nothing is shuffled.
     """
-    lines = pages.select("page", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    bar = F.col("line").startswith("|")
-    order, chunk = [F.col("pos")], chunk_of(F.col("pos"))
-    seen = scan(lines.withColumn("_bar", bar), ["page"], order, chunk, previous={"_was": F.col("_bar")})
-    begin = F.when(F.col("_bar") & ~F.coalesce("_was", F.lit(False)), 1).otherwise(0)
-    runs = scan(seen.withColumn("_begin", begin), ["page"], order, chunk, total={"run": F.col("_begin")})
-    # a heading or a note belongs to the run that follows it
-    before = F.col("run") + F.when(F.col("_bar"), 0).otherwise(1)
-    keyed = runs.withColumn("table_no", before)
-    is_head = ~F.col("_bar") & F.col("line").rlike(r"^#{2,4}\s+\S")
-    meta = F.regexp_extract("line", r"^- \*\*(?:工程内容|单位)\*\*:\s*(.+)", 1)
-    heads = keyed.filter(~F.col("_bar")).groupBy("page", "table_no").agg(
-        F.min_by(F.trim(F.regexp_replace("line", r"^#{2,4}\s+", "")), F.when(is_head, F.col("pos"))).alias("heading"),
-        F.min_by(meta, F.when(meta != "", F.col("pos"))).alias("meta"))
-    in_run = keyed.filter("_bar")
-    first = in_run.groupBy("page", "table_no").agg(F.min("pos").alias("head_pos"), F.min_by("line", "pos").alias("header_line"),
-                                                  F.max(F.when(F.col("line").rlike(RULE_ROW), F.col("pos"))).alias("any_rule"))
-    ruled = in_run.join(first, ["page", "table_no"]).join(heads, ["page", "table_no"], "left")
-    rule_next = F.col("line").rlike(RULE_ROW) & (F.col("pos") == F.col("head_pos") + 1)
-    has_rule = ruled.filter(rule_next).select("page", "table_no", F.lit(True).alias("has_rule"))
-    headers = cells_of(F.col("header_line"))
-    rows = ruled.join(has_rule, ["page", "table_no"], "left").filter((F.col("pos") > F.col("head_pos")) & ~rule_next)
-    valid = F.col("heading").isNotNull() | (F.col("has_rule") & (F.try_element_at(headers, F.lit(1)) == STANDARD[0]))
-    cells = cells_of(F.col("line"))
-    return rows.filter(valid & (F.size(cells) > 0)).select(
-        "page", "table_no", (F.col("pos") - F.col("head_pos")).alias("row_pos"), F.coalesce("heading", "meta", F.lit("")).alias("heading"),
-        headers.alias("headers"), align(cells, headers).alias("cells"))
+    def bar(i: Column) -> Column:
+        return F.coalesce(F.get("lines", i).startswith("|"), F.lit(False))
+
+    split = pages.select("page", F.split(F.coalesce("body", F.lit("")), "\n").alias("lines"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    marked = split.select("page", "lines", F.filter(every, lambda i: bar(i) & ~bar(i - 1)).alias("starts"), F.filter(every, lambda i: bar(i) & ~bar(i + 1)).alias("ends"))
+
+    def run(start: Column, k: Column) -> Column:
+        before = F.coalesce(F.get("ends", k - 1), F.lit(-1))
+        return F.struct(F.slice("lines", before + 2, start - before - 1).alias("gap"), F.slice("lines", start + 1, F.get("ends", k) - start + 1).alias("run"))
+
+    # outer: else Spark tests the array's size before, by finding the runs once more
+    runs = marked.select("page", F.posexplode_outer(F.transform("starts", run)).alias("k", "r")).where("k is not null")
+    heading = F.get(F.filter("r.gap", lambda x: x.rlike(r"^#{2,4}\s+\S")), F.lit(0))
+    meta = F.get(F.filter(F.transform("r.gap", lambda x: F.regexp_extract(x, r"^- \*\*(?:工程内容|单位)\*\*:\s*(.+)", 1)), lambda x: x != ""), F.lit(0))
+    tables = runs.select("page", (F.col("k") + 1).cast("long").alias("table_no"), F.trim(F.regexp_replace(heading, r"^#{2,4}\s+", "")).alias("heading"), meta.alias("meta"),
+                         cells_of(F.get("r.run", F.lit(0))).alias("headers"), F.coalesce(F.get("r.run", F.lit(1)).rlike(RULE_ROW), F.lit(False)).alias("ruled"), F.col("r.run").alias("run"))
+    valid = tables.where(F.col("heading").isNotNull() | (F.col("ruled") & (F.get("headers", F.lit(0)) == STANDARD[0])))
+    rows = valid.select("*", F.posexplode_outer("run").alias("pos", "line")).where((F.col("pos") > 0) & ~(F.col("ruled") & (F.col("pos") == 1)))
+    rows = rows.withColumn("own", cells_of(F.col("line"))).where(F.size("own") > 0)
+    return rows.select("page", "table_no", F.col("pos").alias("row_pos"), F.coalesce("heading", "meta", F.lit("")).alias("heading"),
+                       "headers", align(F.col("own"), F.col("headers")).alias("cells"), overflow(F.col("own"), F.col("headers")).alias("overflow"))
 
 
 def norm_items(rows: DataFrame) -> DataFrame:
-    """Table rows as norm items with up to four attributes; rows without a cost item drop out."""
+    """Table rows as norm items with up to four attributes in columns of their own and all of them in a list; rows without a cost item drop out."""
     def picked(v: Column) -> Column:
         at = lambda name: F.array_position(v["h"], name).cast("int")
         cell = lambda name: F.when(at(name) > 0, F.try_element_at(v["c"], at(name)))
@@ -104,7 +104,7 @@ def norm_items(rows: DataFrame) -> DataFrame:
         *[attr(i, "value").alias(f"attr_level{i}") for i in range(1, 5)], *[attr(i, "label").alias(f"attr{i}_label") for i in range(1, 5)],
         F.regexp_replace(F.regexp_replace("cost_item", tail, ""), r"^[tT]\s*", "").alias("cost_item"),
         F.when(moved == "", let(F.col("cost_item"), lambda n: infer_unit(n))).otherwise(moved).alias("cost_item_unit"),
-        amount["value"].alias("amount"), amount["quality"].alias("data_quality"))
+        amount["value"].alias("amount"), amount["quality"].alias("data_quality"), F.col("f.attrs").alias("attributes"))
 
 
 def match_titles(wanted: DataFrame, titles: DataFrame) -> DataFrame:

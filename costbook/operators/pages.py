@@ -144,23 +144,30 @@ def _any(test: Column) -> Column:
     return F.coalesce(F.bool_or(test), F.lit(False))
 
 
+def _joined(*tests: Column) -> list[Column]:
+    """The texts of the lines that pass each test, in order of the lines, joined by blanks; a page bounds them."""
+    item = F.struct("line_no", "x", "text")
+    return [F.array_join(F.transform(F.sort_array(F.collect_list(F.when(t, item))), lambda v: v["text"]), " ") for t in tests]
+
+
 def classify_pages(lines: DataFrame) -> DataFrame:
-    """Type of every page from its lines."""
-    t, head = F.col("text"), F.col("y") < 60
+    """Type of every page from its lines; titles may be set in several lines, so the header is read as one text."""
+    t = F.coalesce("text", F.lit(""))
+    header, opening = _joined(F.col("y") < 60, F.lit(True))
     flags = lines.groupBy(*PAGE_KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(t.rlike(CODE)).alias("codes"), F.count_if(F.length(t) > 30).alias("long"),
         F.count_if(t.rlike(r"\.{3,}")).alias("leaders"), _any(t.rlike(CHAPTER)).alias("chapter"), _any(t.rlike(COVER_WORDS)).alias("cover"),
-        _any(t.rlike(NOTICE_WORDS)).alias("notice"), _any(head & t.contains("目 次")).alias("toc"),
-        _any((head | (F.col("line_no") < 3)) & t.contains("总说明")).alias("general"), _any(head & t.rlike("附加说明|附录")).alias("appendix"),
-        _any(head & t.rlike("说 +明")).alias("intro"), _any(head & t.rlike(SECTION)).alias("section"),
-        _any(head & t.rlike("续 {0,2}表")).alias("continued"), _any((F.col("y") > F.col("page_height") - 60) & t.rlike(r"^-\s*\d+\s*-$")).alias("footer"))
+        _any(t.rlike(NOTICE_WORDS)).alias("notice"), header.alias("header"), F.substring(opening, 1, 50).alias("opening"),
+        _any((F.col("y") > F.col("page_height") - 60) & t.rlike(r"^-\s*\d+\s*-$")).alias("footer"))
+    head = F.col("header")
     has_codes = F.col("codes") >= 3
     kind = (F.when(F.col("chapter") & (F.col("n") < 6), "chapter_title").when(F.col("n") < 3, "blank")
             .when(F.col("cover"), F.when(F.col("n") < 10, "blank").otherwise("cover")).when(F.col("notice"), "notice")
-            .when(F.col("toc") | (F.col("leaders") >= 5), "toc").when(F.col("general"), "general_instruction").when(F.col("appendix"), "appendix")
-            .when(F.col("intro") & (F.col("n") < 25), "section_intro")
-            .when(~has_codes & (F.col("n") >= 10) & (F.col("long") >= 5), "section_intro").when(F.col("section") & ~has_codes, "section_intro")
-            .when(has_codes, F.when(F.col("continued"), "continued_table").otherwise("norms_table"))
+            .when(head.contains("目 次") | (F.col("leaders") >= 5), "toc")
+            .when(head.contains("总说明") | F.col("opening").contains("总说明"), "general_instruction").when(head.rlike("附加说明|附录"), "appendix")
+            .when(head.rlike("说( {1,2}| {4})明") & (F.col("n") < 25), "section_intro")
+            .when(~has_codes & (F.col("n") >= 10) & (F.col("long") >= 5), "section_intro").when(head.rlike(SECTION) & ~has_codes, "section_intro")
+            .when(has_codes, F.when(head.rlike("续 {0,2}表"), "continued_table").otherwise("norms_table"))
             .when(F.col("footer") & (F.col("n") > 20), "section_intro").otherwise("blank"))
     return flags.select(*PAGE_KEYS, kind.alias("page_type"))
 

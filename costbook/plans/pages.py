@@ -141,19 +141,49 @@ def _(t):
     return P.nearest_column(cells, columns(t), (F.col("x") + F.col("x2")) / 2, 80).select("doc", "page", "line_no", "code")
 
 
-TYPES = """WITH fl AS (SELECT doc, page, count(*) AS n, count(*) FILTER (regexp_full_match(text, '\\d{5}')) AS codes, bool_or(regexp_matches(text, '第[一二三四五六七八九十]+章')) AS chapter,
-  bool_or(text LIKE '%公告%') AS notice, bool_or(y < 60 AND text LIKE '%目 次%') AS toc, bool_or(y < 60 AND regexp_matches(text, '第[一二三四五六七八九十]+节')) AS section,
-  bool_or(y < 60 AND regexp_matches(text, '续 {0,2}表')) AS cont FROM book_line GROUP BY 1, 2),
-typed AS (SELECT doc, page, CASE WHEN chapter AND n < 6 THEN 'chapter_title' WHEN n < 3 THEN 'blank' WHEN notice THEN 'notice' WHEN toc THEN 'toc' WHEN section AND codes < 3 THEN 'section_intro'
-  WHEN codes >= 3 THEN CASE WHEN cont THEN 'continued_table' ELSE 'norms_table' END ELSE 'blank' END AS page_type FROM fl)
+def types_sql(lines: str) -> str:
+    """The type of each page by first-hit rules over its joined header, its joined text and counts of lines."""
+    return f"""WITH fl AS (SELECT doc, page, count(*) AS n, count(*) FILTER (regexp_full_match(text, '\\d{{5}}')) AS codes, max(page_height) AS height,
+  count(*) FILTER (length(text) > 30) AS long_lines, count(*) FILTER (text LIKE '%...%') AS leaders, count(*) FILTER (y > page_height - 60 AND regexp_matches(text, '^-\\s*\\d+\\s*-$')) AS feet,
+  string_agg(text, ' ' ORDER BY line_no, x) AS body, coalesce(string_agg(text, ' ' ORDER BY line_no, x) FILTER (y < 60), '') AS head FROM {lines} GROUP BY 1, 2),
+typed AS (SELECT doc, page, CASE WHEN regexp_matches(body, '第[一二三四五六七八九十]+章') AND n < 6 THEN 'chapter_title' WHEN n < 3 THEN 'blank'
+  WHEN body LIKE '%ICS%' OR body LIKE '%中华人民共和国行业标准%' OR body LIKE '%主编单位%' OR body LIKE '%批准部门%' THEN CASE WHEN n < 10 THEN 'blank' ELSE 'cover' END
+  WHEN body LIKE '%公告%' OR body LIKE '%第57号%' OR body LIKE '%修订说明%' THEN 'notice' WHEN head LIKE '%目 次%' OR leaders >= 5 THEN 'toc'
+  WHEN head LIKE '%总说明%' OR left(body, 50) LIKE '%总说明%' THEN 'general_instruction' WHEN head LIKE '%附加说明%' OR head LIKE '%附录%' THEN 'appendix'
+  WHEN (head LIKE '%说    明%' OR head LIKE '%说  明%' OR head LIKE '%说 明%') AND n < 25 THEN 'section_intro' WHEN codes < 3 AND n >= 10 AND long_lines >= 5 THEN 'section_intro'
+  WHEN regexp_matches(head, '第[一二三四五六七八九十]+节') AND codes < 3 THEN 'section_intro'
+  WHEN codes >= 3 THEN CASE WHEN head LIKE '%续  表%' OR head LIKE '%续表%' OR head LIKE '%续 表%' THEN 'continued_table' ELSE 'norms_table' END
+  WHEN feet > 0 AND n > 20 THEN 'section_intro' ELSE 'blank' END AS page_type FROM fl)
 """
 
 
+TYPES = types_sql("book_line")
+
+
 @register("d02_page_types", TYPES + "SELECT * FROM typed")
 def _(t):
     return P.classify_pages(t.book_line)
 
 
+# every kind of page, its titles often set in two lines
+define_view("kind_page", """
+SELECT o_orderkey AS page, o_orderstatus AS doc, o_orderkey % 17 AS kind, o_orderpriority AS word,
+  CASE WHEN o_custkey % 4 = 0 THEN 2 WHEN o_custkey % 4 = 1 THEN 5 WHEN o_custkey % 4 = 2 THEN 12 ELSE 25 END AS m,
+  {explode}(split('0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19,20,21,22,23,24', ',')) AS k FROM orders""")
+define_view("kind_line", """
+SELECT doc, page, n AS line_no, CAST(30 AS DOUBLE) AS x, CAST(10 + 25 * n AS DOUBLE) AS y, CAST(30 + 25 * m AS DOUBLE) AS page_height, CASE
+  WHEN kind = 0 AND n = 1 THEN '第二章 桩基' WHEN kind = 1 AND n = 1 THEN '批准部门' WHEN kind = 2 AND n = 1 THEN '公告' WHEN kind IN (3, 4) AND n = 0 THEN '目' WHEN kind = 3 AND n = 1 OR kind = 4 AND n = 2 THEN '次'
+  WHEN kind = 5 AND n % 2 = 0 THEN concat('节 ....', k) WHEN kind = 6 AND n = 2 THEN '总说明' WHEN kind = 7 AND n = 1 THEN '附录 A' WHEN kind = 8 AND n = 0 THEN '说' WHEN kind = 8 AND n = 1 THEN '明'
+  WHEN kind = 9 AND n % 2 = 1 THEN concat(word, word, word, word) WHEN kind = 10 AND n = 1 THEN '第三节 打桩' WHEN kind IN (11, 12) AND n = 0 THEN '续' WHEN kind = 11 AND n = 1 THEN '表'
+  WHEN (kind IN (11, 12, 13) OR kind = 10 AND page % 2 = 0) AND n > 1 THEN CAST(10000 + n AS STRING) WHEN kind = 14 AND n = m - 1 THEN '- 7 -' ELSE 'x' END AS text
+FROM (SELECT *, CAST(k AS INT) AS n FROM kind_page) v WHERE n < m""")
+
+
+@register("d02_page_types_of_all_kinds", types_sql("kind_line") + "SELECT * FROM typed")
+def _(t):
+    return P.classify_pages(t.kind_line)
+
+
 define_derived("block_type", """
 SELECT doc, page, CASE WHEN titled THEN CASE WHEN code_count >= 3 THEN 'norms_table' ELSE 'chapter_text' END WHEN cont OR code_count >= 3 THEN 'norms_table' WHEN n < 30 THEN 'blank_or_short' ELSE 'chapter_text' END AS page_type,
   cont AS has_continued, trans AS has_transport, '' AS unit, code_count, first_code, last_code FROM (
@@ -167,14 +197,29 @@ def _(t):
     return P.classify_block_pages(t.book_block)
 
 
-@register("d07_page_metadata", """
-WITH h AS (SELECT *, {'y': y, 'x': x, 'l': line_no} AS o FROM book_line WHERE y < 130)
-SELECT doc, page, coalesce(min_by(trim(text), o) FILTER ((regexp_matches(text, '^[一二三四五六七八九十]+、') OR regexp_matches(text, '^\\d{1,2}[.、]\\s*\\S')) AND text NOT LIKE '%工程内容%'), '') AS subsection,
-  coalesce(max_by(regexp_replace(text, '^.*?(工程内容|工作内容)[：:]?\\s*', ''), o) FILTER (text LIKE '%工程内容%'), '') AS work_content,
-  coalesce(min_by(trim(text), {'n': length(text), 'o': o}) FILTER (regexp_matches(text, '^\\d+\\s*(m[³3²2]|根|件|个|㎡|m|t|kg|km|%|元|工日)') AND length(text) < 20), '') AS unit,
-  false AS is_continued FROM h GROUP BY 1, 2""")
+def metadata_sql(lines: str) -> str:
+    return f"""
+WITH h AS (SELECT *, y < 130 AS up, {{'y': y, 'x': x, 'l': line_no}} AS o FROM {lines} WHERE y < 130 OR text LIKE '%定额编号%')
+SELECT doc, page, coalesce(min_by(trim(text), o) FILTER (up AND (regexp_matches(trim(text), '^[一二三四五六七八九十]+、') OR regexp_matches(trim(text), '^\\d{{1,2}}[.、]\\s*\\S')) AND text NOT LIKE '%工程内容%'), '') AS subsection,
+  coalesce(max_by(regexp_replace(trim(text), '^.*?(工程内容|工作内容)[：:]?\\s*', ''), o) FILTER (up AND text LIKE '%工程内容%'), '') AS work_content,
+  coalesce(min_by(trim(text), {{'n': length(trim(text)), 'o': o}}) FILTER (up AND regexp_matches(trim(text), '^\\d+\\s*(m[³3²2]|根|件|个|㎡|m|t|kg|km|%|元|工日)') AND length(trim(text)) < 20), '') AS unit,
+  coalesce(bool_or(text LIKE '%续表%' AND length(trim(text)) < 20), false) AND NOT coalesce(bool_or(text LIKE '%定额编号%'), false) AS is_continued FROM h GROUP BY 1, 2"""
+
+
+@register("d07_page_metadata", metadata_sql("book_line"))
+def _(t):
+    return P.page_metadata(t.book_line)
+
+
+# the continued mark and the code mark at several heights
+define_view("marked_line", """
+SELECT o_orderstatus AS doc, o_orderkey % 400 AS page, o_orderkey AS line_no, CAST(o_custkey % 50 AS DOUBLE) AS x, CAST(o_custkey % 40 * 10 AS DOUBLE) AS y,
+  CASE o_orderkey % 11 WHEN 0 THEN ' 续表 ' WHEN 1 THEN CASE WHEN o_orderkey % 5 = 0 THEN '定额编号' ELSE 'x' END WHEN 2 THEN '一、 打桩' WHEN 3 THEN '工程内容： 挖土' WHEN 4 THEN '10m3' WHEN 5 THEN concat('续表 ', o_orderpriority, o_orderpriority) ELSE 'x' END AS text FROM orders""")
+
+
+@register("d07_page_metadata_with_marks", metadata_sql("marked_line"))
 def _(t):
-    return P.page_metadata(t.book_line.filter("y < 130"))
+    return P.page_metadata(t.marked_line)
 
 
 define_view("page_title", """
