@@ -462,30 +462,35 @@ def attribute_order(attributes: DataFrame) -> DataFrame:
 
 # ---- recognised blocks ------------------------------------------------------------------------------
 
-def fuse_blocks(blocks: DataFrame, overlap: float = 0.5) -> DataFrame:
+def fuse_blocks(blocks: DataFrame, overlap: float = 0.5, first_box: bool = False) -> DataFrame:
     """Blocks of several recognition passes, duplicates removed: most confident first, a longer text replaces.
 
-    Equal blocks fall together before the fold; a page's blocks are a small array.
+    A replacing block brings its box along; with ``first_box`` the box of the first one stays, and text, confidence and the label
+    of the pass (column ``pass_label``) are taken.  Equal blocks fall together before the fold; a page's blocks are a small array.
     """
-    box = ["x1", "y1", "x2", "y2", "text", "confidence"]
+    box = ["x1", "y1", "x2", "y2", "text", "confidence", *(["pass_label"] if first_box else [])]
     distinct = blocks.select(*PAGE_KEYS, *box).distinct()
     entry = F.struct((-F.col("confidence")).alias("k1"), (-F.length("text")).alias("k2"), *box)
     sorted_ = distinct.groupBy(*PAGE_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    corner = lambda s: {c: s[c] for c in ("x1", "y1", "x2", "y2")}
-    kind = "array<struct<k1:double,k2:int,x1:double,y1:double,x2:double,y2:double,text:string,confidence:double>>"
+    corners = ("x1", "y1", "x2", "y2")
+    corner = lambda s: {c: s[c] for c in corners}
+    kind = "array<struct<k1:double,k2:int,x1:double,y1:double,x2:double,y2:double,text:string,confidence:double" + (",pass_label:string" if first_box else "") + ">>"
+
+    def taken(d: Column, b: Column) -> Column:
+        return F.struct(*[(d if c in corners else b)[c].alias(c) for c in ("k1", "k2", *box)]) if first_box else b
 
     def step(kept: Column, b: Column) -> Column:
         hit = F.array_position(F.transform(kept, lambda d: bbox_iou(corner(b), corner(d)) > overlap), True)
         longer = F.length(b["text"]) > F.length(F.try_element_at(kept, hit.cast("int"))["text"])
-        replaced = F.transform(kept, lambda d, i: F.when((i + 1) == hit, b).otherwise(d))
+        replaced = F.transform(kept, lambda d, i: F.when((i + 1) == hit, taken(d, b)).otherwise(d))
         return F.when(hit == 0, F.concat(kept, F.array(b))).when(longer, replaced).otherwise(kept)
 
     kept = sorted_.select(*PAGE_KEYS, F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("b"))
     return kept.select(*PAGE_KEYS, *[F.col(f"b.{c}").alias(c) for c in box])
 
 
-def assemble_grid(blocks: DataFrame, y_tolerance: float = 12, x_tolerance: float = 25) -> DataFrame:
-    """Cells of a page: rows and columns from clustered centres, code columns exact, best block per cell."""
+def _in_grid(blocks: DataFrame, y_tolerance: float, x_tolerance: float) -> DataFrame:
+    """The blocks with row and column of their page's grid: clustered centres, code columns exact."""
     mid = blocks.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).withColumn("cy", (F.col("y1") + F.col("y2")) / 2)
     rows = cluster_centres(mid, PAGE_KEYS, "cy", y_tolerance)
     columns = cluster_centres(mid, PAGE_KEYS, "cx", x_tolerance)
@@ -496,8 +501,40 @@ def assemble_grid(blocks: DataFrame, y_tolerance: float = 12, x_tolerance: float
     listed = lambda df, name: df.groupBy(*PAGE_KEYS).agg(F.array_sort(F.collect_list("centre")).alias(name))
     near = lambda centres, v: F.array_min(F.transform(centres, lambda c, i: F.struct(F.abs(c - v).alias("d"), i.alias("i"))))["i"]
     placed = mid.join(listed(rows, "ys"), PAGE_KEYS).join(listed(kept.unionByName(codes), "xs"), PAGE_KEYS)
-    return placed.withColumn("row_no", near(F.col("ys"), F.col("cy"))).withColumn("col_no", near(F.col("xs"), F.col("cx"))).groupBy(
-        *PAGE_KEYS, "row_no", "col_no").agg(F.max_by("text", F.struct("confidence", (-F.col("y1")).alias("y"), (-F.col("x1")).alias("x"), "text")).alias("text"))
+    return placed.withColumn("row_no", near(F.col("ys"), F.col("cy"))).withColumn("col_no", near(F.col("xs"), F.col("cx")))
+
+
+def assemble_grid(blocks: DataFrame, y_tolerance: float = 12, x_tolerance: float = 25) -> DataFrame:
+    """Cells of a page with the text of their most confident block."""
+    return _in_grid(blocks, y_tolerance, x_tolerance).groupBy(*PAGE_KEYS, "row_no", "col_no").agg(
+        F.max_by("text", F.struct("confidence", (-F.col("y1")).alias("y"), (-F.col("x1")).alias("x"), "text")).alias("text"))
+
+
+def grid_cells(blocks: DataFrame, y_tolerance: float = 12, x_tolerance: float = 25) -> DataFrame:
+    """Cells of a page with all their texts, from top to bottom and left to right: trimmed, blank ones left out, of consecutive equal ones
+    one, joined by blanks; with the highest confidence and the box around them."""
+    item = F.struct("y1", "x1", F.trim("text").alias("text"))
+    cells = _in_grid(blocks, y_tolerance, x_tolerance).where(F.trim("text") != "").groupBy(*PAGE_KEYS, "row_no", "col_no").agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda v: v["text"]).alias("texts"), F.max("confidence").alias("confidence"),
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    own = F.col("texts")
+    merged = F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1)))
+    return cells.select(*PAGE_KEYS, "row_no", "col_no", F.array_join(merged, " ").alias("text"), F.size(merged).alias("parts"), "confidence", "x1", "y1", "x2", "y2")
+
+
+def merge_runs(cells: DataFrame) -> DataFrame:
+    """Neighbouring grid cells of equal text as one: runs along a row first, then equal runs in the rows below.
+
+    ``cells`` (doc, page, row_no, col_no, text) gives row_no, col_no, row_span, col_span, text of each merged cell.  A page bounds a window.
+    """
+    along = Window.partitionBy(*PAGE_KEYS, "row_no").orderBy("col_no")
+    starts = F.when((F.lag("text").over(along) == F.col("text")) & (F.lag("col_no").over(along) == F.col("col_no") - 1), 0).otherwise(1)
+    runs = cells.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(along)).groupBy(*PAGE_KEYS, "row_no", "_run").agg(
+        F.min("col_no").alias("col_no"), F.count(F.lit(1)).alias("col_span"), F.first("text").alias("text"))
+    down = Window.partitionBy(*PAGE_KEYS, "col_no", "col_span", "text").orderBy("row_no")
+    below = F.when(F.lag("row_no").over(down) == F.col("row_no") - 1, 0).otherwise(1)
+    return runs.withColumn("_s", below).withColumn("_run", F.sum("_s").over(down)).groupBy(*PAGE_KEYS, "col_no", "col_span", "text", "_run").agg(
+        F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("row_span")).select(*PAGE_KEYS, "row_no", "col_no", "row_span", "col_span", "text")
 
 
 def split_grid(cells: DataFrame, least_rows: int = 3) -> DataFrame:

@@ -352,6 +352,12 @@ def _(t):
     return P.fuse_blocks(t.book_block)
 
 
+@register("d01_block_fusion_first_box")
+def _(t):
+    label = F.when(F.col("line_no") % 2 == 0, "gray").otherwise("binary")
+    return P.fuse_blocks(t.book_block.withColumn("pass_label", label), first_box=True)
+
+
 def parts(t):
     cols = settle(columns(t))
     return cols, settle(P.table_zones(t.book_line, cols))
@@ -407,6 +413,24 @@ def _(t):
     return P.split_grid(P.assemble_grid(t.book_block))
 
 
+@register("d18_grid_cells")
+def _(t):
+    return P.grid_cells(t.book_block).select("doc", "page", "row_no", "col_no", "text", "parts", F.round("confidence", 6).alias("confidence"))
+
+
+define_view("grid_cell", """
+SELECT o_orderstatus AS doc, CAST(FLOOR(o_orderkey / 400) AS BIGINT) AS page, CAST(FLOOR(o_orderkey % 400 / 20) AS INT) AS row_no, CAST(o_orderkey % 20 AS INT) AS col_no, substr(o_orderpriority, 1, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS text FROM orders""")
+
+
+@register("d18_merged_cells", """
+WITH a AS (SELECT *, CASE WHEN lag(text) OVER w = text AND lag(col_no) OVER w = col_no - 1 THEN 0 ELSE 1 END AS s FROM grid_cell WINDOW w AS (PARTITION BY doc, page, row_no ORDER BY col_no)),
+r AS (SELECT doc, page, row_no, min(col_no) AS col_no, count(*) AS col_span, any_value(text) AS text FROM (SELECT *, sum(s) OVER (PARTITION BY doc, page, row_no ORDER BY col_no) AS g FROM a) GROUP BY doc, page, row_no, g),
+d AS (SELECT *, row_no - row_number() OVER (PARTITION BY doc, page, col_no, col_span, text ORDER BY row_no) AS g FROM r)
+SELECT doc, page, min(row_no) AS row_no, col_no, count(*) AS row_span, col_span, text FROM d GROUP BY doc, page, col_no, col_span, text, g""")
+def _(t):
+    return P.merge_runs(t.grid_cell)
+
+
 define_view("appendix_line", """
 SELECT concat('A', CAST(CAST(FLOOR(l_orderkey / 40) AS BIGINT) % 50 AS STRING)) AS doc, CAST(FLOOR(l_orderkey / 2000) AS BIGINT) AS page_idx,
   (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS line_no, CASE l_linenumber WHEN 1 THEN 60.0 WHEN 2 THEN 200.0 WHEN 3 THEN 260.0 WHEN 4 THEN 330.0 WHEN 5 THEN 410.0 WHEN 6 THEN 480.0 ELSE 20.0 END AS x0,
