@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costbook.operators.norms import blank_nulls
+from costbook.operators.ordered import numbered
 from costbook.session import settle
 
 ITEM_TEXTS = ("norms_code", "attr_level1", "attr_level2", "attr_level3", "attr_level4", "attr1_label", "attr2_label", "attr3_label", "attr4_label",
               "cost_item", "cost_item_unit")
 
 
+def publish(frames: Mapping[str, DataFrame], path: str, by: Mapping[str, str] | None = None) -> str:
+    """Writes a set of frames as JSON to a folder of its own below ``path`` and, when all are there, adds the row that makes it the current one.
+
+    A run that fails leaves the set before it readable, and its own folder behind; a rerun starts a new one.  ``by`` names the column
+    that a frame's files are divided by.  Returns the name of the version.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    version = f"v-{os.urandom(8).hex()}"
+    for name, frame in frames.items():
+        writer = frame.write.option("ignoreNullFields", False)
+        (writer.partitionBy(by[name]) if by and name in by else writer).json(f"{path}/{version}/{name}")
+    # the number decides, so that two versions never count at once
+    number = 1 + max((r["number"] for r in _versions(spark, path)), default=0)
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return version
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return spark.read.schema("number long, version string").json(f"{path}/manifest").collect()  # a row for each run
+
+
+def read_published(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A frame of the current set, without order."""
+    current = max(_versions(spark, path), key=lambda r: r["number"])["version"]
+    return spark.read.schema(schema).json(f"{path}/{current}/{name}")
+
+
 def item_rows(items: DataFrame) -> DataFrame:
     """Items as exported: missing texts as '', a missing amount stays empty."""
     texts = [F.col(c) if c in items.columns else F.lit("").alias(c) for c in ITEM_TEXTS]
@@ -31,14 +65,30 @@ def index_rows(chapters: DataFrame, tables: DataFrame, pages: DataFrame, codes:
             .unionByName(part(pages, "pages", F.concat_ws("/", "doc", "page"))).unionByName(part(codes, "code_index", F.col("norms_code"))))
 
 
+def write_index(chapters: DataFrame, tables: DataFrame, pages: DataFrame, codes: DataFrame, path: str) -> str:
+    """The four parts of a book's index, published together."""
+    return publish({"chapters": chapters, "tables": tables, "pages": pages, "code_index": codes}, path)
+
+
 def text_pages(texts: DataFrame) -> DataFrame:
     """Pages that hold text, as JSON rows."""
     kept = texts.filter(F.coalesce("content", F.lit("")) != "")
     return kept.select("page", F.to_json(F.struct("page", "type", "content")).alias("value"))
 
 
-def write_text_pages(texts: DataFrame, path: str) -> None:
-    texts.filter(F.coalesce("content", F.lit("")) != "").write.mode("overwrite").partitionBy("page").json(path)
+def write_text_pages(texts: DataFrame, path: str) -> str:
+    """Pages that hold text, published as (page, type, content)."""
+    return publish({"pages": texts.filter(F.coalesce("content", F.lit("")) != "").select("page", "type", "content")}, path)
+
+
+def write_class_tree(trees: DataFrame, path: str) -> str:
+    """The trees of ``class_tree``, divided by discipline."""
+    return publish({"tree": trees}, path, {"tree": "discipline"})
+
+
+def write_pool(frames: dict[str, DataFrame], path: str) -> str:
+    """The five projections of ``pool``, published together."""
+    return publish(frames, path)
 
 
 def class_tree(nodes: DataFrame, attributes: tuple[str, ...], depth: int = 5) -> DataFrame:
@@ -89,3 +139,31 @@ def pool(chapters: DataFrame, norms: DataFrame, page_chapters: DataFrame, tables
 
 def all_columns_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns))
+
+
+def publish_list(rows: DataFrame, order: list[Column], path: str, number: str = "no") -> None:
+    """A list in its whole order for paging: numbered from 1, each file a range of numbers, rows in order."""
+    numbered(rows, order, number).repartitionByRange(F.col(number)).sortWithinPartitions(number).write.mode("error").parquet(path)
+
+
+def read_page(spark: SparkSession, path: str, page: int, size: int, number: str = "no") -> DataFrame:
+    """A page (from 1) of a published list.  Its numbers are a filter that the files' statistics answer, so a late page reads as little as the first."""
+    return spark.read.parquet(path).where(F.col(number).between((page - 1) * size + 1, page * size))
+
+
+def rows_after(rows: DataFrame, order: list[tuple[str, bool]], last: Mapping[str, object] | None, size: int) -> DataFrame:
+    """The ``size`` rows after the one with the keys ``last`` in an order of (column, descending) whose keys no two rows share; without
+    ``last`` the first ones.  Nulls come first where it ascends and last where it descends.  Rows before are filtered, not sorted and skipped."""
+    keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for c, down in order:
+            value = F.lit(last[c])
+            if last[c] is None:
+                step = F.lit(False) if down else F.col(c).isNotNull()
+            else:
+                step = (F.col(c) < value) | F.col(c).isNull() if down else F.col(c) > value
+            beyond = beyond | (equal & F.coalesce(step, F.lit(False)))
+            equal = equal & F.col(c).eqNullSafe(value)
+        rows = rows.where(beyond)
+    return rows.orderBy(*keys).limit(size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costbook.operators import appendix as X
@@ -10,7 +11,7 @@ from costbook.operators import pages as P
 from costbook.operators.ordered import chunk_of, gap_groups
 from costbook.plans.registry import register
 from costbook.plans.scalars import ITEMS, pick
-from costbook.session import settle
+from costbook.session import scratch_path, settle
 from costbook.sources import pages as S
 from costbook.sources.bindings import define_derived, define_view
 
@@ -36,19 +37,40 @@ UNION ALL SELECT doc, page, line_no, x + 1, y + 1, x2 + 1, y + 12, concat(text,
 KEYS = ("doc", "page", "line_no")
 
 
-@register("src04_page_lines", "SELECT page, line_no, x, y, text FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY line_id) - 1 AS line_no, x, y, text FROM page_line)")
+def _broken(t, path: str, text: str, **by) -> None:
+    """Adds a file that is no record of its source."""
+    frame = t.spark.createDataFrame([(text, *by.values())], "value string" + "".join(f", {k} long" for k in by))
+    writer = frame.coalesce(1).write.mode("append")
+    (writer.partitionBy(*by) if by else writer).text(path)
+
+
+def _with_bad(rows: DataFrame, bad: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows, and one that counts the records that could not be read."""
+    count = bad.groupBy().count()
+    return rows.unionByName(count.select(F.lit(-1).cast("long").alias(key), F.col("count").cast("string").alias(text)), allowMissingColumns=True)
+
+
+@register("src04_page_lines", """SELECT page, line_no, x, y, text FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY line_id) - 1 AS line_no, x, y, text FROM page_line)
+UNION ALL SELECT -1, NULL, NULL, NULL, '1'""")
 def _(t):
-    # lines of one page, as its file holds them
+    root = scratch_path(t.spark, "pages")
     line = F.struct("line_id", F.struct("x", "y", F.col("x").alias("x2"), F.col("y").alias("y2"), "text").alias("l"))
     pages = t.page_line.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(line)), lambda v: v["l"]).alias("lines"))
-    stored = pages.select("page", F.lit(None).cast("long").alias("internal_page"), F.lit(600.0).alias("page_height"), "lines")
-    return S.page_lines(stored).select("page", F.col("line_no").cast("long").alias("line_no"), "x", "y", "text")
+    pages.select("page", F.lit(600.0).alias("page_height"), "lines").write.json(root)
+    _broken(t, root, '{"page": 7, "lines": [{"x": ')
+    found = S.scan_page_lines(t.spark, root, multi_line=False)
+    return _with_bad(found.rows.select("page", F.col("line_no").cast("long").alias("line_no"), "x", "y", "text"), found.bad, "page", "text")
 
 
-@register("src05_block_pages", "SELECT CAST(page AS BIGINT) AS page, line_no, text, confidence FROM book_block")
+@register("src05_block_pages", "SELECT CAST(FLOOR(page / 16) AS BIGINT) AS page, text, confidence FROM book_block UNION ALL SELECT -1, '1', NULL")
 def _(t):
-    named = t.book_block.withColumn("path", F.format_string("/ocr/ocr_%08d.json", "page"))
-    return named.select(S.number_in_path(F.col("path"), "(?:ocr|page)").alias("page"), "line_no", "text", "confidence")
+    root = scratch_path(t.spark, "blocks")
+    # a file for each sheet of sixteen pages, as recognition leaves them, an array of blocks each
+    blocks = t.book_block.groupBy(F.floor(F.col("page") / 16).alias("page")).agg(F.to_json(F.collect_list(F.struct("x1", "y1", "x2", "y2", "text", "confidence"))).alias("value"))
+    blocks.write.partitionBy("page").text(root)
+    _broken(t, root, '[{"x1": 1.0, "text"', page=10**9)
+    found = S.scan_blocks(t.spark, root)
+    return _with_bad(found.rows.select("page", "text", "confidence"), found.bad, "page", "text")
 
 
 define_view("md_page", """
@@ -63,18 +85,27 @@ define_view("md_raw", "SELECT page, text AS value FROM md_page")
 
 @register("src06_markdown_pages", """
 SELECT page, CAST(page AS BIGINT) AS front_page, CASE WHEN page % 3 = 0 THEN (SELECT source FROM documents WHERE doc_id = page) END AS chapter,
-       CASE WHEN page % 4 = 0 THEN 'text' ELSE 'norms_table' END AS type, length(text) - length(regexp_extract(text, '(?s)^---\\s*\\n(.*?)\\n---\\s*\\n', 0)) AS body_length FROM md_page""")
-def _(t):
-    m = S.markdown_pages(t.md_page)
-    return m.select("page", S.front_number(F.col("front"), "page").alias("front_page"), F.col("front.chapter").alias("chapter"),
-                    F.col("front.type").alias("type"), F.length("body").cast("long").alias("body_length"))
-
-
-@register("src09_item_files", "SELECT CAST(table_id AS BIGINT) AS table_id, norms_code, cost_item, amount FROM norms_item")
-def _(t):
-    items = t.norms_item.select(F.format_string("/norms_items/%d.json", "table_id").alias("path"), F.to_json(F.struct("norms_code", "cost_item", "amount")).alias("value"))
-    parsed = items.select("path", F.from_json("value", S.ITEM).alias("i"))
-    return parsed.select(F.regexp_extract("path", r"/(\d+)\.json$", 1).cast("long").alias("table_id"), "i.norms_code", "i.cost_item", "i.amount")
+       CASE WHEN page % 4 = 0 THEN 'text' ELSE 'norms_table' END AS type, length(text) - length(regexp_extract(text, '(?s)^---\\s*\\n(.*?)\\n---\\s*\\n', 0)) AS body_length FROM md_page
+UNION ALL SELECT -1, NULL, NULL, '1', NULL""")
+def _(t):
+    root = scratch_path(t.spark, "markdown")
+    t.md_page.select("page", F.col("text").alias("value")).write.partitionBy("page").text(root)
+    _broken(t, root, "---\npage: 5\nno end of the front matter", page=10**9)
+    found = S.scan_markdown(t.spark, root)
+    # the writer ends each file with a line feed
+    rows = found.rows.select("page", S.front_number(F.col("front"), "page").alias("front_page"), F.col("front.chapter").alias("chapter"),
+                             F.col("front.type").alias("type"), (F.length("body") - 1).cast("long").alias("body_length"))
+    return _with_bad(rows, found.bad, "page", "type")
+
+
+@register("src09_item_files", "SELECT CAST(table_id % 199 AS BIGINT) AS table_id, norms_code, cost_item, amount FROM norms_item UNION ALL SELECT -1, NULL, '1', NULL")
+def _(t):
+    root = scratch_path(t.spark, "items")
+    items = t.norms_item.groupBy((F.col("table_id") % 199).alias("table_id")).agg(F.to_json(F.collect_list(F.struct("norms_code", "cost_item", "amount"))).alias("value"))
+    items.write.partitionBy("table_id").text(root)
+    _broken(t, root, '[{"norms_code": "1001", ', table_id=10**9)
+    found = S.scan_items(t.spark, root)
+    return _with_bad(found.rows.select("table_id", "norms_code", "cost_item", "amount"), found.bad, "table_id", "cost_item")
 
 
 @register("f11_line_noise", "SELECT doc, page, line_no, text FROM book_line WHERE trim(text) <> '' AND NOT regexp_matches(trim(text), '^-\\s*\\d+\\s*-$|^-\\s*\\d+\\s*\\.\\s*\\d+\\s*-$') AND text NOT IN ('·', '.', '..', '...')")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from costbook.functions import labels as L
 from costbook.functions import predicates as P
 from costbook.operators import coverage as C
+from costbook.operators import export as E
 from costbook.operators import pricing as R
 from costbook.operators import provenance as V
 from costbook.operators.ordered import numbered
 from costbook.plans.registry import register
+from costbook.session import scratch_path
 from costbook.sources.bindings import Tables, define_view
 
 PACK = "ASIA"
@@ -362,6 +364,21 @@ def _(t):
     return _rolled(C.page(C.roll_up(listing(t, vol="C")), C.list_order(), 200, 100))
 
 
+@register("o02_paging_by_key", LISTED.replace("{where}", "") + f"""
+SELECT 'page 3' AS part, {', '.join(ROLLED_COLUMNS)} FROM (SELECT *, row_number() OVER (ORDER BY (price IS NULL) DESC, refs DESC, res_Code, res_ID) AS k FROM rolled) WHERE k BETWEEN 101 AND 150
+UNION ALL SELECT 'after 150', {', '.join(ROLLED_COLUMNS)} FROM (SELECT *, row_number() OVER (ORDER BY (price IS NULL) DESC, refs DESC, res_Code, res_ID) AS k FROM rolled) WHERE k BETWEEN 151 AND 180""")
+def _(t):
+    root = scratch_path(t.spark, "list")
+    E.publish_list(_rolled(C.roll_up(listing(t))), C.list_order(), root)
+    third = E.read_page(t.spark, root, 3, 50)
+    unpriced = F.col("price").isNull().cast("int")
+    last = third.withColumn("open", unpriced).orderBy(F.desc("no")).first()  # one row: where the reader is
+    keys = [("open", True), ("refs", True), ("res_Code", False), ("res_ID", False)]
+    stored = t.spark.read.parquet(root).withColumn("open", unpriced)
+    after = E.rows_after(stored, keys, last.asDict(), 30)
+    return third.select(F.lit("page 3").alias("part"), *ROLLED_COLUMNS).union(after.select(F.lit("after 150"), *ROLLED_COLUMNS))
+
+
 @register("e03_price_list", LISTED.replace("{where}", "WHERE cons_Style IN (6, 7) AND price_res_ID IS NOT NULL") + f"""
 SELECT {', '.join(ROLLED_COLUMNS)}, (SELECT count(*) FROM rolled) AS total, (SELECT CAST(sum(refs) AS BIGINT) FROM rolled) AS total_refs
 FROM rolled""")

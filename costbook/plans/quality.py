@@ -14,6 +14,7 @@ from costbook.operators.ordered import numbered
 from costbook.plans.books import source_chapters, source_norms
 from costbook.plans.registry import register
 from costbook.plans.tree import REPARENTED, WBS
+from costbook.session import scratch_path
 from costbook.sources import pages as S
 from costbook.sources.bindings import define_view
 
@@ -180,7 +181,6 @@ def _(t):
 
 @register("src01_read_library", "SELECT norm_ID, chap_ID, norm_Code, norm_Name FROM norm WHERE vol = 'B'")
 def _(t):
-    from costbook.session import scratch_path
     from costbook.sources.tables import read_library
     root = scratch_path(t.spark, "library")
     t.norm.withColumn("doc", F.col("vol")).write.partitionBy("doc").parquet(f"{root}/Norm")
@@ -194,22 +194,35 @@ def _(t):
     return items.select("table_id", "sort_order", E.all_columns_json(items.drop("table_id", "sort_order", "id")).alias("value"))
 
 
-@register("snk02_index_export")
+@register("snk02_index_export", f"""
+SELECT 'chapters' AS part, CAST(chap_ID AS VARCHAR) AS key, chap_Name AS text FROM chapter UNION ALL SELECT 'tables', CAST(id AS VARCHAR), section_title FROM norms_table
+UNION ALL SELECT 'pages', concat(doc, '/', page), page_type FROM page_index UNION ALL SELECT 'code_index', norms_code, CAST(max(table_id) AS VARCHAR) FROM norms_item WHERE norms_code IS NOT NULL AND norms_code <> '' GROUP BY 2""")
 def _(t):
-    return E.index_rows(t.chapter, t.norms_table.drop("header_json"), t.page_index, N.code_to_table(t.norms_item))
+    root = scratch_path(t.spark, "index")
+    E.write_index(t.chapter, t.norms_table.drop("header_json"), t.page_index, N.code_to_table(t.norms_item), root)
+    read = lambda name, schema: E.read_published(t.spark, root, name, schema)
+    text = lambda c: F.col(c).cast("string")
+    parts = [read("chapters", "chap_ID long, chap_Name string").select(F.lit("chapters").alias("part"), text("chap_ID").alias("key"), F.col("chap_Name").alias("text")),
+             read("tables", "id long, section_title string").select(F.lit("tables"), text("id"), "section_title"),
+             read("pages", "doc string, page long, page_type string").select(F.lit("pages"), F.concat_ws("/", "doc", "page"), "page_type"),
+             read("code_index", "norms_code string, table_id string").select(F.lit("code_index"), "norms_code", "table_id")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @register("snk03_text_export", """
-SELECT doc_id AS page, length(text) > 0 AS has_text FROM documents WHERE coalesce(text, '') <> ''""")
+SELECT doc_id AS page, lang AS type, text AS content FROM documents WHERE coalesce(text, '') <> ''""")
 def _(t):
-    texts = t.documents.select(F.col("doc_id").alias("page"), F.col("lang").alias("type"), F.col("text").alias("content"))
-    return E.text_pages(texts).select("page", (F.length("value") > 0).alias("has_text"))
+    root = scratch_path(t.spark, "texts")
+    E.write_text_pages(t.documents.select(F.col("doc_id").alias("page"), F.col("lang").alias("type"), F.col("text").alias("content")), root)
+    return E.read_published(t.spark, root, "pages", "page long, type string, content string")
 
 
 @register("snk04_class_tree_export")
 def _(t):
     nodes = H.wbs_nodes(t.wbs_sheet).withColumn("discipline", F.substring("wbs_code", 1, 2))
-    return E.class_tree(nodes, ("level", "name_cn", "name_en"))
+    root = scratch_path(t.spark, "tree")
+    E.write_class_tree(E.class_tree(nodes, ("level", "name_cn", "name_en")), root)
+    return E.read_published(t.spark, root, "tree", "discipline string, wbs_code string, tree string")
 
 
 @register("snk05_pool_export", """
@@ -224,8 +237,11 @@ def _(t):
     page_chapters = three(t.chapter.select(F.col("chap_ID").alias("id"), F.col("chap_PID").alias("parent_id"), H.code_level(F.col("chap_code")).alias("level"), F.col("chap_Name").alias("title")))
     frames = E.pool(chapters, norms, page_chapters, three(t.norms_table), three(t.norms_item))
     keys = {"bj_chapters": ("chap_ID", "chap_Name"), "bj_norms": ("norm_ID", "norm_Name"), "jts_chapters": ("id", "title"), "jts_norms_tables": ("id", "section_title"), "jts_items": ("id", "cost_item")}
+    root = scratch_path(t.spark, "pool")
+    E.write_pool(frames, root)
     out = None
     for name, (key, text) in keys.items():
-        part = frames[name].select(F.lit(name).alias("part"), F.concat_ws("/", "source_id", F.col(key).cast("string")).alias("key"), F.col(text).alias("text"))
+        stored = E.read_published(t.spark, root, name, f"source_id string, {key} long, {text} string")
+        part = stored.select(F.lit(name).alias("part"), F.concat_ws("/", "source_id", F.col(key).cast("string")).alias("key"), F.col(text).alias("text"))
         out = part if out is None else out.union(part)
     return out

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costbook.session import settle
+
 LINE = "struct<x:double,y:double,x2:double,y2:double,text:string>"
 PAGE = f"page long, pdf_page long, internal_page long, source string, page_width double, page_height double, lines array<{LINE}>"
 BLOCK = "x1 double, y1 double, x2 double, y2 double, text string, confidence double, pass_label string"
@@ -17,8 +22,53 @@ def number_in_path(path: Column, name: str = "page") -> Column:
     return F.regexp_extract(path, rf"{name}[_=]0*(\d+)", 1).try_cast("long")
 
 
+class Read(NamedTuple):
+    """What a source holds: its rows, and (file, record) of what could not be read as such.  Both come from one pass, written in between."""
+
+    rows: DataFrame
+    bad: DataFrame
+
+
+def _permissive(spark: SparkSession, schema: str, path: str, multi_line: bool, number: Column, *more: Column) -> Read:
+    """JSON records of a schema; a record that does not fit it, or whose file has no number where one is asked, is bad."""
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt")
+    file = F.col("_metadata.file_path")
+    columns = [c.split()[0] for c in re.split(r", (?=\w+ )", schema)]
+    whole = settle(reader.json(path).select(file.alias("file"), number.alias("_number"), *more, *columns, "_corrupt"))
+    good = F.col("_corrupt").isNull() & F.col("_number").isNotNull()
+    return Read(whole.where(good).drop("file", "_corrupt"), whole.where(~good).select("file", F.coalesce("_corrupt", F.lit("no number in the file's name")).alias("record")))
+
+
+def scan_page_lines(spark: SparkSession, path: str, multi_line: bool = True) -> Read:
+    """The text lines of page files, one page a file or, without ``multi_line``, a line; pages that are no such record are bad."""
+    found = _permissive(spark, PAGE, path, multi_line, F.lit(0))
+    return Read(page_lines(found.rows), found.bad)
+
+
+def scan_blocks(spark: SparkSession, path: str) -> Read:
+    """The recognised blocks of page files, an array each; the page number stands in the file's path."""
+    found = _permissive(spark, BLOCK, path, True, number_in_path(F.col("_metadata.file_path"), "(?:ocr|page)"))
+    return Read(found.rows.withColumnRenamed("_number", "page"), found.bad)
+
+
+def scan_items(spark: SparkSession, path: str) -> Read:
+    """The items of table files, an array each; the table id stands in the file's path."""
+    file = F.col("_metadata.file_path")
+    number = F.coalesce(number_in_path(file, "table_id"), F.regexp_extract(file, r"/(\d+)\.json$", 1).try_cast("long"))
+    found = _permissive(spark, ITEM, path, True, number)
+    return Read(found.rows.withColumnRenamed("_number", "table_id"), found.bad)
+
+
+def scan_markdown(spark: SparkSession, path: str) -> Read:
+    """Markdown pages; a file without a page number in its path, or whose front matter is not closed, is bad."""
+    file = F.col("_metadata.file_path")
+    whole = settle(spark.read.text(path, wholetext=True).select(file.alias("file"), number_in_path(file).alias("page"), F.col("value").alias("text")))
+    good = F.col("page").isNotNull() & (~F.col("text").rlike(r"^---\s*\n") | F.col("text").rlike(FRONT))
+    return Read(markdown_pages(whole.where(good).drop("file")), whole.where(~good).select("file", F.col("text").alias("record")))
+
+
 def read_page_lines(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return page_lines(spark.read.schema(PAGE).option("multiLine", multi_line).json(path))
+    return scan_page_lines(spark, path, multi_line).rows
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -28,14 +78,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Recognised blocks of every page; the page number stands in the file name."""
-    return spark.read.schema(BLOCK).option("multiLine", True).json(path).select(
-        number_in_path(F.col("_metadata.file_path"), "(?:ocr|page)").alias("page"), *[c.split()[0] for c in BLOCK.split(", ")])
+    return scan_blocks(spark, path).rows
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return markdown_pages(whole.select(number_in_path(F.col("_metadata.file_path")).alias("page"), F.col("value").alias("text")))
+    return scan_markdown(spark, path).rows
 
 
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
@@ -58,8 +105,4 @@ def front_number(front: Column, key: str) -> Column:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Item files, one array per table; the table id stands in the path."""
-    return spark.read.schema(ITEM).option("multiLine", True).json(path).select(
-        F.coalesce(number_in_path(F.col("_metadata.file_path"), "table_id"),
-                   F.regexp_extract("_metadata.file_path", r"/(\d+)\.json$", 1).try_cast("long")).alias("table_id"),
-        *[c.split()[0] for c in ITEM.split(", ")])
+    return scan_items(spark, path).rows
