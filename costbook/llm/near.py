@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4  # two texts at a similarity of 0.8 share no band with probability (1 - 0.8**4)**32 = 5e-8
 FEW = 16  # buckets of at most so many texts compare all their pairs
 STEP_OF_SIZE = 1.05
-SLOTS = 1 << 20  # of the table that strips are ordered by
+SLOTS, RANGES = 1 << 20, 16  # of the table that strips are ordered by, and its parts
 # Poisson(1): chance of at most n darts in a unit of area
 DARTS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 20)))))
 
@@ -141,12 +142,42 @@ def _size_class(n: Column) -> Column:
 
 
 def spread_table(own: DataFrame) -> np.ndarray:
-    """For each of SLOTS slots of the hash, the most groups that hold one of its strips.  The strips are counted map-side and across tasks;
-    at most SLOTS small numbers come to the driver and go to the workers, whatever the input."""
-    held = own.select("label", F.explode_outer("units").alias("unit")).distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    slots = held.groupBy(F.col("unit").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.max("groups").cast("int").alias("groups")).toArrow()
+    """For each of SLOTS slots of the hash, about how many groups hold its strips; never fewer than two where two groups do.
+
+    Tasks count in arrays of their own, a group once a batch, and the arrays are added range by range; RANGES rows of
+    counts come to the driver and go to the workers, whatever the input.
+    """
+    each = SLOTS // RANGES
+
+    def rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1) for _, x in parts], pa.binary())], ["part", "counts"])
+
+    def counts(data: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            units = b.column(1)
+            with np.errstate(over="ignore"):
+                label = mix(b.column(0).to_numpy().astype(np.uint64)) << np.uint64(SLOTS.bit_length() - 1)
+            held = units.flatten().to_numpy().astype(np.uint64) & np.uint64(SLOTS - 1)
+            once = np.unique(np.repeat(label, units.value_lengths().to_numpy()) | held) & np.uint64(SLOTS - 1)
+            table += np.bincount(once.astype(np.int64), minlength=SLOTS)
+        parts = [(r, table[r * each:(r + 1) * each]) for r in range(RANGES)]
+        yield rows([x for x in parts if x[1].any()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[r] = sums.get(r, 0) + counts(data)
+        yield rows(sorted(sums.items()))
+
+    schema = "part int, counts binary"
     table = np.ones(SLOTS, np.int32)
-    table[slots.column("slot").to_numpy()] = slots.column("groups").to_numpy()
+    for row in own.select("label", "units").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+        table[row["part"] * each:(row["part"] + 1) * each] = np.maximum(counts(row["counts"]), 1)
     return table
 
 
