@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,11 @@ from costbook.functions.names import classify_resource
 from costbook.functions.text import join_spec
 from costbook.operators.blocks import pack
 from costbook.operators.ordered import numbered
+from costbook.operators.pricing import latest_price_row, overlay_anchor, price_split
+from costbook.session import settle
 
 BLOCK_COLUMNS = 55
+UNPRICED = "本包未定价"  # fixed value: the note on a resource that the pack has no price for
 
 
 def clean_picks(picks: DataFrame, documents: list[str]) -> DataFrame:
@@ -114,6 +120,48 @@ def block_names(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("block_name", F.when(F.col("block") > 1, F.format_string("%s (%d)", base, "block")).otherwise(base))
 
 
+class Export(NamedTuple):
+    """What an export of selected norms holds; see ``export_norms``."""
+
+    prices: DataFrame
+    rates: DataFrame
+    blocks: DataFrame
+    missing: DataFrame
+    summary: DataFrame
+
+
+def price_sheet(lines: DataFrame, pack: str) -> DataFrame:
+    """The resources of priced lines, numbered: tax-free price and tax, the direct quote's date and offerer where there is one, and a note."""
+    net, tax = price_split(F.col("price"), F.col("price_excl"), pack)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    shown = (blank(F.col("supplier")) != "") & ~blank(F.col("supplier")).contains("?")
+    note = F.when(blank(F.col("source")) != "", F.col("source")).otherwise(F.when(F.col("price").isNull(), UNPRICED).otherwise(""))
+    date = F.when(blank(F.col("quote_date")) != "", F.col("quote_date")).otherwise(blank(F.col("price_date").cast("string")))
+    return registry(lines).select("no", "cls", "name", "unit", net.alias("net"), tax.alias("tax"), "price", date.alias("date"), F.when(shown, F.col("supplier")).otherwise(blank(F.col("project"))).alias("offered_by"),
+                                  *[blank(F.col(c)).alias(c) for c in ("contact", "phone", "address")], note.alias("note"))
+
+
+def export_norms(picks: DataFrame, documents: list[str], norms: DataFrame, content: DataFrame, consumption: DataFrame, price_rows: DataFrame, anchors: DataFrame, pack: str,
+                 items: Callable[[DataFrame], DataFrame], capacity: int = BLOCK_COLUMNS) -> Export:
+    """The export of a selection under a price pack, as five frames.
+
+    ``picks`` (doc, code, norm_id, pos), ``norms`` (doc, norm_ID, norm_Code), ``content`` (vol, norm_ID, cons_ID, cont_Amount), ``consumption``, ``price_rows`` of the pack
+    (res_ID, price_date, price, price_excl, source), ``anchors``.  ``items`` gives the packable items of norms (norm_ID).  Prices are the latest rows; direct
+    quotes overlay the tax-free price of the VAT pack.  A label's reference price is its first line among the selected norms.  ``missing`` holds
+    the picks without a norm; ``summary`` counts norms, missing picks, and lines of known resources that have no price.
+    """
+    found, missing = resolve_picks(clean_picks(picks, documents), norms)
+    wanted = settle(found.select(F.col("norm_ID_found").alias("norm_ID")).distinct())
+    known = overlay_anchor(latest_price_row(price_rows).drop("pack"), anchors, pack)
+    lines = settle(price_lines(resource_lines(content.join(wanted, "norm_ID", "left_semi"), consumption, ["vol", "cons_ID"]), known))
+    own = rates(lines.select("norm_ID", "cons_ID", "master_res_ID", "name", "unit", "amount", "cls", "label", "price"))
+    unpriced = lines.agg(F.count_if(F.col("master_res_ID").isNotNull() & F.col("price").isNull()).alias("unpriced"))
+    counts = [wanted.agg(F.count(F.lit(1)).alias("norms")), missing.agg(F.count(F.lit(1)).alias("missing")), unpriced]
+    # one row each
+    summary = counts[0].join(F.broadcast(counts[1]), F.lit(True)).join(F.broadcast(counts[2]), F.lit(True))
+    return Export(price_sheet(lines, pack), own, block_names(pack_blocks(items(wanted), capacity)), missing, summary)
+
+
 def chapter_order() -> list[Column]:
     """Volumes A, B, C, then the first number in the chapter's name; chapters without one come last."""
     number = F.regexp_extract("chapter", r"(\d+)", 1).try_cast("int")

@@ -15,7 +15,7 @@ from costbook.operators import rates as U
 from costbook.operators.ordered import numbered
 from costbook.operators.provenance import volume_content
 from costbook.plans.books import BILL, bill, coded_norms
-from costbook.plans.prices import PACK, PRICED, usage
+from costbook.plans.prices import ANCHOR, PACK, PRICED, usage
 from costbook.plans.registry import register
 from costbook.plans.scalars import TITLES, pick
 from costbook.sources.bindings import define_view
@@ -121,12 +121,42 @@ def _(t):
     return numbered(named, order, "seq")
 
 
+def exported(t):
+    """The export of the selection; a region stands for the VAT pack, which has direct quotes."""
+    norms = t.norm.withColumnRenamed("vol", "doc")
+    return U.export_norms(t.selection, DOCUMENTS, norms, volume_content(t.content, t.norm), t.consumption, t.price_row.filter(F.col("pack") == PACK), t.price_anchor, L.VAT_PACK,
+                          lambda wanted: _items(t, wanted))
+
+
 @register("e13_export_norms")
 def _(t):
-    found, _missing = resolved(t)
-    wanted = found.select(F.col("norm_ID_found").alias("norm_ID")).distinct()
-    rates = U.rates(priced_lines(t, wanted))
-    return U.block_names(U.pack_blocks(_items(t, wanted))).join(rates, "norm_ID", "left")
+    out = exported(t)
+    return out.blocks.join(out.rates, "norm_ID", "left")
+
+
+EXPORTED = PICKS.rstrip() + ", " + RES.split("px AS (")[0].rstrip().rstrip(",").replace("c.cons_ID = ct.cons_ID)", "c.cons_ID = ct.cons_ID WHERE ct.norm_ID IN (SELECT norm_ID_found FROM rs))") + f""",
+px AS (SELECT p.res_ID, p.price, p.price_date, CASE WHEN a.res_ID IS NOT NULL THEN a.price_excl ELSE p.price_excl END AS price_excl, coalesce(a.supplier, '') AS supplier, coalesce(a.contact, '') AS contact,
+  coalesce(a.phone, '') AS phone, coalesce(a.address, '') AS address, coalesce(a.quote_date, '') AS quote_date, coalesce(a.project, '') AS project,
+  concat(coalesce(p.source, ''), CASE WHEN coalesce(a.project, '') <> '' THEN concat(';project=', a.project) ELSE '' END) AS source
+  FROM (SELECT *, row_number() OVER (PARTITION BY res_ID, pack ORDER BY price_date DESC) AS rn FROM price_row WHERE pack = '{PACK}') p LEFT JOIN {ANCHOR} a ON a.res_ID = p.res_ID WHERE p.rn = 1),
+rp AS (SELECT rl.*, px.* EXCLUDE (res_ID) FROM rl LEFT JOIN px ON px.res_ID = rl.master_res_ID),
+rg AS (SELECT *, CASE WHEN price IS NOT NULL THEN round(coalesce(price_excl, price / CAST(1.07 AS DOUBLE)), 4) END AS net FROM rp QUALIFY row_number() OVER (PARTITION BY label ORDER BY norm_ID, cons_ID, amount) = 1)
+"""
+
+
+@register("e13_price_sheet", EXPORTED + f"""
+SELECT row_number() OVER (ORDER BY CASE cls WHEN 'labour' THEN 0 WHEN 'materials' THEN 1 ELSE 2 END, name, label) AS no, cls, name, unit, net, round(price - net, 4) AS tax, price,
+  CASE WHEN coalesce(quote_date, '') <> '' THEN quote_date ELSE coalesce(CAST(price_date AS VARCHAR), '') END AS date,
+  CASE WHEN coalesce(supplier, '') NOT IN ('') AND supplier NOT LIKE '%?%' THEN supplier ELSE coalesce(project, '') END AS offered_by, coalesce(contact, '') AS contact, coalesce(phone, '') AS phone,
+  coalesce(address, '') AS address, CASE WHEN coalesce(source, '') <> '' THEN source WHEN price IS NULL THEN '{U.UNPRICED}' ELSE '' END AS note FROM rg""")
+def _(t):
+    return exported(t).prices
+
+
+@register("e13_export_summary", EXPORTED + """
+SELECT (SELECT count(DISTINCT norm_ID_found) FROM rs) AS norms, (SELECT count(*) FROM rs WHERE norm_ID_found IS NULL) AS missing, (SELECT count(*) FROM rp WHERE master_res_ID IS NOT NULL AND price IS NULL) AS unpriced""")
+def _(t):
+    return exported(t).summary
 
 
 # the export knows the selected norms only: a label's reference price is its first line among them
