@@ -99,7 +99,7 @@ def compat_rows(boq_items: DataFrame, qty: DataFrame, defs: DataFrame) -> DataFr
     used = boq_items.select(*keys).join(named, ["book", "code"]).select(
         *[c for c in costs.columns if c not in ("cost_item", "unit", "amount")], label.alias("cost_item"),
         F.coalesce("res_unit", F.lit("")).alias("unit"), F.col("consumption").alias("amount"))
-    return costs.unionByName(used)
+    return costs.unionByName(used).select("*", *[F.lit(x).alias(f"attr{i}_label") for i, x in enumerate(ATTRIBUTE_LABELS, 1)])
 
 
 def group_summary(boq_items: DataFrame) -> DataFrame:

@@ -15,12 +15,14 @@ def usage_ledger(consumption: DataFrame, content: DataFrame) -> DataFrame:
     """Content references per volume and linked consumption row; rows without any are kept with 0.
 
     ``content`` carries its volume.  References are counted before the join, so the fact
-    table is reduced on the map side and the join meets one row per consumption row.
+    table is reduced on the map side and the join meets one row per consumption row.  A book's stored
+    price (``cons_Price``) is carried where the consumption has it.
     """
+    stored = [c for c in consumption.columns if c == "cons_Price"]
     counted = content.groupBy("vol", "cons_ID").agg(F.count("norm_ID").alias("refs"))
     linked = consumption.filter(F.col("master_res_ID").isNotNull())
     return linked.join(counted, ["vol", "cons_ID"], "left").select(
-        F.col("master_res_ID").alias("res_ID"), *LEDGER, F.coalesce("refs", F.lit(0)).cast("long").alias("refs"))
+        F.col("master_res_ID").alias("res_ID"), *LEDGER, *stored, F.coalesce("refs", F.lit(0)).cast("long").alias("refs"))
 
 
 def unlinked_rows(consumption: DataFrame) -> DataFrame:

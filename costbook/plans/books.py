@@ -91,6 +91,7 @@ def _(t):
 
 
 @register("d13_boq_compat_rows", """
+SELECT *, '分类指标' AS attr1_label, '项目特征' AS attr2_label, '工作内容' AS attr3_label, '计算规则' AS attr4_label FROM (
 SELECT book, code, group_code, sort_order, type AS attr_level1, description AS attr_level2, work_content AS attr_level3, calc_rule AS attr_level4,
   x.cost_item, x.unit, x.amount FROM (
   SELECT i.*, unnest([{'cost_item': '人工费', 'unit': '元', 'amount': labour}, {'cost_item': '材料费', 'unit': '元', 'amount': materials},
@@ -98,7 +99,7 @@ SELECT book, code, group_code, sort_order, type AS attr_level1, description AS a
 UNION ALL SELECT book, code, group_code, sort_order, type, description, work_content, calc_rule, name, unit, rate FROM boq_item WHERE rate IS NOT NULL
 UNION ALL SELECT i.book, i.code, i.group_code, i.sort_order, i.type, i.description, i.work_content, i.calc_rule,
   coalesce(d.name, concat('消耗量(', q.col, ')')), coalesce(d.unit, ''), q.consumption
-  FROM boq_item i JOIN boq_qty q ON q.book = i.book AND q.code = i.code LEFT JOIN boq_def d ON d.book = q.book AND d.sub_code = q.sub_code AND d.col = q.col""")
+  FROM boq_item i JOIN boq_qty q ON q.book = i.book AND q.code = i.code LEFT JOIN boq_def d ON d.book = q.book AND d.sub_code = q.sub_code AND d.col = q.col)""")
 def _(t):
     items = B.items(t.boq_grid)
     return B.compat_rows(items, B.quantities(items), B.resource_definitions(t.boq_grid))

@@ -97,6 +97,12 @@ def _(t):
     return usage(t)
 
 
+@register("a11_usage_ledger_with_stored_price", "SELECT *, CAST(cons_ID % 400 AS DOUBLE) / CAST(4 AS DOUBLE) AS cons_Price FROM usage")
+def _(t):
+    stored = t.consumption.withColumn("cons_Price", (F.col("cons_ID") % 400).cast("double") / 4)
+    return C.usage_ledger(stored, V.volume_content(t.content, t.norm))
+
+
 @register("j01_usage_price", f"""
 SELECT u.res_ID, u.vol, u.cons_ID, u.refs, p.price, p.tier, CAST(p.price_date AS STRING) AS price_date
 FROM usage u LEFT JOIN {ONE_PACK} p ON p.res_ID = u.res_ID""")

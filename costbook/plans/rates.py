@@ -236,6 +236,25 @@ def _(t):
     return M.gap_report(gap_resources(t), quotes(t))
 
 
+def _glyphs(key, n: int, alphabet: int):
+    """A name of n signs, drawn by hash from an alphabet in which some are far more frequent."""
+    def glyph(k: int):
+        share = (F.pmod(F.xxhash64(key, F.lit(k)), F.lit(10000)) / 10000)
+        return F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.floor(share * share * alphabet).cast("long")), 4, "0")), "UTF-16BE")
+
+    return F.concat(*[glyph(k) for k in range(n)])
+
+
+@register("j21_gap_match_of_many_names")
+def _(t):
+    # a name of its own for every line, and gaps that share four of six signs with one of them
+    lines = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("quote_ID"), "l_partkey")
+    named = lines.select("quote_ID", _glyphs(F.col("quote_ID"), 6, 3000).alias("name"), F.when(F.col("quote_ID") % 2 == 0, "m").otherwise("t").alias("unit"), "l_partkey")
+    like = named.groupBy("l_partkey").agg(F.min_by("name", "quote_ID").alias("near"))
+    gaps = like.select(F.col("l_partkey").alias("res_ID"), F.concat(F.substring("near", 1, 4), _glyphs(F.col("l_partkey"), 2, 3000)).alias("name"), F.lit("m").alias("unit"))
+    return M.match_gaps(gaps, named.drop("l_partkey"))
+
+
 define_view("existing_leaf", f"""
 SELECT chap_ID AS leaf_ID, CAST(chap_PID AS BIGINT) AS domain, concat({pick(TITLES, 'chap_ID')}, ' ', substr(chap_code, 7)) AS leaf_name FROM chapter WHERE chap_PID >= 100 AND chap_ID % 2 = 0""")
 define_view("new_norm", f"""
