@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import struct
 import uuid
+from bisect import bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -238,28 +240,42 @@ class Shard(NamedTuple):
 class Reader:
     """Keyed access to a folder: the ids of a document without a scan.
 
-    The manifest (a row per shard) is held in memory, indexes are loaded when first needed.
+    The manifest (a row per shard) is held in memory in order of keys, so a key's shards are found by bisection; the ``held`` indexes that
+    were used last are kept.  In a shard the hash gives the rows of a key, and the stored key decides after the fingerprint.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, held: int = 16):
         rows = manifest(spark, path).where("first_key is not null").orderBy("shard").select("name", "first_key", "last_key")
         self.system, self.folder = _files(path)
         self.shards = [Shard(*r) for r in rows.toLocalIterator()]
-        self.indexes: dict[str, Index] = {}
+        self.firsts = [s.first_key for s in self.shards]
+        self.indexes: OrderedDict[str, Index] = OrderedDict()
+        self.held = held
+
+    def _index(self, name: str) -> Index:
+        if name not in self.indexes:
+            with self.system.open_input_stream(f"{self.folder}/{name}.idx") as file:
+                self.indexes[name] = Index.load(file.read())
+            if len(self.indexes) > self.held:
+                self.indexes.popitem(last=False)
+        self.indexes.move_to_end(name)
+        return self.indexes[name]
 
     def __getitem__(self, key: int) -> list[np.ndarray]:
         """The ids of every row with this key, none if it is unknown."""
+        # rows of one key may go on in the next shards
+        last = bisect_right(self.firsts, key)
+        first = last
+        while first > 0 and self.shards[first - 1].last_key >= key:
+            first -= 1
         out: list[np.ndarray] = []
-        for shard in self.shards:
-            if not shard.first_key <= key <= shard.last_key:
+        for shard in self.shards[first:last]:
+            index = self._index(shard.name)
+            at, count = (int(x[0]) for x in index.find(np.array([key], np.int64)))
+            if not count or index.keys[at] != key:
                 continue
-            if shard.name not in self.indexes:
-                with self.system.open_input_stream(f"{self.folder}/{shard.name}.idx") as file:
-                    self.indexes[shard.name] = Index.load(file.read())
-            index = self.indexes[shard.name]
-            first, count = (int(x[0]) for x in index.find(np.array([key], np.int64)))
             with self.system.open_input_file(f"{self.folder}/{shard.name}.ids") as file:
-                for row in range(first, first + count):
+                for row in range(at, at + count):
                     a, b = int(index.starts[row]), int(index.starts[row + 1])
                     out.append(np.frombuffer(file.read_at((b - a) * index.width, a * index.width), f"<u{index.width}"))
         return out
