@@ -75,11 +75,15 @@ def test_scan_equals_a_plain_walk(spark, size):
     assert sorted((tuple(r) for r in got.select("k", "i", "c", "t", "p", "m").collect()), key=key) == sorted(want, key=key)
 
 
-def test_numbering_over_chunks(spark):
-    df = spark.createDataFrame([(i, i % 3) for i in range(50)], "i long, g long")
-    got = {r.i: r.no for r in O.numbered(df, [F.col("g").desc(), F.col("i")], [-F.col("g"), F.floor(F.col("i") / 7)], "no").collect()}
-    want = {i: n for n, (g, i) in enumerate(sorted(((-(i % 3)), i) for i in range(50)), 1)}
-    assert got == want
+def test_numbering_by_ranges(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(50)], "i long, g long").repartition(6)
+    place = lambda i: (i % 7 == 0, -(i % 3) if i % 7 else 0, i)
+    got = {r.i: r.no for r in O.numbered(df, [F.col("g").desc_nulls_last(), F.col("i")], "no").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(50), key=place), 1)}
+    got = {r.i: r.no for r in O.numbered(df, [F.col("i").desc()], "no", ["g"]).collect()}
+    same = lambda i: {j for j in range(50) if (j % 3 if j % 7 else None) == (i % 3 if i % 7 else None)}
+    assert got == {i: sum(j >= i for j in same(i)) for i in range(50)}
+    assert O.numbered(df.limit(0), [F.col("i")], "no").count() == 0
 
 
 def test_chains_split_and_depth(spark):

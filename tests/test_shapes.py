@@ -10,10 +10,8 @@ from costbook.plans.registry import REGISTRY
 from costbook.sources.bindings import Tables
 
 FOLDER = "/root/testdata/sf0.001"
-# queries whose global numbers come from one row per chunk
-NUMBERED = {"a28_resource_registry", "w20_block_numbers", "e08_chapter_index", "e14_export_price_list", "o01_price_list_order", "o03_observation_order", "o07_chapter_order"}
 # queries that attach a one-row total to every row
-ONE_ROW = {"e03_price_list", "e07_gap_match_report"}
+ONE_ROW = {"e03_price_list", "e07_gap_match_report", "e13_export_summary"}
 WRITES = {"src01_read_library", "d05_header_attributes", "d06_table_records", "u06_attribute_order", "snk04_class_tree_export"}
 
 
@@ -32,6 +30,5 @@ def test_plan_shape(spark, name):
     plan = plan_of(spark, name)
     if name not in ONE_ROW:
         assert not re.search(r"Join (Inner|Cross)(?!,)\s*$", plan, re.M) and "Join Cross" not in plan
-    if name not in NUMBERED:
-        for spec in re.findall(r"windowspecdefinition\(([^,]*),", plan):
-            assert not re.search(r"\b(ASC|DESC)\b", spec), spec
+    for spec in re.findall(r"windowspecdefinition\(([^,]*),", plan):
+        assert not re.search(r"\b(ASC|DESC)\b", spec), spec
