@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from costbook.functions import names as A
 from costbook.functions import similarity as S
 from costbook.operators import postings as P
+from costbook.operators.coverage import gap_ranking
 from costbook.operators.provenance import top_per_key
 from costbook.session import settle
 
@@ -284,12 +285,29 @@ def misassigned(matched: DataFrame, leaves: DataFrame, pairs: tuple = A.EXCLUSIO
     return counts.unpivot([], counts.columns, "exclusion", "chapters")
 
 
-def gap_report(gaps: DataFrame, quotes: DataFrame, limit: int | None = None) -> DataFrame:
+def gap_report(gaps: DataFrame, quotes: DataFrame, limit: int | None = None, n: int = 6, min_score: float = MIN_SCORE) -> DataFrame:
     """The gaps with their best quotes, all of them or the ``limit`` most referenced; how many there are and how many are not shown."""
     shown = gaps if limit is None else gaps.orderBy(F.col("refs").desc(), "res_ID").limit(limit)
-    best = match_gaps(shown.select("res_ID", "name", "unit"), quotes)
+    best = match_gaps(shown.select("res_ID", "name", "unit"), quotes, n, min_score=min_score)
     beyond = F.lit(0) if limit is None else F.greatest(F.col("total") - limit, F.lit(0))
     totals = gaps.agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", beyond.cast("long"))
     # one row of totals
     return shown.join(best, "res_ID", "left").join(F.broadcast(totals), F.lit(True)).select(
         "res_ID", "name", "refs", "quote_ID", "score", "same_unit", "rank", "total", "truncated")
+
+
+def gap_match(usage: DataFrame, prices: DataFrame, resources: DataFrame, quotes: DataFrame, pack: str, vol: str | None = None, cls: int | None = None, specialty: str | None = None,
+              limit: int | None = None, cand: int = 6, min_score: float = MIN_SCORE) -> DataFrame:
+    """The report of a pack's unpriced resources and the quotes that may price them (see ``gap_report``), most referenced first where ``limit`` cuts.
+
+    ``usage`` is the ledger in scope, narrowed to a volume and a class where these are given; ``quotes`` (quote_ID, name, unit) to a pattern of their
+    ``specialty``.  A resource is found by its name and standard.
+    """
+    for column, wanted in (("vol", vol), ("cons_Style", cls)):
+        if wanted is not None:
+            usage = usage.where(F.col(column) == wanted)
+    if specialty is not None:
+        quotes = quotes.where(F.col("specialty").like(specialty))
+    gaps = gap_ranking(usage, prices, resources, pack, None)
+    named = gaps.select("res_ID", F.concat_ws(" ", "res_Name", "res_Standard").alias("name"), F.col("res_Unit").alias("unit"), "refs")
+    return gap_report(named, quotes, limit, cand, min_score)

@@ -233,7 +233,17 @@ def _(t):
 
 @register("e07_gap_match_report", None)
 def _(t):
-    return M.gap_report(gap_resources(t), quotes(t))
+    return M.gap_match(usage(t).filter(F.col("cons_Style").isin(6, 7)), t.resource_price, t.resource, quotes(t), PACK)
+
+
+@register("e07_gap_match_counts", f"""
+WITH g AS (SELECT res_ID FROM usage u JOIN resource r USING (res_ID) WHERE vol = 'C' AND cons_Style = 7 AND res_ID NOT IN (SELECT res_ID FROM resource_price WHERE pack = '{PACK}') GROUP BY 1)
+SELECT count(*) AS total, greatest(count(*) - 20, 0) AS truncated, least(count(*), 20) AS shown FROM g""")
+def _(t):
+    # one volume and class, the twenty most referenced gaps, quotes of one specialty
+    marked = quotes(t).withColumn("specialty", F.when(F.col("quote_ID") % 3 == 0, "pipes").otherwise("cables"))
+    out = M.gap_match(usage(t), t.resource_price, t.resource, marked, PACK, vol="C", cls=7, specialty="pipe%", limit=20, cand=3, min_score=0.4)
+    return out.groupBy("total", "truncated").agg(F.countDistinct("res_ID").alias("shown"))
 
 
 def _glyphs(key, n: int, alphabet: int):
