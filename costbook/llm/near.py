@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costbook.llm.hashed import STEP, joined, mix, worker_words
@@ -142,50 +142,50 @@ def _size_class(n: Column) -> Column:
 
 
 def spread_table(own: DataFrame) -> np.ndarray:
-    """For each of SLOTS slots of the hash, about how many groups hold its strips; never fewer than two where two groups do.
+    """For each of SLOTS slots of the hash, about how many groups hold its strips, up to 64.
 
-    Tasks count in arrays of their own, a group once a batch, and the arrays are added range by range; RANGES rows of
-    counts come to the driver and go to the workers, whatever the input.
+    Each group sets one of 64 bits in the slots of its strips.  Tasks fill arrays of their own, which are joined by OR, range by range, so a group of any
+    size counts once; RANGES rows come to the driver and go to the workers, whatever the input.
     """
     each = SLOTS // RANGES
 
     def rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1) for _, x in parts], pa.binary())], ["part", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in parts], pa.binary())], ["part", "bits"])
 
-    def counts(data: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
+    def bits(data: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), "<u8")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SLOTS, np.int64)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, "<u8")
         for b in batches:
             units = b.column(1)
             with np.errstate(over="ignore"):
-                label = mix(b.column(0).to_numpy().astype(np.uint64)) << np.uint64(SLOTS.bit_length() - 1)
-            held = units.flatten().to_numpy().astype(np.uint64) & np.uint64(SLOTS - 1)
-            once = np.unique(np.repeat(label, units.value_lengths().to_numpy()) | held) & np.uint64(SLOTS - 1)
-            table += np.bincount(once.astype(np.int64), minlength=SLOTS)
+                bit = np.uint64(1) << (mix(b.column(0).to_numpy().astype(np.uint64)) >> np.uint64(58))
+            slots = (units.flatten().to_numpy() & (SLOTS - 1)).astype(np.int64)
+            np.bitwise_or.at(table, slots, np.repeat(bit, units.value_lengths().to_numpy()))
         parts = [(r, table[r * each:(r + 1) * each]) for r in range(RANGES)]
         yield rows([x for x in parts if x[1].any()])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both: dict[int, np.ndarray] = {}
         for b in batches:
             for r, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[r] = sums.get(r, 0) + counts(data)
-        yield rows(sorted(sums.items()))
+                both[r] = both.get(r, np.uint64(0)) | bits(data)
+        yield rows(sorted(both.items()))
 
-    schema = "part int, counts binary"
-    table = np.ones(SLOTS, np.int32)
-    for row in own.select("label", "units").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
-        table[row["part"] * each:(row["part"] + 1) * each] = np.maximum(counts(row["counts"]), 1)
+    schema = "part int, bits binary"
+    table = np.zeros(SLOTS, np.uint8)
+    for row in own.select("label", "units").mapInArrow(mark, schema).repartition("part").mapInArrow(join, schema).collect():
+        table[row["part"] * each:(row["part"] + 1) * each] = np.bitwise_count(bits(row["bits"]))
     return table
 
 
 def foremost(own: DataFrame) -> DataFrame:
-    """(node, label, n, at, unit): the foremost strips of each node that more than one group may hold, with their places.
+    """(node, label, n, at, unit): the foremost strips of each node that more than one group holds, with their places.
 
-    Strips are ordered by the table of ``spread_table``, then by hash.  Any order that is the same for all nodes loses nothing; by this one a passage in
-    many texts comes last.  No strip is joined with its count.
+    Strips are ordered by the table of ``spread_table``, then by hash.  Any order that is the same for all nodes loses nothing; by this one strips of one
+    group come first, and a passage in many texts last.  No strip is joined with its count; of the foremost ones, those that
+    one group alone has among them go.
     """
     table = own.sparkSession.sparkContext.broadcast(spread_table(own))
 
@@ -195,13 +195,14 @@ def foremost(own: DataFrame) -> DataFrame:
             for node, label, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 own_units = units.values.to_numpy()
                 n = len(own_units)
-                groups = table.value[own_units & (SLOTS - 1)]
-                at = np.lexsort((own_units, groups))[:int((1 - SIMILARITY) * n + 1e-9) + 1]
-                place = np.flatnonzero(groups[at] > 1)
-                out.append([np.full(len(place), node), np.full(len(place), label), np.full(len(place), n), place, own_units[at[place]]])
+                at = np.lexsort((own_units, table.value[own_units & (SLOTS - 1)]))[:int((1 - SIMILARITY) * n + 1e-9) + 1]
+                out.append([np.full(len(at), node), np.full(len(at), label), np.full(len(at), n), np.arange(len(at)), own_units[at]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) if c else pa.array([], pa.int64()) for c in (zip(*out) if out else [()] * 5)], ["node", "label", "n", "at", "unit"])
 
-    return own.select("node", "label", "units").mapInArrow(work, "node long, label long, n long, at long, unit long")
+    keys = own.select("node", "label", "units").mapInArrow(work, "node long, label long, n long, at long, unit long")
+    same = Window.partitionBy("unit")
+    spread = keys.withColumn("lo", F.min("label").over(same)).withColumn("hi", F.max("label").over(same))
+    return spread.where("lo < hi").drop("lo", "hi")
 
 
 def rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
