@@ -10,6 +10,7 @@ from costbook.functions.text import join_spec, mix_name, nrm_prefix, strip_ordin
 from costbook.operators.hierarchy import closure, natural_order
 from costbook.operators.ordered import chunk_of, numbered, scan
 from costbook.operators.pricing import cost_columns
+from costbook.session import shuffled
 
 
 def titled(tables: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -248,9 +249,9 @@ def mix_names(tables: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def priced_lines(content: DataFrame, consumption: DataFrame, prices: DataFrame, on: list[str]) -> DataFrame:
-    """Content lines with consumption and price; the two small tables meet first."""
+    """Content lines with consumption and price; the two catalogues meet first."""
     price = prices.select(F.col("res_ID").alias("master_res_ID"), "price")
-    return content.join(consumption.join(price, "master_res_ID", "left"), on)
+    return content.join(shuffled(consumption.join(price, "master_res_ID", "left")), on)
 
 
 def line_costs(lines: DataFrame) -> DataFrame:

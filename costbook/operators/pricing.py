@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costbook.functions.labels import DEFAULT_PACK, VAT_FACTOR, VAT_PACK
+from costbook.session import shuffled
 
 COST_FIELDS = {3: "man", 4: "mat", 5: "mach", 6: "equip", 7: "main_mat"}
 
@@ -76,7 +77,7 @@ def price_split(price: Column, excl: Column, pack: str | Column) -> tuple[Column
 
 def expand_norms(content: DataFrame, consumption: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Every content line of every norm with its consumption row."""
-    return content.join(consumption, on or ["cons_ID"])
+    return content.join(shuffled(consumption), on or ["cons_ID"])
 
 
 def cost_columns(cls: Column, amount: Column, price: Column) -> list[Column]:

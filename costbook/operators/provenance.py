@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costbook.operators.ordered import numbered
 from costbook.operators.pricing import latest_price_row
+from costbook.session import shuffled
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -39,7 +40,7 @@ def norms_using(consumption: DataFrame, content: DataFrame, norms: DataFrame, n:
     """Per resource and volume the norms that use it, ranked by amount; all of them, or the n first."""
     linked = consumption.filter(F.col("master_res_ID").isNotNull()).select(
         F.col("master_res_ID").alias("res_ID"), "vol", "cons_ID", "cons_Units")
-    lines = volume_content(content, norms).join(linked, ["vol", "cons_ID"])
+    lines = volume_content(content, norms).join(shuffled(linked), ["vol", "cons_ID"])
     order = [F.col("cont_Amount").desc_nulls_last(), F.col("norm_ID")]
     if n is None:
         best = numbered(lines, order, "rank", ["res_ID", "vol"])

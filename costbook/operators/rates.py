@@ -14,7 +14,7 @@ from costbook.functions.text import join_spec
 from costbook.operators.blocks import pack
 from costbook.operators.ordered import numbered
 from costbook.operators.pricing import latest_price_row, overlay_anchor, price_split
-from costbook.session import settle
+from costbook.session import settle, shuffled
 
 BLOCK_COLUMNS = 55
 UNPRICED = "本包未定价"  # fixed value: the note on a resource that the pack has no price for
@@ -43,7 +43,7 @@ def resource_lines(content: DataFrame, consumption: DataFrame, on: list[str], ki
     """Content lines as labelled, classed resources; lines without a name drop out."""
     name = join_spec(F.col("cons_Name"), F.col("cons_Standard"))
     unit = F.trim(F.coalesce("cons_Units", F.lit("")))
-    lines = content.join(consumption, on).withColumn("name", name).filter(F.col("name") != "")
+    lines = content.join(shuffled(consumption), on).withColumn("name", name).filter(F.col("name") != "")
     return lines.select(
         "norm_ID", "cons_ID", "master_res_ID", "name", unit.alias("unit"), F.coalesce("cont_Amount", F.lit(0.0)).alias("amount"),
         classify_resource(F.col("cons_Style"), F.col(kind), F.col("name")).alias("cls"),

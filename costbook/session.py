@@ -49,6 +49,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The frame as a side of a join that is never broadcast, for tables that grow with the data.
+
+    Spark guesses a side's size from its packed files and counts an exploded row once, so a table of millions of rows can pass for a small one.
+    """
+    return df.hint("merge")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written between two jobs."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
