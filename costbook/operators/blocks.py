@@ -1,14 +1,14 @@
 """Column blocks of long lists: items in order, a new block where the labels of the open one would outgrow it.
 
-Where a block ends depends on where it began, so the plain way is one walk.  Here a list is cut in chunks along its
-order.  Each item's block, if it began there, has a known end: the next few distinct labels tell it, and a chunk needs no more of the others
+Where a block ends depends on where it began, so the plain way is one walk, and so short lists are packed.  A long list is cut in
+chunks along its order.  Each item's block, if it began there, has a known end: the next few distinct labels tell it, and a chunk needs no more of the others
 than its first and last ones.  So every chunk finds for each of its items where a chain of blocks that begins there leaves
 the chunk; the chains of chunks are followed by pointer jumping, and then each chunk is walked from the state it begins in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -94,19 +94,45 @@ def chains(rows: list[dict], ahead: list[dict], capacity: int) -> list[dict]:
     return list(out.values())
 
 
-def walk(rows: list[dict], block: int, held: set[str], capacity: int) -> Iterator[tuple[dict, int, int]]:
-    """(item, block, labels it adds) from the state of the open block."""
-    for r in rows:
-        wanted = r["labels"]
-        new = [x for x in wanted if x not in held]
-        if held and len(held) + len(new) > capacity:
-            block, held, new = block + 1, set(), wanted
+class Open:
+    """The open block of a list: its number and the labels it holds."""
+
+    def __init__(self, block: int = 1, held: Iterable[str] = ()):
+        self.block, self.held = block, set(held)
+
+    def take(self, wanted: list[str], capacity: int) -> Iterator[tuple[int, int]]:
+        """(block, labels added there) of the next item."""
+        new = [x for x in wanted if x not in self.held]
+        if self.held and len(self.held) + len(new) > capacity:
+            self.block, self.held, new = self.block + 1, set(), wanted
         for at in range(0, max(len(new), 1), capacity):
             if at:
-                block, held = block + 1, set()
+                self.block, self.held = self.block + 1, set()
             taken = new[at:at + capacity]
-            held.update(taken)
-            yield r, block, len(taken)
+            self.held.update(taken)
+            yield self.block, len(taken)
+
+
+def walk_whole(items: DataFrame, keys: list[str], order: list[Column], carried: str, capacity: int) -> DataFrame:
+    """The blocks of lists that one task may hold, each in one walk; a task keeps the open block alone."""
+    schema = pa.schema([*((k, pa.string()) for k in keys), (carried, pa.int64()), ("block", pa.int32()), ("kept", pa.int32())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, Open()
+        for b in batches:
+            at, blocks, kept = [], [], []
+            for i, (own, wanted) in enumerate(zip(zip(*[b.column(k).to_pylist() for k in keys]), b.column("labels").to_pylist())):
+                if own != group:
+                    group, state = own, Open()
+                for block, n in state.take(wanted, capacity):
+                    at.append(i)
+                    blocks.append(block)
+                    kept.append(n)
+            own = b.select([*keys, carried]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(blocks, pa.int32()), pa.array(kept, pa.int32())], schema=schema)
+
+    dealt = items.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, carried, "labels")
+    return dealt.mapInArrow(work, ", ".join(f"{k} string" for k in keys) + f", {carried} long, block int, kept int")
 
 
 def _reached(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,10 +157,23 @@ def pack(items: DataFrame, keys: list[str], order: list[Column], carried: str, c
     """(keys, carried, block, kept): for every item its block and how many labels it adds there.
 
     ``items`` (keys of strings, order, ``carried`` of longs, labels).  An item with more labels than a block holds goes on in the next
-    blocks, a row in each, so no label is lost.  A list with a third of all items is worked on in chunks of its own.
+    blocks, a row in each, so no label is lost.  A list of at most ``chunk`` items is walked whole;
+    a longer one, which may hold a third of all items, is worked on in chunks.
     """
     labels = F.array_distinct(F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: x.isNotNull()))
-    placed = numbered(items.withColumn("labels", labels), order, "at", keys).select(*keys, carried, "labels", "at")
+    items = settle(items.withColumn("labels", labels))
+    sizes = items.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_items"))
+    long = settle(sizes.where(F.col("_items") > chunk).drop("_items"))
+    if long.isEmpty():
+        return walk_whole(items, keys, order, carried, capacity)
+    listed_in = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    whole = walk_whole(items.join(long, listed_in, "left_anti"), keys, order, carried, capacity)
+    return whole.unionByName(_pack_long(items.join(long, listed_in, "left_semi"), keys, order, carried, capacity, chunk))
+
+
+def _pack_long(items: DataFrame, keys: list[str], order: list[Column], carried: str, capacity: int, chunk: int) -> DataFrame:
+    """``pack`` for lists that are worked on in chunks."""
+    placed = numbered(items, order, "at", keys).select(*keys, carried, "labels", "at")
     rows = settle(placed.withColumn("chunk", F.floor((F.col("at") - 1) / chunk).cast("long")))
     each = rows.select(*keys, "chunk", "at", F.posexplode_outer("labels").alias("nth", "label"))
     found = each.where("label is not null").groupBy(*keys, "chunk", "label").agg(F.min(F.struct("at", "nth")).alias("first"), F.max(F.struct("at", "nth")).alias("last"))
@@ -178,7 +217,7 @@ def pack(items: DataFrame, keys: list[str], order: list[Column], carried: str, c
     states = states.select(*part, F.struct("block", held.alias("held")).alias("state"))
 
     def finish(found: list[dict], first: dict | None) -> list[dict]:
-        state = first["state"] if first else {"block": 1, "held": []}
-        return [{carried: r[carried], "block": b, "kept": n} for r, b, n in walk(found, state["block"], set(state["held"]), capacity)]
+        state = Open(**first["state"]) if first else Open()
+        return [{carried: r[carried], "block": b, "kept": n} for r in found for b, n in state.take(r["labels"], capacity)]
 
     return worked(states, "state", {carried: pa.int64(), "block": pa.int32(), "kept": pa.int32()}, f"{carried} long, block int, kept int", finish)

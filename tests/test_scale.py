@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from costbook.operators import blocks as B
 from costbook.operators import norms as N
 from costbook.operators import pricing as R
 from costbook.operators import provenance as V
@@ -33,3 +34,13 @@ def test_consumption_is_never_broadcast(spark, name):
     # it holds every part five times, which Spark's guess of its size does not see
     joins = [line for line in plan.splitlines() if re.search(r"Join \[.*cons_ID#", line)]
     assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_short_lists_are_walked_whole(spark, monkeypatch):
+    # lists that a task can hold need no chains of chunks, each of which costs a Python pass over all items
+    monkeypatch.setattr(B, "chains", None)
+    monkeypatch.setattr(B, "_pack_long", None)
+    items = spark.range(400).select(F.concat(F.lit("g"), F.col("id") % 40).alias("g"), F.col("id").alias("pos"), F.col("id").alias("norm_ID"), F.array(F.concat(F.lit("r"), F.col("id") % 97)).alias("labels"))
+    packed = B.pack(items, ["g"], [F.col("pos")], "norm_ID", 4)
+    assert sorted(tuple(r) for r in packed.groupBy("g").agg(F.max("block"), F.sum("kept")).collect())[:2] == [("g0", 3, 10), ("g1", 3, 10)]
+    assert "SortMergeJoin" not in physical(packed)
