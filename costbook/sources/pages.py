@@ -45,8 +45,14 @@ def scan_page_lines(spark: SparkSession, path: str, multi_line: bool = True) ->
     return Read(page_lines(found.rows), found.bad)
 
 
-def scan_blocks(spark: SparkSession, path: str) -> Read:
-    """The recognised blocks of page files, an array each; the page number stands in the file's path."""
+def scan_blocks(spark: SparkSession, path: str, multi_line: bool = True) -> Read:
+    """The recognised blocks of page files, an array each; the page number stands in the file's path.
+
+    Without ``multi_line`` a file holds many pages, a line each of the page's own file name and its blocks: {"name", "blocks"}.
+    """
+    if not multi_line:
+        found = _permissive(spark, f"name string, blocks array<struct<{BLOCK.replace(', ', ',').replace(' ', ':')}>>", path, False, number_in_path(F.col("name"), "(?:ocr|page)"))
+        return Read(found.rows.select(F.col("_number").alias("page"), F.inline("blocks")), found.bad)
     found = _permissive(spark, BLOCK, path, True, number_in_path(F.col("_metadata.file_path"), "(?:ocr|page)"))
     return Read(found.rows.withColumnRenamed("_number", "page"), found.bad)
 
@@ -59,11 +65,19 @@ def scan_items(spark: SparkSession, path: str) -> Read:
     return Read(found.rows.withColumnRenamed("_number", "table_id"), found.bad)
 
 
-def scan_markdown(spark: SparkSession, path: str) -> Read:
-    """Markdown pages; a file without a page number in its path, or whose front matter is not closed, is bad."""
+def scan_markdown(spark: SparkSession, path: str, whole_files: bool = True) -> Read:
+    """Markdown pages; a file without a page number in its path, or whose front matter is not closed, is bad.
+
+    Without ``whole_files`` a file holds many pages, a line each of the page's own file name and its text: {"name", "text"}.
+    """
+    if not whole_files:
+        found = _permissive(spark, "name string, text string", path, False, number_in_path(F.col("name")))
+        closed = F.coalesce(_front_closed(F.col("text")), F.lit(False))
+        return Read(markdown_pages(found.rows.where(closed).select(F.col("_number").alias("page"), "text")),
+                    found.bad.unionByName(found.rows.where(~closed).select(F.col("name").alias("file"), F.col("text").alias("record"))))
     file = F.col("_metadata.file_path")
     whole = settle(spark.read.text(path, wholetext=True).select(file.alias("file"), number_in_path(file).alias("page"), F.col("value").alias("text")))
-    good = F.col("page").isNotNull() & (~F.col("text").rlike(r"^---\s*\n") | F.col("text").rlike(FRONT))
+    good = F.col("page").isNotNull() & _front_closed(F.col("text"))
     return Read(markdown_pages(whole.where(good).drop("file")), whole.where(~good).select("file", F.col("text").alias("record")))
 
 
@@ -88,6 +102,10 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 
 
+def _front_closed(text: Column) -> Column:
+    return ~text.rlike(r"^---\s*\n") | text.rlike(FRONT)
+
+
 def markdown_pages(pages: DataFrame) -> DataFrame:
     """Pages with their front matter (``key: value`` lines) as a map and the text below it."""
     front = F.regexp_extract("text", FRONT, 1)

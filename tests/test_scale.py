@@ -1,5 +1,6 @@
 """Steps that have to stay bounded on larger tables, each on a small frame."""
 
+import os
 import re
 
 import pytest
@@ -10,6 +11,10 @@ from costbook.operators import norms as N
 from costbook.operators import pricing as R
 from costbook.operators import provenance as V
 from costbook.operators import rates as U
+from costbook.plans import pages as PP
+from costbook.plans.registry import REGISTRY
+from costbook.session import scratch_path
+from costbook.sources import pages as S
 from costbook.sources.bindings import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,3 +49,22 @@ def test_short_lists_are_walked_whole(spark, monkeypatch):
     packed = B.pack(items, ["g"], [F.col("pos")], "norm_ID", 4)
     assert sorted(tuple(r) for r in packed.groupBy("g").agg(F.max("block"), F.sum("kept")).collect())[:2] == [("g0", 3, 10), ("g1", 3, 10)]
     assert "SortMergeJoin" not in physical(packed)
+
+
+def test_many_pages_in_a_file(spark, tmp_path):
+    (tmp_path / "md.json").write_text('{"name": "page_0007.md", "text": "---\\npage: 7\\n---\\nbody"}\n{"name": "page_0008.md", "text": "---\\npage: 8\\nbody"}\n'
+                                      '{"name": "notes.md", "text": "x"}\n{"name": "page_0009.md", "text": "no front matter"}\n{"name": "page_0010.md"}\n{"name"\n')
+    found = S.scan_markdown(spark, str(tmp_path / "md.json"), whole_files=False)
+    assert sorted((r["page"], r["body"]) for r in found.rows.collect()) == [(7, "body"), (9, "no front matter")] and found.bad.count() == 4
+    (tmp_path / "blocks.json").write_text('{"name": "ocr_0012.json", "blocks": [{"x1": 1, "text": "a"}, {"x1": 2, "text": "b"}]}\n{"name": "ocr_0013.json", "blocks": []}\n'
+                                          '{"name": "ocr_0014.json", "blocks": [{"x1": "left"}]}\n{"name": "other.json", "blocks": [{"x1": 2}]}\n{"name": "ocr_0015.json", "blocks": [{\n')
+    found = S.scan_blocks(spark, str(tmp_path / "blocks.json"), multi_line=False)
+    assert sorted(tuple(r) for r in found.rows.select("page", "x1", "text").collect()) == [(12, 1.0, "a"), (12, 2.0, "b")] and found.bad.count() == 3
+
+
+@pytest.mark.parametrize("name", ["src05_block_pages", "src06_markdown_pages"])
+def test_page_sources_do_not_write_a_file_a_page(spark, monkeypatch, name):
+    roots = []
+    monkeypatch.setattr(PP, "scratch_path", lambda s, n: roots.append(scratch_path(s, n)) or roots[-1])
+    REGISTRY[name].run(Tables(spark, FOLDER))
+    assert [folders for _, folders, _ in os.walk(roots[0])] == [[]]
