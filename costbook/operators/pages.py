@@ -104,8 +104,10 @@ def _page_window(order: str, keys: list[str] = PAGE_KEYS) -> Window:
 
 def cluster_centres(values: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """One-dimensional clusters with their mean."""
-    grouped = value_groups(values, keys, value, tolerance, "group_no")
-    return grouped.groupBy(*keys, "group_no").agg(F.avg(value).alias("centre"), F.count(F.lit(1)).alias("n"))
+    # equal values fall together first, so the rows themselves meet no join
+    counted = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    grouped = value_groups(counted, keys, value, tolerance, "group_no")
+    return grouped.groupBy(*keys, "group_no").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("centre"), F.sum("n").alias("n"))
 
 
 def code_columns(lines: DataFrame, y_max: float = 250, tolerance: float = 15) -> DataFrame:
@@ -491,7 +493,9 @@ def fuse_blocks(blocks: DataFrame, overlap: float = 0.5, first_box: bool = False
 
 def _in_grid(blocks: DataFrame, y_tolerance: float, x_tolerance: float) -> DataFrame:
     """The blocks with row and column of their page's grid: clustered centres, code columns exact."""
-    mid = blocks.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).withColumn("cy", (F.col("y1") + F.col("y2")) / 2)
+    # written, as five branches read it
+    box = blocks.select(*PAGE_KEYS, "x1", "y1", "x2", "y2", "text", "confidence")
+    mid = settle(box.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).withColumn("cy", (F.col("y1") + F.col("y2")) / 2))
     rows = cluster_centres(mid, PAGE_KEYS, "cy", y_tolerance)
     columns = cluster_centres(mid, PAGE_KEYS, "cx", x_tolerance)
     codes = mid.filter(F.col("text").rlike(r"^\d{4}$")).select(*PAGE_KEYS, F.col("cx").alias("centre")).distinct()

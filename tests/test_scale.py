@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from costbook.operators import blocks as B
 from costbook.operators import norms as N
+from costbook.operators import pages as P
 from costbook.operators import pricing as R
 from costbook.operators import provenance as V
 from costbook.operators import rates as U
@@ -68,3 +69,8 @@ def test_page_sources_do_not_write_a_file_a_page(spark, monkeypatch, name):
     monkeypatch.setattr(PP, "scratch_path", lambda s, n: roots.append(scratch_path(s, n)) or roots[-1])
     REGISTRY[name].run(Tables(spark, FOLDER))
     assert [folders for _, folders, _ in os.walk(roots[0])] == [[]]
+
+
+def test_grid_steps_read_the_blocks_once(spark):
+    cells = P.grid_cells(Tables(spark, FOLDER).book_block)
+    assert cells.count() and "FileScan" not in physical(cells)
