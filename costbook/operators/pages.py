@@ -6,15 +6,19 @@ values alone run over the distinct y values of a page, whose number its height b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costbook.functions.names import ATTRIBUTE_NAME, row_fields, split_fused
-from costbook.functions.numbers import bbox_iou
 from costbook.operators.ordered import chunk_of, gap_groups, scan
 from costbook.session import settle
 
 PAGE_KEYS = ["doc", "page"]
+STRIP = 1 << 20  # pairs of boxes that are compared at once
 
 # Patterns of page furniture, titles, codes and attribute values.
 NOISE = r"^-\s*\d+\s*-$|^-\s*\d+\s*\.\s*\d+\s*-$"
@@ -464,31 +468,93 @@ def attribute_order(attributes: DataFrame) -> DataFrame:
 
 # ---- recognised blocks ------------------------------------------------------------------------------
 
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by page as batches of whole pages, each with the places where its pages begin and its end."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(b: pa.RecordBatch) -> np.ndarray:
+        codes = [b.column(k).dictionary_encode("encode").indices.to_numpy() for k in PAGE_KEYS]
+        return np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+
+    def joined(pieces: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = pa.concat_batches(pieces)
+        return whole, np.concatenate([[0], begins(whole), [whole.num_rows]])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in PAGE_KEYS):
+            yield joined(held)
+            held = []
+        cuts = begins(b)
+        if len(cuts):
+            yield joined([*held, b.slice(0, cuts[-1])])
+            held = [b.slice(cuts[-1])]
+        else:
+            held.append(b)
+    if held:
+        yield joined(held)
+
+
+def _overlapping(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, overlap: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each box of a page with the boxes before it that it overlaps by more than ``overlap`` (as ``bbox_iou``), in strips of bounded size."""
+    n = len(x1)
+    area = np.fmax(0.0, x2 - x1) * np.fmax(0.0, y2 - y1)
+    strip = max(1, STRIP // n)
+    for a in range(0, n, strip):
+        s = slice(a, a + strip)
+        inter = np.fmax(0.0, np.fmin(x2[s, None], x2) - np.fmax(x1[s, None], x1)) * np.fmax(0.0, np.fmin(y2[s, None], y2) - np.fmax(y1[s, None], y1))
+        hits = inter / (area[s, None] + area - inter + 1e-6) > overlap
+        for i in range(len(hits)):
+            yield a + i, np.flatnonzero(hits[i, :a + i])
+
+
+def _fold(corners: list[np.ndarray], lengths: list[int | None], overlap: float, first_box: bool) -> tuple[list[int], list[int]]:
+    """The rows of a page's sorted blocks that stay, and for each the row whose box it has."""
+    kept: list[int] = []
+    boxes: list[int] = []
+    place: dict[int, int] = {}  # of the row whose box a kept block has
+    for i, hits in _overlapping(*corners, overlap):
+        at = min((place[j] for j in hits.tolist() if j in place), default=None)
+        if at is None:
+            place[i] = len(kept)
+            kept.append(i)
+            boxes.append(i)
+        elif lengths[i] is not None and lengths[kept[at]] is not None and lengths[i] > lengths[kept[at]]:
+            kept[at] = i
+            if not first_box:
+                del place[boxes[at]]
+                place[i], boxes[at] = at, i
+    return kept, boxes
+
+
 def fuse_blocks(blocks: DataFrame, overlap: float = 0.5, first_box: bool = False) -> DataFrame:
     """Blocks of several recognition passes, duplicates removed: most confident first, a longer text replaces.
 
     A replacing block brings its box along; with ``first_box`` the box of the first one stays, and text, confidence and the label
-    of the pass (column ``pass_label``) are taken.  Equal blocks fall together before the fold; a page's blocks are a small array.
+    of the pass (column ``pass_label``) are taken.  Equal blocks fall together before the fold, which takes one page at a time.
     """
-    box = ["x1", "y1", "x2", "y2", "text", "confidence", *(["pass_label"] if first_box else [])]
-    distinct = blocks.select(*PAGE_KEYS, *box).distinct()
-    entry = F.struct((-F.col("confidence")).alias("k1"), (-F.length("text")).alias("k2"), *box)
-    sorted_ = distinct.groupBy(*PAGE_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    corners = ("x1", "y1", "x2", "y2")
-    corner = lambda s: {c: s[c] for c in corners}
-    kind = "array<struct<k1:double,k2:int,x1:double,y1:double,x2:double,y2:double,text:string,confidence:double" + (",pass_label:string" if first_box else "") + ">>"
-
-    def taken(d: Column, b: Column) -> Column:
-        return F.struct(*[(d if c in corners else b)[c].alias(c) for c in ("k1", "k2", *box)]) if first_box else b
-
-    def step(kept: Column, b: Column) -> Column:
-        hit = F.array_position(F.transform(kept, lambda d: bbox_iou(corner(b), corner(d)) > overlap), True)
-        longer = F.length(b["text"]) > F.length(F.try_element_at(kept, hit.cast("int"))["text"])
-        replaced = F.transform(kept, lambda d, i: F.when((i + 1) == hit, taken(d, b)).otherwise(d))
-        return F.when(hit == 0, F.concat(kept, F.array(b))).when(longer, replaced).otherwise(kept)
-
-    kept = sorted_.select(*PAGE_KEYS, F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("b"))
-    return kept.select(*PAGE_KEYS, *[F.col(f"b.{c}").alias(c) for c in box])
+    corners = ["x1", "y1", "x2", "y2"]
+    box = [*corners, "text", "confidence", *(["pass_label"] if first_box else [])]
+    distinct = blocks.select(*PAGE_KEYS, *[F.col(c).cast("double").alias(c) for c in corners], *box[4:]).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bounds in _whole_pages(batches):
+            places = [b.column(c).to_numpy(zero_copy_only=False) for c in corners]
+            lengths = b.column("n").to_pylist()
+            rows: list[int] = []
+            taken: list[int] = []
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                kept, boxes = _fold([p[a:z] for p in places], lengths[a:z], overlap, first_box)
+                rows += [a + i for i in kept]
+                taken += [a + i for i in boxes]
+            own, boxed = b.take(pa.array(rows, pa.int64())), b.select(corners).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([boxed.column(c) if c in corners else own.column(c) for c in (*PAGE_KEYS, *box)], [*PAGE_KEYS, *box])
+
+    # by page, most confident first, of these the longest text
+    order = [F.col("confidence").desc_nulls_first(), F.col("n").desc_nulls_first(), *box]
+    dealt = distinct.withColumn("n", F.length("text")).repartition(*PAGE_KEYS).sortWithinPartitions(*PAGE_KEYS, *order)
+    return dealt.mapInArrow(work, distinct.schema)
 
 
 def _in_grid(blocks: DataFrame, y_tolerance: float, x_tolerance: float) -> DataFrame:

@@ -1,8 +1,11 @@
 """Steps that have to stay bounded on larger tables, each on a small frame."""
 
 import os
+import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,49 @@ def test_page_sources_do_not_write_a_file_a_page(spark, monkeypatch, name):
 def test_grid_steps_read_the_blocks_once(spark):
     cells = P.grid_cells(Tables(spark, FOLDER).book_block)
     assert cells.count() and "FileScan" not in physical(cells)
+
+
+def fused_plainly(blocks, overlap, first_box):
+    """The fold of one page in plain Python: blocks (x1, y1, x2, y2, text, confidence, label)."""
+    def iou(a, b):
+        inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter + 1e-6)
+
+    kept = []
+    for b in sorted(set(blocks), key=lambda b: (-b[5], -len(b[4]), *b)):
+        hit = next((k for k in kept if iou(b, k) > overlap), None)
+        if hit is None:
+            kept.append(b)
+        elif len(b[4]) > len(hit[4]):
+            kept[kept.index(hit)] = (*hit[:4], *b[4:]) if first_box else b
+    return kept
+
+
+@pytest.mark.parametrize("first_box", [False, True])
+def test_blocks_are_fused_a_page_at_a_time(spark, first_box):
+    dice = random.Random(5)
+    pages = {}
+    for k in range(400):
+        x, y = dice.randrange(60) / 2, dice.randrange(30) / 2
+        block = (x, y, x + dice.choice([0, 8, 10]), y + dice.choice([6, 7]), "ab甲d"[:dice.randint(0, 4)], dice.randrange(5) / 4, dice.choice(["gray", "binary"]))
+        pages.setdefault((dice.choice(["a", None]), k % 3 if k > 40 else k), []).append(block if first_box else (*block[:6], ""))
+    rows = [(*key, *b) for key, found in pages.items() for b in found]
+    frame = spark.createDataFrame(rows, "doc string, page long, x1 double, y1 double, x2 double, y2 double, text string, confidence double, pass_label string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # pages that go on in the next batch
+    try:
+        fused = P.fuse_blocks(frame, first_box=first_box)
+        assert "MapInArrow" in physical(fused)
+        got = Counter(tuple(r) for r in fused.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = Counter((*key, *b[:6], *b[6:] * first_box) for key, found in pages.items() for b in fused_plainly(found, 0.5, first_box))
+    assert got == want
+
+
+def test_pairs_of_boxes_in_strips(monkeypatch):
+    dice = random.Random(6)
+    boxes = np.array([[x, y, x + 10, y + 7] for x, y in [(dice.randrange(40), dice.randrange(20)) for _ in range(50)]], float).T
+    whole = [(i, h.tolist()) for i, h in P._overlapping(*boxes, 0.3)]
+    monkeypatch.setattr(P, "STRIP", 130)
+    assert whole == [(i, h.tolist()) for i, h in P._overlapping(*boxes, 0.3)] and any(h for _, h in whole)
