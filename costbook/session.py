@@ -60,3 +60,10 @@ def shuffled(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written between two jobs."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet below the shared folder, for wide rows that several branches filter: packed, and no filter works its columns out again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

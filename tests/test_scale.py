@@ -17,7 +17,7 @@ from costbook.operators import provenance as V
 from costbook.operators import rates as U
 from costbook.plans import pages as PP
 from costbook.plans.registry import REGISTRY
-from costbook.session import scratch_path
+from costbook.session import scratch_path, stored
 from costbook.sources import pages as S
 from costbook.sources.bindings import Tables
 
@@ -123,3 +123,12 @@ def test_pairs_of_boxes_in_strips(monkeypatch):
     whole = [(i, h.tolist()) for i, h in P._overlapping(*boxes, 0.3)]
     monkeypatch.setattr(P, "STRIP", 130)
     assert whole == [(i, h.tolist()) for i, h in P._overlapping(*boxes, 0.3)] and any(h for _, h in whole)
+
+
+@pytest.mark.parametrize("name", ["d05_header_attributes", "d06_table_records", "u06_attribute_order"])
+def test_page_lines_are_built_once(spark, monkeypatch, name):
+    built = []
+    monkeypatch.setattr(PP, "stored", lambda df, n: built.append(stored(df, n)) or built[-1])
+    out = REGISTRY[name].run(Tables(spark, FOLDER))
+    assert len(built) == 1 and out.count()
+    assert all("/lines-" in path for path in built[0].inputFiles()) and "lineitem" not in physical(out)
