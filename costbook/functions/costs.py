@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from costbook.functions.text import let
+
 # Misread words of scanned pages and what they stand for.
 SCAN_FIXES = (("围抢", "围堰"), ("围捻", "围堰"), ("瘦班", "艘班"), ("混凝士", "混凝土"), ("箕他材料", "其他材料"), ("腹带", "履带"),
               ("内然", "内燃"), ("内燃李压机", "内燃空压机"), ("设施摊消费", "设施摊销费"), ("Ⅰt", "1t"), ("Ⅰ", "1"))
@@ -76,6 +78,10 @@ def clean_cost_item(name: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"^\d+\s*", ""), r"^(台班|艘班|工日)\s+", "")
     for wrong, right in WHOLE_FIXES.items():
         out = F.regexp_replace(out, f"^{wrong}$", right)
-    letters = F.length(F.regexp_replace(out, r"[\d\s./—\-(),;:+]+", ""))
-    merged = out.rlike(r"\d{3,}") & (letters < 3)
-    return F.when(noise | out.isin(*DANGLING) | merged, F.lit("")).otherwise(F.trim(out))
+
+    def judged(cleaned: Column) -> Column:
+        letters = F.length(F.regexp_replace(cleaned, r"[\d\s./—\-(),;:+]+", ""))
+        merged = cleaned.rlike(r"\d{3,}") & (letters < 3)
+        return F.when(noise | cleaned.isin(*DANGLING) | merged, F.lit("")).otherwise(F.trim(cleaned))
+
+    return let(out, judged)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,18 @@ def _aligned(cells: Column, headers: Column) -> Column:
     blank = lambda k: F.array_repeat(F.lit(""), F.greatest(k, F.lit(0)))
     attrs = F.greatest(n - 6, F.lit(0))
     middle = F.concat(F.slice(cells, F.lit(1), 3 + attrs), blank(h - 6 - attrs), F.slice(cells, 4 + attrs, F.greatest(n - 3 - attrs, F.lit(0))))
-    marks = F.transform(cells, lambda c, i: (i > 0) & (c.rlike(f"^({COST_TOKENS})$") | c.rlike(COST_PARTS)))
-    found = F.array_position(marks, True).cast("int") - 1
-    at = F.when(found > 0, found).otherwise(F.greatest(F.lit(1), n - 3))
-    slots = h - (n - at)
-    ids = F.slice(cells, F.lit(1), F.least(at, F.greatest(slots, F.lit(0))))
-    tail = F.slice(cells, at + 1, F.greatest(n - at, F.lit(0)))
-    shifted = F.concat(ids, blank(slots - F.size(ids)), tail)
-    return (F.when(n == h, cells).when(n > h, F.slice(cells, F.lit(1), h)).when((n >= 6) & (h >= 6) & (h - 6 > attrs), middle)
-            .when((slots > 0) & (F.size(shifted) == h), shifted).otherwise(F.concat(cells, blank(h - n))))
+    mark = f"^({COST_TOKENS})$|{COST_PARTS}"
+    found = F.array_position(F.transform(cells, lambda c, i: (i > 0) & c.rlike(mark)), True).cast("int") - 1
+
+    def shifted(at: Column) -> Column:
+        slots = h - (n - at)
+        ids = F.slice(cells, F.lit(1), F.least(at, F.greatest(slots, F.lit(0))))
+        tail = F.slice(cells, at + 1, F.greatest(n - at, F.lit(0)))
+        return F.when(slots > 0, F.concat(ids, blank(slots - F.least(at, slots)), tail)).otherwise(F.concat(cells, blank(h - n)))
+
+    # the search for the cost item is the dear part: bound to a variable, it runs once and for uneven rows alone
+    moved = let(found, lambda f: let(F.when(f > 0, f).otherwise(F.greatest(F.lit(1), n - 3)), shifted))
+    return (F.when(n == h, cells).when(n > h, F.slice(cells, F.lit(1), h)).when((n >= 6) & (h >= 6) & (h - 6 > attrs), middle).otherwise(moved))
 
 
 def overflow(cells: Column, headers: Column) -> Column:
@@ -50,6 +55,11 @@ def overflow(cells: Column, headers: Column) -> Column:
     return F.slice(cells, F.size(headers) + 1, F.greatest(F.size(cells) - F.size(headers), F.lit(0)))
 
 
+def _worked_out(rows: DataFrame, value: Column, name: str, kept: Callable[[Column], Column]) -> DataFrame:
+    """The rows whose value passes, with it as a column; a plain filter would be moved before the column and work the value out again."""
+    return rows.withColumn(name, F.explode_outer(F.filter(F.array(value), kept))).where(F.col(name).isNotNull())
+
+
 def table_rows(pages: DataFrame) -> DataFrame:
     """Rows of all tables of Markdown pages (page, body), with heading, header, aligned cells and the cells beyond the header.
 
@@ -76,7 +86,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
                          cells_of(F.get("r.run", F.lit(0))).alias("headers"), F.coalesce(F.get("r.run", F.lit(1)).rlike(RULE_ROW), F.lit(False)).alias("ruled"), F.col("r.run").alias("run"))
     valid = tables.where(F.col("heading").isNotNull() | (F.col("ruled") & (F.get("headers", F.lit(0)) == STANDARD[0])))
     rows = valid.select("*", F.posexplode_outer("run").alias("pos", "line")).where((F.col("pos") > 0) & ~(F.col("ruled") & (F.col("pos") == 1)))
-    rows = rows.withColumn("own", cells_of(F.col("line"))).where(F.size("own") > 0)
+    rows = _worked_out(rows, cells_of(F.col("line")), "own", lambda c: F.size(c) > 0)
     return rows.select("page", "table_no", F.col("pos").alias("row_pos"), F.coalesce("heading", "meta", F.lit("")).alias("heading"),
                        "headers", align(F.col("own"), F.col("headers")).alias("cells"), overflow(F.col("own"), F.col("headers")).alias("overflow"))
 
@@ -92,8 +102,7 @@ def norm_items(rows: DataFrame) -> DataFrame:
                         cell("数量").alias("raw"), pairs.alias("attrs"))
 
     fields = rows.select("page", "table_no", "row_pos", let(F.struct(F.col("headers").alias("h"), F.col("cells").alias("c")), picked).alias("f"))
-    cleaned = fields.select("page", "table_no", "row_pos", "f", let(F.col("f.item"), lambda n: clean_cost_item(n)).alias("cost_item")).filter(
-        F.coalesce("cost_item", F.lit("")) != "")
+    cleaned = _worked_out(fields, let(F.col("f.item"), lambda n: clean_cost_item(n)), "cost_item", lambda c: c != "")
     attr = lambda i, name: F.coalesce(F.try_element_at(F.col("f.attrs"), F.lit(i))[name], F.lit(""))
     raw, unit = F.col("f.raw"), F.col("f.unit")
     amount = clean_amount(raw)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costbook.operators import blocks as B
+from costbook.operators import markdown as M
 from costbook.operators import norms as N
 from costbook.operators import pages as P
 from costbook.operators import pricing as R
@@ -132,3 +133,14 @@ def test_page_lines_are_built_once(spark, monkeypatch, name):
     out = REGISTRY[name].run(Tables(spark, FOLDER))
     assert len(built) == 1 and out.count()
     assert all("/lines-" in path for path in built[0].inputFiles()) and "lineitem" not in physical(out)
+
+
+def test_values_of_markdown_rows_are_worked_out_once(spark):
+    page = "## t\n| 定额编号 | 分部工程 | 分项工程 | 桩长 | 级别 | 费用项目 | 单位 | 数量 |\n|---|---|---|---|---|---|---|---|\n| 10001 | a | 人工 | 工日 | 3 |\n| 1 | 2 kg | x |\n"
+    rows = M.table_rows(spark.createDataFrame([(1, page)], "page long, body string"))
+    items = M.norm_items(rows)
+    assert [r["cells"] for r in rows.orderBy("row_pos").collect()] == [["10001", "a", "", "", "", "人工", "工日", "3"], ["1", "", "", "", "", "", "2 kg", "x"]]
+    assert [(r["norms_code"], r["cost_item"], r["amount"]) for r in items.collect()] == [("10001", "人工", 3.0)]
+    # the dear searches, for the marks of a cost item and for its misreadings, do not stand in the plan once for every use
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("设施摊销费") == 1 and plan.count("定型板面") <= 2
