@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from costbook.operators.ordered import numbered
 from costbook.session import settle
 
-PAIRS = 1 << 20  # pairs of postings of one token that one task should see
+PAIRS = 1 << 20  # pairs of postings of one key that one task should see
+SHORT = 12  # texts of so many tokens, which make at most 66 keys of two
 Keys = Callable[[Column], Column]
 
 
@@ -40,21 +41,29 @@ def numbered_tokens(*sides: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _postings(side: DataFrame, p: str, keys: Keys) -> DataFrame:
+def _postings(side: DataFrame, p: str, keys: Keys, width: int) -> DataFrame:
+    """A row for each key: one or two of the foremost tokens, with the number of tokens that the key and what is behind it hold."""
     n = F.size(f"{p}_tokens")
     own = side.withColumn(f"{p}_n", n)
-    return own.select("*", F.posexplode(F.slice(f"{p}_tokens", F.lit(1), F.greatest(keys(n), F.lit(0)).cast("int"))).alias(f"{p}_at", "token"))
+    first = F.slice(f"{p}_tokens", F.lit(1), F.greatest(keys(n), F.lit(0)).cast("int"))
+    if width == 1:
+        return own.select("*", F.posexplode(first).alias("_at", "token")).withColumn(f"{p}_left", F.col(f"{p}_n") - F.col("_at")).drop("_at")
+    twos = F.flatten(F.transform(first, lambda x, i: F.transform(
+        F.slice(first, i + 2, F.size(first)), lambda y, j: F.struct((n - i - j).alias("left"), (F.shiftleft(x.cast("long"), 32) + y).alias("token")))))
+    return own.select("*", F.explode(twos).alias("_key")).select("*", F.col("_key.left").alias(f"{p}_left"), F.col("_key.token").alias("token")).drop("_key")
 
 
-def meet(left: DataFrame, right: DataFrame, by: Sequence[str], l_keys: Keys, r_keys: Keys, enough: Callable[[Column, Column, Column], Column], also: Column | None = None) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, by: Sequence[str], l_keys: Keys, r_keys: Keys, enough: Callable[[Column, Column, Column], Column], also: Column | None = None,
+         width: int = 1) -> DataFrame:
     """Pairs of left (by, l_id, l_tokens, more) and right (by, r_id, r_tokens, more), with l_n, r_n and shared, that pass ``enough`` (n, n, shared).
 
     ``l_keys`` and ``r_keys`` tell from a text's size how many of its foremost tokens are keys; of a pair that passes, the first
-    shared token must be one on both sides.  A pair appears once, at that token.  Each posting bounds what the pair can share by
+    shared token must be one on both sides.  A pair appears once, at that token.  With a ``width`` of 2 the keys are two tokens each, and the first two shared
+    ones must be among the foremost on both sides.  Each posting bounds what the pair can share by
     what is left behind it, so most pairs end before their tokens are compared.  Numbers alone take part, no texts.
-    A token whose postings make too many pairs is split: one side's postings are dealt out, the other's are repeated.
+    A key whose postings make too many pairs is split: one side's postings are dealt out, the other's are repeated.
     """
-    l, r = _postings(left, "l", l_keys), _postings(right, "r", r_keys)
+    l, r = _postings(left, "l", l_keys, width), _postings(right, "r", r_keys, width)
     on = [*by, "token"]
     counts = l.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")).join(r.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")), on)
     hot = counts.select(*on, F.ceil(F.col("_l") * F.col("_r") / PAIRS).cast("int").alias("_split")).where("_split > 1")
@@ -64,10 +73,12 @@ def meet(left: DataFrame, right: DataFrame, by: Sequence[str], l_keys: Keys, r_k
     met = l.join(r, [*on, "_part"])
     if also is not None:
         met = met.where(also)
-    met = met.where(enough(F.col("l_n"), F.col("r_n"), F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))))
-    met = met.withColumn("_common", F.array_intersect("l_tokens", "r_tokens")).where(F.get("_common", F.lit(0)) == F.col("token"))
+    met = met.where(enough(F.col("l_n"), F.col("r_n"), F.least("l_left", "r_left")))
+    common = lambda i: F.get("_common", F.lit(i))
+    first = common(0) if width == 1 else F.shiftleft(common(0).cast("long"), 32) + common(1)
+    met = met.withColumn("_common", F.array_intersect("l_tokens", "r_tokens")).where(first == F.col("token"))
     met = met.withColumn("shared", F.size("_common")).where(enough(F.col("l_n"), F.col("r_n"), F.col("shared")))
-    return met.drop("_common", "_part", "token", "l_at", "r_at", "l_tokens", "r_tokens")
+    return met.drop("_common", "_part", "token", "l_left", "r_left", "l_tokens", "r_tokens")
 
 
 def behind(least: Column, n: Column) -> Column:
@@ -76,14 +87,23 @@ def behind(least: Column, n: Column) -> Column:
 
 
 def contained(left: DataFrame, right: DataFrame, by: Sequence[str], share: float, least: int, enough: Callable[[Column, Column, Column], Column], also: Column | None = None) -> DataFrame:
-    """Pairs that share at least ``share`` of the smaller set and ``least`` tokens: the smaller one's foremost tokens meet any of the larger one's."""
-    some: Keys = lambda n: behind(F.greatest(F.lit(least), F.ceil(n * share - 1e-9)), n)
+    """Pairs that share at least ``share`` of the smaller set and ``least`` tokens: the smaller one's foremost tokens meet any of the larger one's.
+
+    Where two tokens must be shared, sets of at most ``SHORT`` meet at keys of two, so a frequent token alone brings none together.
+    """
     every: Keys = lambda n: n
-    fit = F.size("l_tokens") <= F.size("r_tokens")
-    extra = fit if also is None else fit & also
-    small_left = meet(left, right, by, some, every, enough, extra)
-    extra = ~fit if also is None else ~fit & also
-    return small_left.unionByName(meet(left, right, by, every, some, enough, extra))
+
+    def met(l: DataFrame, r: DataFrame, width: int) -> DataFrame:
+        some: Keys = lambda n: behind(F.greatest(F.lit(least), F.ceil(n * share - 1e-9)), n) + (width - 1)
+        l_size, r_size = F.size("l_tokens"), F.size("r_tokens")
+        l_short, r_short = (l, r) if least < 2 else (l.where(l_size <= SHORT), r.where(r_size <= SHORT)) if width == 2 else (l.where(l_size > SHORT), r.where(r_size > SHORT))
+        extra = l_size <= r_size
+        small_left = meet(l, r_short, by, some, every, enough, extra if also is None else extra & also, width)
+        extra = l_size > r_size
+        return small_left.unionByName(meet(l_short, r, by, every, some, enough, extra if also is None else extra & also, width))
+
+    # the larger set's size tells how a pair meets
+    return met(left, right, 1) if least < 2 else met(left, right, 1).unionByName(met(left, right, 2))
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], ratio: Column | float, also: Column | None = None) -> DataFrame:

@@ -122,3 +122,23 @@ def test_pairs_meet_without_texts_or_products(spark):
     texts = spark.createDataFrame([(k, list("abcdef"[k % 4:])) for k in range(20)], "id long, tokens array<string>")
     plan = M.leading_pairs(texts, texts.withColumn("lowest", F.col("id")).withColumn("quotes", F.lit(1)), 5)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "text" not in plan
+
+
+def test_frequent_tokens_alone_bring_no_short_texts_together(spark, monkeypatch):
+    dice = random.Random(4)
+    sets = lambda first: [(first + i, sorted(dice.sample(range(300), 30 if i % 40 == 0 else dice.randint(4, 8)))) for i in range(300)]
+    left, right = sets(0), sets(1000)
+    meet, tried = P.meet, []
+
+    def counted(l, r, by, l_keys, r_keys, enough, also=None, *width):
+        tried.append(P._postings(l, "l", l_keys, *width).join(P._postings(r, "r", r_keys, *width), "token").count())
+        return meet(l, r, by, l_keys, r_keys, enough, also, *width)
+
+    monkeypatch.setattr(P, "meet", counted)
+    met = P.contained(spark.createDataFrame(left, "l_id long, l_tokens array<int>"), spark.createDataFrame(right, "r_id long, r_tokens array<int>"), [], 0.0, 2,
+                      lambda n, m, s: s >= 2).select("l_id", "r_id", "shared").collect()
+    shared = {(a, b): len(set(x) & set(y)) for a, x in left for b, y in right}
+    assert sorted(tuple(r) for r in met) == sorted((a, b, n) for (a, b), n in shared.items() if n >= 2)
+    # in either direction texts of few tokens are only compared where two of them are the same
+    long = sum(n for (a, b), n in shared.items() if a % 40 == 0 or b % 40 == 0)
+    assert sum(tried) <= 2 * long + 2 * sum(n * (n - 1) // 2 for n in shared.values())
