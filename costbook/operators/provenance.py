@@ -28,7 +28,7 @@ def quote_provenance(matches: DataFrame, quotes: DataFrame, n: int | None = None
 def live_aliases(aliases: DataFrame, usage: DataFrame) -> DataFrame:
     """Aliases whose consumption row is still in use, with its references."""
     live = usage.select("res_ID", F.col("vol").alias("src_vol"), F.col("cons_ID").alias("src_cons_ID"), "refs")
-    return aliases.join(live, ["res_ID", "src_vol", "src_cons_ID"])
+    return shuffled(aliases).join(live, ["res_ID", "src_vol", "src_cons_ID"])
 
 
 def volume_content(content: DataFrame, norms: DataFrame) -> DataFrame:

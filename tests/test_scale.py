@@ -34,6 +34,7 @@ JOINS = {
     "expand_norms": lambda t, c: R.expand_norms(c, t.consumption, ["vol", "cons_ID"]),
     "priced_lines": lambda t, c: N.priced_lines(c, t.consumption, t.resource_price.select("res_ID", "price"), ["vol", "cons_ID"]),
     "norms_using": lambda t, c: V.norms_using(t.consumption, t.content, t.norm, 3),
+    "live_aliases": lambda t, c: V.live_aliases(t.resource_alias, t.consumption.select(F.col("master_res_ID").alias("res_ID"), "vol", "cons_ID", F.lit(1).alias("refs"))),
 }
 
 
