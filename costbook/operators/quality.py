@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costbook.operators.ordered import chunk_of, scan
+from costbook.session import settle
 
 # Words that are units and never a cost item.
 UNIT_WORDS = ("工日", "台班", "元", "m3", "m²", "m³", "m", "t", "kg", "10m3", "100m3", "100m2", "艘班", "组", "根", "榀", "%", "件", "个", "块",
@@ -112,12 +113,13 @@ def check_pages(front: DataFrame, rows: DataFrame, skipped: DataFrame) -> DataFr
     page = F.col("page")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     coded = rows.filter(F.col("code").rlike(r"^\d+$"))
-    priced = coded.groupBy("page", "code").agg(F.bool_or(F.coalesce(F.col("cost_item") == "基价", F.lit(False))).alias("priced"))
+    # written once, as the rows of a code repeat and three checks need the codes alone
+    priced = settle(coded.groupBy("page", "code").agg(F.bool_or(F.coalesce(F.col("cost_item") == "基价", F.lit(False))).alias("priced")))
     without = priced.filter("not priced").join(skipped.select("page").distinct(), "page", "left_anti")
     return _all(issue(front.filter(empty("chapter")), "WARN", "front", page, text("missing chapter")), issue(front.filter(empty("section")), "WARN", "front", page, text("missing section")),
                 issue(front.filter(F.coalesce("type", F.lit("")) != "norms_table"), "WARN", "front", page, text("type ", F.coalesce("type", F.lit("")))),
-                issue(front.join(coded.select("page"), "page", "left_anti"), "ERROR", "rows", page, text("no data rows")),
-                issue(code_gaps(coded, ["page"]), "WARN", "continuity", page, text("missing code ", F.col("missing"))),
+                issue(front.join(priced.select("page").distinct(), "page", "left_anti"), "ERROR", "rows", page, text("no data rows")),
+                issue(code_gaps(priced, ["page"]), "WARN", "continuity", page, text("missing code ", F.col("missing"))),
                 issue(without, "WARN", "base_price", page, text("no base price: ", F.col("code"))))
 
 

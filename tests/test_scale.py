@@ -15,6 +15,7 @@ from costbook.operators import norms as N
 from costbook.operators import pages as P
 from costbook.operators import pricing as R
 from costbook.operators import provenance as V
+from costbook.operators import quality as Q
 from costbook.operators import rates as U
 from costbook.plans import pages as PP
 from costbook.plans.registry import REGISTRY
@@ -145,3 +146,10 @@ def test_values_of_markdown_rows_are_worked_out_once(spark):
     # the dear searches, for the marks of a cost item and for its misreadings, do not stand in the plan once for every use
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("设施摊销费") == 1 and plan.count("定型板面") <= 2
+
+
+def test_page_checks_read_the_rows_once(spark):
+    t = Tables(spark, FOLDER)
+    checked = Q.check_pages(t.md_front, t.md_code, t.md_front.select(F.col("continued_from").alias("page")))
+    # rows of a code repeat, so none of the checks joins or scans them as they are
+    assert checked.count() and "l_suppkey" not in physical(checked)
