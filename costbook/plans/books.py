@@ -10,6 +10,7 @@ from costbook.operators import consolidate as D
 from costbook.operators import hierarchy as H
 from costbook.plans.registry import register
 from costbook.plans.tree import WBS
+from costbook.session import stored
 from costbook.sources.bindings import define_derived, define_view
 from costbook.sources.tables import stack_sources
 
@@ -101,7 +102,8 @@ UNION ALL SELECT i.book, i.code, i.group_code, i.sort_order, i.type, i.descripti
   coalesce(d.name, concat('消耗量(', q.col, ')')), coalesce(d.unit, ''), q.consumption
   FROM boq_item i JOIN boq_qty q ON q.book = i.book AND q.code = i.code LEFT JOIN boq_def d ON d.book = q.book AND d.sub_code = q.sub_code AND d.col = q.col)""")
 def _(t):
-    items = B.items(t.boq_grid)
+    # three parts of the plan read the items, whose texts and numbers are worked out once
+    items = stored(B.items(t.boq_grid), "boq-items")
     return B.compat_rows(items, B.quantities(items), B.resource_definitions(t.boq_grid))
 
 

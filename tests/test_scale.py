@@ -153,3 +153,9 @@ def test_page_checks_read_the_rows_once(spark):
     checked = Q.check_pages(t.md_front, t.md_code, t.md_front.select(F.col("continued_from").alias("page")))
     # rows of a code repeat, so none of the checks joins or scans them as they are
     assert checked.count() and "l_suppkey" not in physical(checked)
+
+
+def test_bill_items_are_worked_out_once(spark):
+    rows = REGISTRY["d13_boq_compat_rows"].run(Tables(spark, FOLDER))
+    # their texts and numbers are parsed before, so the plan needs no more of the bill than the definitions do
+    assert rows.count() and "o_orderpriority" not in physical(rows)
