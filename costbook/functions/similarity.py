@@ -13,6 +13,8 @@ from pyspark.sql.types import DoubleType
 PUNCTUATION = r"[\s()（）\[\]【】,，、/\\·\-—_+]"
 UNIT_BONUS = 0.08
 CONTAINED = 0.85
+# Fixed value: the sign that stands for all signs the other text lacks; a private one.
+HIDDEN = "\uE000"
 
 
 def norm_chars(text: Column) -> Column:
@@ -66,7 +68,15 @@ def floored_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(a, b, _floored)
 
 
+def seen_by(text: Column, other: Column) -> Column:
+    """All that a comparison with ``other`` sees of a text: signs that ``other`` lacks match nothing, so they are one sign here."""
+    foreign = F.call_function("translate", text, other, F.lit(""))
+    hidden = F.call_function("translate", text, foreign, F.repeat(F.lit(HIDDEN), F.length(foreign)))
+    return F.when(other.contains(HIDDEN), text).otherwise(hidden)
+
+
 def match_score(a: Column, b: Column, bare_a: Column, bare_b: Column) -> Column:
     """Score of two cleaned names; tried again without their ordinals where either has one."""
-    direct = floored_ratio(a, b)
-    return F.when((a != bare_a) | (b != bare_b), F.greatest(direct, floored_ratio(bare_a, bare_b))).otherwise(direct)
+    direct, again = floored_ratio(a, b), (a != bare_a) | (b != bare_b)
+    # null where there is nothing new to compare
+    return F.when(again, F.greatest(direct, floored_ratio(F.when(again, bare_a), F.when(again, bare_b)))).otherwise(direct)

@@ -109,6 +109,11 @@ def _score(a: str, b: str) -> Column:
     return S.match_score(F.col(a), F.col(b), F.col(f"{a}_bare"), F.col(f"{b}_bare"))
 
 
+def _dealt(pairs: DataFrame, *by: str) -> DataFrame:
+    """The pairs dealt to as many tasks as a shuffle has: they are few bytes and much work, so Spark would put them into one or two."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _sets(texts: DataFrame, form: str, lift: Column | None = None) -> DataFrame:
     """The character sets of each text's form and bare form: (text_id, domain, bare, differs, lift, tokens)."""
     kinds = F.explode(F.array(F.struct(F.lit(False).alias("bare"), F.col(form).alias("form")), F.struct(F.lit(True).alias("bare"), F.col(f"{form}_bare").alias("form"))))
@@ -117,6 +122,29 @@ def _sets(texts: DataFrame, form: str, lift: Column | None = None) -> DataFrame:
     return rows.select("text_id", "domain", "differs", "lift", "k.bare", P.characters(F.col("k.form")).alias("tokens"))
 
 
+def _left_sets(left: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The sets (l_id, domain, bare, l_differs, lift, l_n, l_tokens), their tokens as numbers; a set that meets nothing is kept, empty."""
+    own = _with_id(left.where(F.size("tokens") > 0))
+    lists = own.select("id", F.explode("tokens").alias("token")).join(numbers, "token").groupBy("id").agg(F.sort_array(F.collect_list("number")).alias("l_tokens"))
+    return settle(own.join(lists, "id", "left").select(F.col("text_id").alias("l_id"), "domain", "bare", F.col("differs").alias("l_differs"), "lift", F.size("tokens").alias("l_n"),
+                                                       F.coalesce("l_tokens", F.array().cast("array<int>")).alias("l_tokens")))
+
+
+def _right_classes(right: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts with the same numbered tokens are one class, as they meet the same texts: sets of the classes, named r_id, and members (class, r_id)."""
+    own = right.select("text_id", "domain", "differs", "bare", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    marks = own.join(numbers, "token").groupBy("text_id", "domain", "differs").agg(F.sort_array(F.collect_list(F.struct("bare", "n", "number"))).alias("marks"))
+    named = settle(marks.withColumn("class", F.md5(F.to_json(F.struct("domain", "differs", "marks")))))
+
+    def kind(bare: bool) -> Column:
+        held = F.filter("marks", lambda m: m["bare"] == (F.col("differs") & F.lit(bare)))
+        return F.struct(F.lit(bare).alias("bare"), F.get(held, F.lit(0))["n"].alias("r_n"), F.transform(held, lambda m: m["number"]).alias("r_tokens"))
+
+    classes = named.dropDuplicates(["class"]).select(F.col("class").alias("r_id"), "domain", F.col("differs").alias("r_differs"), F.explode(F.array(kind(False), kind(True))).alias("k"))
+    sets = settle(classes.select("r_id", "domain", "r_differs", "k.*").where(F.size("r_tokens") > 0))
+    return sets, named.select("class", F.col("text_id").alias("r_id"))
+
+
 def _best(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Highest score per key; of equal scores the lowest leaf."""
     return scores.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("leaf_ID")).alias("neg"))).alias("b")).select(
@@ -129,12 +157,14 @@ def best_leaves(left: DataFrame, right: DataFrame, score: Callable[[DataFrame],
 
     ``left`` and ``right`` are sets of characters (see ``_sets``), several for a text where several of its forms count.  What two forms share bounds
     their ratio; a form that holds the other counts as 0.85 at least, and then shares all its characters.  A score exceeds its ratios
-    by at most the left side's lift.  ``score`` adds leaf_ID and score to pairs (l_id, r_id), and may drop pairs; ``more`` gives pairs that may reach a
+    by at most the left side's lift.  ``score`` adds leaf_ID and score to pairs (l_id, r_id), some of them twice, and may drop pairs; ``more`` gives pairs that may reach a
     threshold without shared characters.
     """
-    l_sets, r_sets = P.numbered_tokens(_with_id(left), _with_id(right))
-    r_sets = r_sets.select(F.col("text_id").alias("r_id"), "domain", "bare", F.col("differs").alias("r_differs"), F.col("tokens").alias("r_tokens"))
-    l_sets = l_sets.select(F.col("text_id").alias("l_id"), "domain", "bare", F.col("differs").alias("l_differs"), "lift", F.col("tokens").alias("l_tokens"))
+    # where the bare form is the form itself, its set is too
+    right = right.where(~F.col("bare") | F.col("differs"))
+    numbers = settle(P.common_numbers(left, right))
+    l_sets = _left_sets(left, numbers)
+    r_sets, members = _right_classes(right, numbers)
     # where no form has ordinals, the bare forms say nothing new
     also = ~F.col("bare") | F.col("l_differs") | F.col("r_differs")
     ids, by = ["l_id", "r_id"], ["domain", "bare"]
@@ -143,9 +173,11 @@ def best_leaves(left: DataFrame, right: DataFrame, score: Callable[[DataFrame],
         near = P.overlapping(l_sets, r_sets, by, F.greatest(F.lit(least) - F.col("lift"), F.lit(ANY)), also).select(*ids)
         if least > 0:
             near = near.unionByName(P.contained(l_sets, r_sets, by, 1.0, 1, lambda n, m, s: s >= F.least(n, m), also).select(*ids))
+        # a class is met by its sets, once for all its texts
+        near = near.distinct().withColumnRenamed("r_id", "class").join(members, "class").select(*ids)
         if more is not None:
             near = near.unionByName(more(l_sets, least).select(*ids))
-        best = _best(score(near.distinct()).where("score > 0"), ["l_id"])
+        best = _best(score(near).where("score > 0"), ["l_id"])
         if least == rounds[-1]:
             done.append(best)
             break
@@ -165,7 +197,11 @@ def _best_by_name(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
     r_names = right.select(F.col("id").alias("r_id"), "leaf_ID", "r_form", "r_form_bare")
 
     def score(pairs: DataFrame) -> DataFrame:
-        return pairs.join(l_names, "l_id").join(r_names, "r_id").select("l_id", "leaf_ID", _score("l_form", "r_form").alias("score"))
+        named = pairs.join(l_names, "l_id").join(r_names, "r_id")
+        # leaves that look alike to a text score alike, so the lowest stands for all
+        seen = named.select("l_id", "l_form", "l_form_bare", "leaf_ID", *[S.seen_by(F.col(c), F.col("l_form")).alias(c) for c in ("r_form", "r_form_bare")])
+        alike = seen.groupBy("l_id", "l_form", "l_form_bare", "r_form", "r_form_bare").agg(F.min("leaf_ID").alias("leaf_ID"))
+        return _dealt(alike, "l_form", "r_form").select("l_id", "leaf_ID", _score("l_form", "r_form").alias("score"))
 
     best = best_leaves(_sets(left, "l_form"), _sets(right, "r_form"), score)
     return left.select(F.col("id").alias("l_id"), "domain", text).join(best, "l_id").drop("l_id")
@@ -209,18 +245,16 @@ def match_leaves(norms: DataFrame, leaves: DataFrame, held: DataFrame, accepted:
 
 def match_leaves_with_parent(norms: DataFrame, leaves: DataFrame, held: DataFrame) -> DataFrame:
     """As ``match_leaves``, also scoring the parent's name and parent plus name against the leaf's name."""
-    keys = ["domain", "norm_Name", "parent"]
-    named = norms.withColumn("parent", A.clean_name(F.col("parent_name")))
-    texts = named.select(*keys).distinct()
+    keys = ["domain", "norm_Name", "parent_name"]
+    named = norms.withColumn("parent_name", F.coalesce("parent_name", F.lit("")))
+    texts = settle(named.select(*keys).distinct().withColumn("parent", A.clean_name(F.col("parent_name"))))
     joint = texts.filter(F.col("parent") != "").withColumn("joint", F.concat_ws(" ", "parent", "norm_Name"))
-    own = leaf_names(leaves)
     # the best leaf of each text alone is all the final choice needs
     of_name = _best_by_name(texts, "norm_Name", leaf_names(leaves, held))
-    of_parent = _best_by_name(joint, "parent", own)
-    of_joint = _best_by_name(joint, "joint", own)
+    above = joint.select(*keys, F.explode(F.array("parent", "joint")).alias("text"))
+    of_above = _best_by_name(above, "text", leaf_names(leaves))
     offers = (texts.join(of_name, ["domain", "norm_Name"]).select(*keys, "leaf_ID", "score")
-              .unionByName(joint.join(of_parent, ["domain", "parent"]).select(*keys, "leaf_ID", "score"))
-              .unionByName(joint.join(of_joint, ["domain", "joint"]).select(*keys, "leaf_ID", "score")))
+              .unionByName(above.join(of_above, ["domain", "text"]).select(*keys, "leaf_ID", "score")))
     return _placed(named, _best(offers, keys), keys, leaves).select("norm_ID", "domain", "leaf_ID", "score")
 
 

@@ -17,10 +17,12 @@ Keys = Callable[[Column], Column]
 
 def characters(text: Column) -> Column:
     """The characters of a text, each with the number of the same before it, so that what two such sets share is what two texts share."""
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
+    whole = F.coalesce(text, F.lit(""))
+    chars = F.filter(F.split(whole, ""), lambda c: c != "")
 
     def nth(c: Column, i: Column) -> Column:
-        return F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).cast("string"))
+        before = F.substr(whole, F.lit(1), i)
+        return F.concat(c, (F.length(before) - F.length(F.replace(before, c, F.lit("")))).cast("string"))
 
     return F.transform(chars, nth)
 
@@ -41,13 +43,25 @@ def numbered_tokens(*sides: DataFrame) -> list[DataFrame]:
     return out
 
 
+def common_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(token, number) of the tokens that both sides hold, the rarest having the lowest number; the others bring no texts together."""
+    counts = [s.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias(n)) for s, n in ((left, "_l"), (right, "_r"))]
+    both = counts[0].join(counts[1], "token").select("token", (F.col("_l") + F.col("_r")).alias("n"))
+    return numbered(both, [F.col("n"), F.col("token")], "number").select("token", F.col("number").cast("int").alias("number"))
+
+
+def _sized(side: DataFrame, p: str) -> DataFrame:
+    """The side with the sizes of its sets, where tokens that the other side lacks are left out and counted before."""
+    return side if f"{p}_n" in side.columns else side.withColumn(f"{p}_n", F.size(f"{p}_tokens"))
+
+
 def _postings(side: DataFrame, p: str, keys: Keys, width: int) -> DataFrame:
     """A row for each key: one or two of the foremost tokens, with the number of tokens that the key and what is behind it hold."""
-    n = F.size(f"{p}_tokens")
-    own = side.withColumn(f"{p}_n", n)
-    first = F.slice(f"{p}_tokens", F.lit(1), F.greatest(keys(n), F.lit(0)).cast("int"))
+    own, n = _sized(side, p), F.size(f"{p}_tokens")
+    # tokens that are left out are never among the shared ones
+    first = F.slice(f"{p}_tokens", F.lit(1), F.greatest(keys(F.col(f"{p}_n")) - F.col(f"{p}_n") + n, F.lit(0)).cast("int"))
     if width == 1:
-        return own.select("*", F.posexplode(first).alias("_at", "token")).withColumn(f"{p}_left", F.col(f"{p}_n") - F.col("_at")).drop("_at")
+        return own.select("*", F.posexplode(first).alias("_at", "token")).withColumn(f"{p}_left", n - F.col("_at")).drop("_at")
     twos = F.flatten(F.transform(first, lambda x, i: F.transform(
         F.slice(first, i + 2, F.size(first)), lambda y, j: F.struct((n - i - j).alias("left"), (F.shiftleft(x.cast("long"), 32) + y).alias("token")))))
     return own.select("*", F.explode(twos).alias("_key")).select("*", F.col("_key.left").alias(f"{p}_left"), F.col("_key.token").alias("token")).drop("_key")
@@ -61,6 +75,7 @@ def meet(left: DataFrame, right: DataFrame, by: Sequence[str], l_keys: Keys, r_k
     shared token must be one on both sides.  A pair appears once, at that token.  With a ``width`` of 2 the keys are two tokens each, and the first two shared
     ones must be among the foremost on both sides.  Each posting bounds what the pair can share by
     what is left behind it, so most pairs end before their tokens are compared.  Numbers alone take part, no texts.
+    Sides may leave out tokens that the other lacks, if l_n and r_n count them.
     A key whose postings make too many pairs is split: one side's postings are dealt out, the other's are repeated.
     """
     l, r = _postings(left, "l", l_keys, width), _postings(right, "r", r_keys, width)
@@ -92,10 +107,11 @@ def contained(left: DataFrame, right: DataFrame, by: Sequence[str], share: float
     Where two tokens must be shared, sets of at most ``SHORT`` meet at keys of two, so a frequent token alone brings none together.
     """
     every: Keys = lambda n: n
+    left, right = _sized(left, "l"), _sized(right, "r")
 
     def met(l: DataFrame, r: DataFrame, width: int) -> DataFrame:
         some: Keys = lambda n: behind(F.greatest(F.lit(least), F.ceil(n * share - 1e-9)), n) + (width - 1)
-        l_size, r_size = F.size("l_tokens"), F.size("r_tokens")
+        l_size, r_size = F.col("l_n"), F.col("r_n")
         l_short, r_short = (l, r) if least < 2 else (l.where(l_size <= SHORT), r.where(r_size <= SHORT)) if width == 2 else (l.where(l_size > SHORT), r.where(r_size > SHORT))
         extra = l_size <= r_size
         small_left = meet(l, r_short, by, some, every, enough, extra if also is None else extra & also, width)

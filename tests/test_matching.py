@@ -142,3 +142,33 @@ def test_frequent_tokens_alone_bring_no_short_texts_together(spark, monkeypatch)
     # in either direction texts of few tokens are only compared where two of them are the same
     long = sum(n for (a, b), n in shared.items() if a % 40 == 0 or b % 40 == 0)
     assert sum(tried) <= 2 * long + 2 * sum(n * (n - 1) // 2 for n in shared.values())
+
+
+def test_a_text_is_compared_once_with_leaves_that_look_alike_to_it(spark, monkeypatch):
+    # the leaves' numbers hold no sign of the norm's name
+    compared = spark.sparkContext.accumulator(0)
+    plain = M._score
+
+    @F.udf("boolean")
+    def counted(_):
+        compared.add(1)
+        return True
+
+    monkeypatch.setattr(M, "_score", lambda a, b: F.when(counted.asNondeterministic()(F.col(b)), plain(a, b)))
+    leaves = spark.createDataFrame([(1, 1000 + k, f"砖墙 {k:04d}") for k in range(300)], "domain long, leaf_ID long, leaf_name string")
+    norms = spark.createDataFrame([(1, 1, "砖墙砌体", "砖墙")], "norm_ID long, domain long, norm_Name string, parent_name string")
+    held = spark.createDataFrame([], "chap_ID long, norm_Name string")
+    assert [r["leaf_ID"] for r in M.match_leaves_with_parent(norms, leaves, held).collect()] == [1000]
+    assert 0 < compared.value < 50
+
+
+def test_hidden_signs_keep_every_score(spark):
+    dice = random.Random(5)
+    texts = ["".join(dice.choice("ab一、土(1)" + S.HIDDEN * (k % 3 == 0)) for _ in range(dice.randint(0, 9))) + "一、" * (k % 2) for k in range(60)]
+    long = ["".join(dice.choice("abcdxyz0123456789") for _ in range(230)) for _ in range(4)]
+    a = M._forms(spark.createDataFrame([(x,) for x in [*texts, *long, "xab1", "桩3"]], "a string"), "a", "l")
+    b = M._forms(spark.createDataFrame([(x + y,) for x in texts[:30] for y in ("", "zq7桩")] + [(x,) for x in long], "b string"), "b", "r")
+    both = a.crossJoin(b).withColumn("plain", M._score("l", "r"))
+    hidden = both.withColumns({c: S.seen_by(F.col(c), F.col("l")) for c in ("r", "r_bare")}).withColumn("seen", M._score("l", "r"))
+    assert hidden.where("plain <> seen or plain is null").count() == 0
+    assert hidden.select("l", "r").distinct().count() < both.select("l", "r").distinct().count()
