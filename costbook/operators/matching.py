@@ -280,8 +280,13 @@ def match_chapters(chapters: DataFrame, leaves: DataFrame) -> DataFrame:
     def score(pairs: DataFrame) -> DataFrame:
         both = pairs.join(l_names, "l_id").join(r_names, "r_id")
         fit = both.where((F.size("cats") == 0) | (F.size("leaf_cats") == 0) | A.compatible(F.col("cats"), F.col("leaf_cats")))
-        raw = fit.select("l_id", "leaf_ID", "parent_name", F.size(F.array_intersect("cats", "leaf_cats")).alias("shared"), _score("n_form", "r_form").alias("by_name"),
-                         _score("p_form", "r_form").alias("by_parent"), _score("j_form", "r_form").alias("by_joint"))
+        # leaves that look alike to a text and share as many categories with it score alike, so the lowest stands for all
+        forms, signs = [f"{c}{b}" for c in ("n_form", "p_form", "j_form") for b in ("", "_bare")], F.concat("n_form", "p_form", "j_form")
+        seen = fit.select("l_id", "leaf_ID", "parent_name", F.size(F.array_intersect("cats", "leaf_cats")).alias("shared"), *forms,
+                          *[S.seen_by(F.col(c), signs).alias(c) for c in ("r_form", "r_form_bare")])
+        alike = seen.groupBy("l_id", "parent_name", "shared", *forms, "r_form", "r_form_bare").agg(F.min("leaf_ID").alias("leaf_ID"))
+        raw = _dealt(alike, "j_form", "r_form").select("l_id", "leaf_ID", "parent_name", "shared", _score("n_form", "r_form").alias("by_name"),
+                                                       _score("p_form", "r_form").alias("by_parent"), _score("j_form", "r_form").alias("by_joint"))
         lifted = F.when(F.col("shared") > 0, F.least(F.col("by_name") + LIFT * F.col("shared"), F.lit(1.0))).otherwise(F.col("by_name"))
         of_parent = F.when(F.col("parent_name") != "", F.greatest("by_parent", "by_joint")).otherwise(0.0)
         return raw.select("l_id", "leaf_ID", F.greatest(lifted, of_parent).alias("score"))

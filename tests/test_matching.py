@@ -160,6 +160,10 @@ def test_a_text_is_compared_once_with_leaves_that_look_alike_to_it(spark, monkey
     held = spark.createDataFrame([], "chap_ID long, norm_Name string")
     assert [r["leaf_ID"] for r in M.match_leaves_with_parent(norms, leaves, held).collect()] == [1000]
     assert 0 < compared.value < 50
+    compared.value = 0
+    chapters = spark.createDataFrame([(1, "砖墙砌体", "砖墙", 1)], "chap_ID long, name string, parent_name string, domain long")
+    assert [r["leaf_ID"] for r in M.match_chapters(chapters, leaves).collect()] == [1000]
+    assert 0 < compared.value < 50
 
 
 def test_hidden_signs_keep_every_score(spark):
