@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costbook.functions import labels as L
 from costbook.functions.text import join_spec, mix_name, nrm_prefix, strip_ordinals, unit_bridge
 from costbook.operators.hierarchy import closure, natural_order
-from costbook.operators.ordered import chunk_of, numbered, scan
+from costbook.operators.ordered import chunk_of, numbered, numbered_by_key, scan
 from costbook.operators.pricing import cost_columns
 from costbook.session import shuffled
 
@@ -110,36 +110,42 @@ def detail_rows(norms: DataFrame, lines: DataFrame, costs: DataFrame, items: Dat
     base = [F.col("chap_ID"), F.lit(0).alias("part"), F.col("norm_SortID").alias("ord"), F.col("norm_Code").alias("code")]
     with_cost = norms.join(costs, "norm_ID", "left")
     sums = F.coalesce("man", F.lit(0.0)) + F.coalesce("mat", F.lit(0.0)) + F.coalesce("mach", F.lit(0.0))
-    name = with_cost.select(
-        *base, F.lit(NAME).alias("kind"), F.lit(0).alias("sub"), F.col("norm_Name").alias("cost_item"), F.lit("").alias("unit"),
-        F.round(sums + F.coalesce("norm_OtherPrice", F.lit(0.0)), 4).alias("amount"), empty("double").alias("unit_price"),
-        F.lit("").alias("label"), F.lit(False).alias("unpriced"))
     resource = norms.join(lines, "norm_ID").select(
         *base, F.lit(RESOURCE).alias("kind"), F.lit(0).alias("sub"), join_spec(F.col("cons_Name"), F.col("cons_Standard")).alias("cost_item"),
         F.coalesce("cons_Units", F.lit("")).alias("unit"), F.round(F.coalesce("cont_Amount", F.lit(0.0)), 6).alias("amount"),
         shown_price(F.col("price")).alias("unit_price"), L.label(F.col("cons_Style"), L.CLASSES).alias("label"),
         F.col("price").isNull().alias("unpriced"))
-    triples = F.array(*[F.struct(F.lit(i).alias("sub"), F.lit(t).alias("cost_item"), F.col(c).alias("amount"))
-                        for i, (t, c) in enumerate((("人工费", "man"), ("材料费", "mat"), ("机械费", "mach")))])
-    cost = with_cost.select("*", F.explode(triples).alias("x")).filter(F.col("x.amount") != 0).select(
-        *base, F.lit(COST).alias("kind"), "x.sub", "x.cost_item", F.lit("元").alias("unit"), F.round("x.amount", 4).alias("amount"),
-        empty("double").alias("unit_price"), F.lit("").alias("label"), F.lit(False).alias("unpriced"))
+    # a norm's name and its three sums come from one pass
+    own = [(NAME, 0, F.col("norm_Name"), "", F.round(sums + F.coalesce("norm_OtherPrice", F.lit(0.0)), 4), F.lit(True))]
+    own += [(COST, i, F.lit(t), "元", F.round(c, 4), F.coalesce(F.col(c) != 0, F.lit(False))) for i, (t, c) in enumerate((("人工费", "man"), ("材料费", "mat"), ("机械费", "mach")))]
+    parts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(sub).alias("sub"), item.alias("cost_item"), F.lit(unit).alias("unit"), amount.alias("amount"), shown.alias("shown"))
+                      for kind, sub, item, unit, amount, shown in own])
+    of_norm = with_cost.select(*base, F.explode(F.filter(parts, lambda x: x["shown"])).alias("x")).select(
+        "chap_ID", "part", "ord", "code", "x.kind", "x.sub", "x.cost_item", "x.unit", "x.amount", empty("double").alias("unit_price"), F.lit("").alias("label"), F.lit(False).alias("unpriced"))
     texts = F.array(*[F.struct(F.lit(i).alias("sub"), F.col(c).alias("cost_item"), F.lit(lb).alias("label"))
                       for i, (c, lb) in enumerate((("name", ""), ("item_feature", "项目特征"), ("work_content", "工作内容"), ("calc_rule", "计算规则")))])
     listed = items.select("*", F.explode(texts).alias("x")).filter((F.col("x.sub") == 0) | (F.coalesce("x.cost_item", F.lit("")) != "")).select(
         "chap_ID", F.lit(1).alias("part"), F.lit(0).cast("long").alias("ord"), "code", F.lit(LISTED).alias("kind"), "x.sub", "x.cost_item",
         F.when(F.col("x.sub") == 0, F.col("unit")).otherwise("").alias("unit"), F.lit(0.0).alias("amount"),
         empty("double").alias("unit_price"), "x.label", F.lit(False).alias("unpriced"))
-    return name.unionByName(resource).unionByName(cost).unionByName(listed)
+    return of_norm.unionByName(resource).unionByName(listed)
 
 
 def detail_order() -> list[Column]:
     return [F.col(c) for c in ("part", "ord", "code", "kind", "sub", "cost_item", "unit", "amount", "unit_price", "label", "unpriced")]
 
 
-def sort_rows(rows: DataFrame) -> DataFrame:
-    """Running number of the rows of each chapter."""
-    return numbered(rows, detail_order(), "sort_order", ["chap_ID"])
+def detail_sizes(norms: DataFrame, content: DataFrame, items: DataFrame) -> DataFrame:
+    """(chap_ID, n): at least the detail rows of each chapter, counted without prices and resources."""
+    held = norms.join(content.groupBy("norm_ID").agg(F.count(F.lit(1)).alias("_lines")), "norm_ID", "left")
+    # a name and three sums, or four texts
+    rows = held.select("chap_ID", (F.coalesce("_lines", F.lit(0)) + 4).alias("n")).unionByName(items.select("chap_ID", F.lit(4).cast("long").alias("n")))
+    return rows.groupBy("chap_ID").agg(F.sum("n").alias("n"))
+
+
+def sort_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Running number of the rows of each chapter; ``sizes`` (chap_ID, n) tells about how many it has."""
+    return numbered_by_key(rows, detail_order(), "sort_order", ["chap_ID"], sizes)
 
 
 def nrm_mapped(nrm: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from costbook.session import settle
 
 CHUNK = 4096
+WHOLE = 1 << 18  # rows of one key that one task may number
 
 
 def chunk_of(position: Column, size: int = CHUNK) -> Column:
@@ -109,6 +110,25 @@ def numbered(df: DataFrame, order: list[Column], name: str, keys: Sequence[str]
     return joined.select((F.col("_at") + F.col("_start") + 1).alias(name), *[c for c in df.columns if c != name])
 
 
+def numbered_by_key(df: DataFrame, order: list[Column], name: str, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """As ``numbered`` with keys, for frames that take long to work out and have few large keys.
+
+    ``sizes`` (keys, n) tells beforehand about how many rows a key has, and decides its way alone.  A key of at most ``WHOLE`` rows is numbered in one task
+    after one exchange; only the rows of larger ones are dealt by ranges, for which they are sampled, written and shuffled again.
+    """
+    large = settle(sizes.where(F.col("n") > WHOLE).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+
+    def within(rows: DataFrame) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+        return rows.select(number.alias(name), *[c for c in df.columns if c != name])
+
+    if large.isEmpty():
+        return within(df)
+    # at most a row for each ``WHOLE`` rows of the frame
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return within(df.join(F.broadcast(large), on, "left_anti")).unionByName(numbered(df.join(F.broadcast(large), on, "left_semi"), order, name, keys))
+
+
 def gap_groups(df: DataFrame, keys: list[str], value: Column, tie: Column, tolerance: float,
                chunk: Column, name: str = "group_no") -> DataFrame:
     """One-dimensional clusters: a new group starts where the step to the value before exceeds the tolerance."""

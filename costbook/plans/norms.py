@@ -199,6 +199,10 @@ def detail(t):
     return N.detail_rows(t.norm.withColumn("norm_SortID", F.col("norm_ID")), own, N.line_costs(own), t.enterprise_item)
 
 
+def detail_sizes(t):
+    return N.detail_sizes(t.norm, t.content, t.enterprise_item)
+
+
 @register("u02_detail_rows", DETAIL + " SELECT * FROM detail")
 def _(t):
     return detail(t)
@@ -207,7 +211,7 @@ def _(t):
 @register("w07_running_sort_order", DETAIL + f"""
 SELECT chap_ID, code, kind, cost_item, amount, row_number() OVER (PARTITION BY chap_ID ORDER BY {ORDER}) AS sort_order FROM detail""")
 def _(t):
-    return N.sort_rows(detail(t)).select("chap_ID", "code", "kind", "cost_item", "amount", "sort_order")
+    return N.sort_rows(detail(t), detail_sizes(t)).select("chap_ID", "code", "kind", "cost_item", "amount", "sort_order")
 
 
 @register("e09_items", DETAIL + f"""
@@ -215,7 +219,7 @@ SELECT *, row_number() OVER (PARTITION BY chap_ID ORDER BY {ORDER}) AS sort_orde
 WHERE chap_ID IN (SELECT chap_ID FROM chapter WHERE chap_code LIKE '02.%')""")
 def _(t):
     wanted = t.chapter.filter(F.col("chap_code").startswith("02.")).select("chap_ID")
-    return N.sort_rows(detail(t).join(wanted, "chap_ID", "left_semi"))
+    return N.sort_rows(detail(t).join(wanted, "chap_ID", "left_semi"), detail_sizes(t).join(wanted, "chap_ID", "left_semi"))
 
 
 @register("x01_join_spec", "SELECT vol, cons_ID, concat(trim(cons_Name), ' ', trim(cons_Standard)) AS shown FROM consumption")

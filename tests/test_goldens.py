@@ -86,6 +86,30 @@ def test_numbering_by_ranges(spark):
     assert O.numbered(df.limit(0), [F.col("i")], "no").count() == 0
 
 
+def test_numbering_by_key(spark, monkeypatch):
+    monkeypatch.setattr(O, "WHOLE", 9)
+    worked_out = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def dear(i):
+        worked_out.add(1)
+        return i
+
+    # the null key and key 2 are numbered whole, 0 and 1 are dealt by ranges; key 3 is larger than told
+    key = lambda i: None if i < 5 else 2 if i < 10 else 3 if i < 30 else i % 2
+    df = spark.createDataFrame([(i, key(i)) for i in range(80)], "i long, g long").repartition(4)
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col("g") == 3, 9).otherwise(F.col("n")))
+    out = O.numbered_by_key(df, [F.col("i").desc()], "no", ["g"], sizes)
+    assert out.columns == ["no", "i", "g"] and dict(out.dtypes)["no"] == "bigint"
+    got = {r.i: r.no for r in out.collect()}
+    assert got == {i: sum(j >= i for j in range(80) if key(j) == key(i)) for i in range(80)}
+    # where no key is large the rows are worked out once
+    rows = df.select(dear.asNondeterministic()("i").alias("i"), "g")
+    got = {r.i: r.no for r in O.numbered_by_key(rows, [F.col("i").desc()], "no", ["g"], sizes.withColumn("n", F.lit(9))).collect()}
+    assert got == {i: sum(j >= i for j in range(80) if key(j) == key(i)) for i in range(80)}
+    assert worked_out.value == 80
+
+
 def test_chains_split_and_depth(spark):
     chapters = spark.createDataFrame([(1, 0, "r", "01"), (2, 1, "s", "01.01"), (3, 2, "t", "01.01.01"), (4, 9, "lost", "x")], "chap_ID long, chap_PID long, chap_Name string, chap_code string")
     got = {r.chap_ID: (r.path, r.chapter, r.section, r.subsection) for r in H.chapter_paths(chapters).select("chap_ID", "path", *H.split_levels(F.col("names"))).collect()}

@@ -32,3 +32,9 @@ def test_plan_shape(spark, name):
         assert not re.search(r"Join (Inner|Cross)(?!,)\s*$", plan, re.M) and "Join Cross" not in plan
     for spec in re.findall(r"windowspecdefinition\(([^,]*),", plan):
         assert not re.search(r"\b(ASC|DESC)\b", spec), spec
+
+
+def test_detail_rows_are_numbered_as_they_are_worked_out(spark):
+    # no chapter is large, so nothing is sampled, written and read again
+    plan = plan_of(spark, "w07_running_sort_order")
+    assert "Window" in plan and "LogicalRDD" not in plan and "RepartitionByExpression" not in plan
