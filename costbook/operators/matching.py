@@ -19,7 +19,7 @@ from costbook.functions import similarity as S
 from costbook.operators import postings as P
 from costbook.operators.coverage import gap_ranking
 from costbook.operators.provenance import top_per_key
-from costbook.session import settle
+from costbook.session import settle, stored
 
 ROUGH = 40
 MIN_SCORE = 0.34
@@ -39,26 +39,73 @@ def _rough(n: Column, m: Column, shared: Column) -> Column:
     return F.when(shared < 2, F.lit(0.0)).otherwise(F.greatest(shared / (n + m - shared), shared / F.least(n, m) * 0.7))
 
 
+def _sides(targets: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Targets (l_id, l_n, l_signs) and quote texts (r_id, r_n, r_signs, quotes) as code points."""
+    l = targets.select(F.col("id").alias("l_id"), F.size("tokens").alias("l_n"), P.codes(F.col("tokens")).alias("l_signs"))
+    r = quotes.select(F.col("id").alias("r_id"), F.size("tokens").alias("r_n"), P.codes(F.col("tokens")).alias("r_signs"), "quotes")
+    return l.where(F.col("l_n") >= 2), r.where(F.col("r_n") >= 2)
+
+
+def _foremost(pairs: DataFrame, rough: int) -> DataFrame:
+    """The ``rough`` best quote texts of each target; equal scores go to the text with the lower quote id."""
+    return top_per_key(pairs, ["l_id"], [F.col("rough").desc(), F.col("r_id")], rough, "_p").drop("_p")
+
+
+def short_pairs(targets: DataFrame, quotes: DataFrame, rough: int) -> DataFrame:
+    """As ``leading_pairs`` for texts of 2 to ``SHORT`` signs, each target's ``rough`` best.
+
+    Texts meet at each three signs that they share, which rarely are many, and their number tells how many signs they share.  Where exactly two signs are
+    shared the sizes tell the score, so of all quote texts of one size that hold two signs only the ``rough`` first can count: those share two signs at least.
+    """
+    l, r = _sides(targets, quotes)
+    l, r = l.where(F.col("l_n") <= P.SHORT), r.where(F.col("r_n") <= P.SHORT)
+    n, m = F.col("l_n"), F.col("r_n")
+
+    # the targets' keys are far fewer, so the quotes' need no sort
+    met = P.choices(r, "r_signs", 3).join(P.choices(l, "l_signs", 3).hint("shuffle_hash"), "key").select("l_id", "r_id", "l_n", "r_n", "quotes")
+    times = met.repartition("l_id").groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))
+    # s signs make s * (s - 1) * (s - 2) / 6 threes
+    shared = F.round(F.cbrt(6 * F.col("times")) + 1)
+    of_three = stored(_foremost(times.select("l_id", "r_id", _rough(n, m, shared).alias("rough"), "quotes"), rough), "pairs")
+    lowest = of_three.groupBy("l_id").agg(F.when(F.count(F.lit(1)) >= rough, F.min("rough")).otherwise(0.0).alias("least"))
+    sizes = F.array(*[F.lit(x["r_n"]) for x in r.select("r_n").distinct().collect()]).cast("array<int>")  # at most ``SHORT`` of them
+    of_two = lambda size: _rough(n, size, F.lit(2))
+    asked = l.join(lowest, "l_id", "left").select(
+        "l_id", "l_n", "l_signs", F.explode(F.filter(sizes, lambda size: of_two(size) >= F.coalesce("least", F.lit(0.0)) - 1e-9)).alias("r_n"))
+    first = top_per_key(P.choices(r, "r_signs", 2), ["key", "r_n"], [F.col("r_id")], rough, "_k").drop("_k")
+    more = first.join(P.choices(asked, "l_signs", 2), ["key", "r_n"]).select("l_id", "r_id", of_two(m).alias("rough"), "quotes")
+    # some of these share more signs, then the better score is the true one
+    both = of_three.unionByName(more).repartition("l_id").groupBy("l_id", "r_id", "quotes").agg(F.max("rough").alias("rough"))
+    return _foremost(both, rough)
+
+
 def leading_pairs(targets: DataFrame, quotes: DataFrame, rough: int, rounds: Sequence[float] = ROUGH_ROUNDS) -> DataFrame:
-    """(l_id, r_id, rough, lowest, quotes) of target and quote texts, for each target at least those that hold its ``rough`` best quotes.
+    """(l_id, r_id, rough, quotes) of target and quote texts, for each target at least those that hold its ``rough`` best quotes.
 
-    ``targets`` (id, tokens), ``quotes`` (id, tokens, lowest, quotes), where quotes counts the quotes of a text.
+    ``targets`` (id, tokens), ``quotes`` (id, tokens, quotes), where quotes counts the quotes of a text (enough: up to ``rough``) and ids ascend with the texts' lowest quote ids.
     """
-    t_side, q_side = P.numbered_tokens(targets.select("id", "tokens"), quotes.select("id", "tokens", "lowest", "quotes"))
+    found = short_pairs(targets, quotes, rough)
+    lengthy = [not side.where(F.size("tokens") > P.SHORT).isEmpty() for side in (targets, quotes)]
+    if not any(lengthy):
+        return found
+    # pairs with a longer text, in rounds
+    found = stored(found, "pairs")
+    t_side, q_side = P.numbered_tokens(targets.select("id", "tokens"), quotes.select("id", "tokens", "quotes"))
     open_ = t_side.select(F.col("id").alias("l_id"), F.col("tokens").alias("l_tokens"))
-    right = q_side.select(F.col("id").alias("r_id"), F.col("tokens").alias("r_tokens"), "lowest", "quotes")
-    done = []
+    right = q_side.select(F.col("id").alias("r_id"), F.col("tokens").alias("r_tokens"), "quotes")
+    done = [found]
     for least in rounds:
         # a prefilter of ``least`` needs this share of the smaller text's characters
         share = min(least / 0.7, 2 * least / (1 + least))
         enough = lambda n, m, s, least=least: (s >= 2) & (_rough(n, m, s) >= least - 1e-9)
-        met = P.contained(open_, right, [], share, 2, enough)
-        pairs = met.select("l_id", "r_id", _rough(F.col("l_n"), F.col("r_n"), F.col("shared")).alias("rough"), "lowest", "quotes")
+        met = P.contained(open_, right, [], share, 2, enough, short=False)
+        pairs = met.select("l_id", "r_id", _rough(F.col("l_n"), F.col("r_n"), F.col("shared")).alias("rough"), "quotes")
         if least == rounds[-1]:
             done.append(pairs)
             break
         pairs = settle(pairs)
-        full = pairs.groupBy("l_id").agg(F.sum("quotes").alias("n")).where(F.col("n") >= rough).select("l_id")
+        known = pairs.unionByName(found.where(F.col("rough") >= least))
+        full = known.groupBy("l_id").agg(F.sum("quotes").alias("n")).where(F.col("n") >= rough).select("l_id")
         done.append(pairs.join(full, "l_id", "left_semi"))
         open_ = settle(open_.join(full, "l_id", "left_anti"))
         if open_.isEmpty():
@@ -74,28 +121,29 @@ def match_gaps(gaps: DataFrame, quotes: DataFrame, n: int = 6, rough: int = ROUG
     squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
     g = gaps.select("res_ID", squeeze("name").alias("t_text"), F.trim(F.coalesce("unit", F.lit(""))).alias("t_unit"))
     q = quotes.select("quote_ID", squeeze("name").alias("q_text"), F.trim(F.coalesce("unit", F.lit(""))).alias("q_unit"))
-    t_texts = _with_id(g.select("t_text").distinct())
-    q_texts = _with_id(q.groupBy("q_text").agg(F.min("quote_ID").alias("lowest"), F.count(F.lit(1)).alias("quotes")))
-    pairs = leading_pairs(t_texts.withColumn("tokens", S.norm_chars(F.col("t_text"))), q_texts.withColumn("tokens", S.norm_chars(F.col("q_text"))), rough)
+    t_texts = stored(g.groupBy("t_text").agg(F.collect_set("t_unit").alias("t_units")).withColumn("id", F.monotonically_increasing_id()), "targets")
+    # a text's first quotes are all its ranking can use, so hot texts stay bounded
+    first = top_per_key(q, ["q_text"], [F.col("quote_ID")], rough, "_q").groupBy("q_text").agg(F.sort_array(F.collect_list(F.struct("quote_ID", "q_unit"))).alias("first"))
+    lowest = F.col("first")[0]["quote_ID"]
+    ordered = first.repartitionByRange(lowest, F.col("q_text")).sortWithinPartitions(lowest, F.col("q_text"))
+    q_texts = stored(ordered.withColumn("id", F.monotonically_increasing_id()).withColumn("quotes", F.size("first")), "quotes")
+    pairs = leading_pairs(t_texts.select("id", S.norm_chars(F.col("t_text")).alias("tokens")), q_texts.select("id", S.norm_chars(F.col("q_text")).alias("tokens"), "quotes"), rough)
     # the rough best quotes come from the texts that lead by score, then by their lowest quote id
-    leading = top_per_key(pairs, ["l_id"], [F.col("rough").desc(), F.col("lowest")], rough, "_p")
+    leading = _foremost(pairs, rough)
     # of these at most ``rough`` texts, those behind enough better-scored quotes add none
     better = Window.partitionBy("l_id").orderBy(F.col("rough").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tied = Window.partitionBy("l_id", "rough")
     needed = leading.withColumn("_ahead", F.sum("quotes").over(better) - F.sum("quotes").over(tied)).filter(F.col("_ahead") < rough)
     # only now the texts themselves are fetched
-    named = needed.join(t_texts.withColumnRenamed("id", "l_id"), "l_id").join(q_texts.select(F.col("id").alias("r_id"), "q_text"), "r_id")
-    rated = named.select("t_text", "q_text", "rough", S.sequence_ratio(F.col("t_text"), F.col("q_text")).alias("ratio"))
-    # a text's first quotes are all its ranking can use, so hot texts stay bounded
-    first = top_per_key(q, ["q_text"], [F.col("quote_ID")], rough, "_q")
-    offers = top_per_key(rated.join(first, "q_text"), ["t_text"], [F.col("rough").desc(), F.col("quote_ID")], rough, "_r")
+    named = needed.select("l_id", "r_id", "rough").join(q_texts.select(F.col("id").alias("r_id"), "q_text", "first"), "r_id")
+    offers = top_per_key(named.select("l_id", "rough", "q_text", F.inline("first")), ["l_id"], [F.col("rough").desc(), F.col("quote_ID")], rough, "_r")
+    rated = offers.join(t_texts.withColumnRenamed("id", "l_id"), "l_id").withColumn("ratio", S.sequence_ratio(F.col("t_text"), F.col("q_text")))
     same = (F.col("t_unit") != "") & (F.col("t_unit") == F.col("q_unit"))
     score = F.round(F.least(F.lit(1.0), F.col("ratio") + F.when(same, S.UNIT_BONUS).otherwise(0.0)), 3)
-    units = g.select("t_text", "t_unit").distinct()
-    scored = offers.join(units, "t_text").select("t_text", "t_unit", "quote_ID", "rough", score.alias("score"), same.alias("same_unit")).filter(
-        F.col("score") >= min_score)
+    scored = rated.select("*", F.explode("t_units").alias("t_unit")).select(
+        "l_id", "t_text", "t_unit", "quote_ID", "rough", score.alias("score"), same.alias("same_unit")).filter(F.col("score") >= min_score)
     # ranked once per distinct text and unit, then handed to every resource of that name
-    best = top_per_key(scored, ["t_text", "t_unit"], [F.col("score").desc(), F.col("same_unit").desc(), F.col("rough").desc(), F.col("quote_ID")], n)
+    best = top_per_key(scored, ["l_id", "t_unit"], [F.col("score").desc(), F.col("same_unit").desc(), F.col("rough").desc(), F.col("quote_ID")], n)
     return g.join(best, ["t_text", "t_unit"]).select("res_ID", "quote_ID", "score", "same_unit", "rank")
 
 

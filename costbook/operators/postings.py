@@ -12,6 +12,7 @@ from costbook.session import settle
 
 PAIRS = 1 << 20  # pairs of postings of one key that one task should see
 SHORT = 12  # texts of so many tokens, which make at most 66 keys of two
+SIGN_BITS = 21  # a sign's code point takes at most so many bits
 Keys = Callable[[Column], Column]
 
 
@@ -27,6 +28,23 @@ def characters(text: Column) -> Column:
     return F.transform(chars, nth)
 
 
+def codes(signs: Column) -> Column:
+    """Distinct signs as ascending code points."""
+    return F.sort_array(F.transform(signs, lambda c: F.ascii(c).cast("long")))
+
+
+def choices(side: DataFrame, points: str, size: int) -> DataFrame:
+    """A row for each choice of ``size`` (at most 3) of a text's code points, as one number ``key`` in place of ``points``."""
+    keep = [c for c in side.columns if c != points]
+    out = side.select("*", F.lit(0).cast("long").alias("key"), F.lit(1).alias("_from"))
+    # sign by sign, as nested lambdas over arrays take many times as long
+    for _ in range(size):
+        rest = F.posexplode(F.slice(points, F.col("_from"), F.size(points)))
+        out = out.select("*", rest.alias("_at", "_sign")).select(
+            *keep, points, (F.shiftleft("key", SIGN_BITS) + F.col("_sign")).alias("key"), (F.col("_from") + F.col("_at") + 1).alias("_from"))
+    return out.select(*keep, "key")
+
+
 def numbered_tokens(*sides: DataFrame) -> list[DataFrame]:
     """The sides (id, tokens of strings, more) with their tokens as ascending numbers, the rarest token having the lowest one."""
     exploded = [s.select("id", F.explode("tokens").alias("token")) for s in sides]
@@ -101,10 +119,12 @@ def behind(least: Column, n: Column) -> Column:
     return n - least + 1
 
 
-def contained(left: DataFrame, right: DataFrame, by: Sequence[str], share: float, least: int, enough: Callable[[Column, Column, Column], Column], also: Column | None = None) -> DataFrame:
+def contained(left: DataFrame, right: DataFrame, by: Sequence[str], share: float, least: int, enough: Callable[[Column, Column, Column], Column], also: Column | None = None,
+              short: bool = True) -> DataFrame:
     """Pairs that share at least ``share`` of the smaller set and ``least`` tokens: the smaller one's foremost tokens meet any of the larger one's.
 
-    Where two tokens must be shared, sets of at most ``SHORT`` meet at keys of two, so a frequent token alone brings none together.
+    Where two tokens must be shared, sets of at most ``SHORT`` meet at keys of two, so a frequent token alone brings none together;
+    without ``short`` pairs of such sets are left out.
     """
     every: Keys = lambda n: n
     left, right = _sized(left, "l"), _sized(right, "r")
@@ -119,7 +139,7 @@ def contained(left: DataFrame, right: DataFrame, by: Sequence[str], share: float
         return small_left.unionByName(meet(l_short, r, by, every, some, enough, extra if also is None else extra & also, width))
 
     # the larger set's size tells how a pair meets
-    return met(left, right, 1) if least < 2 else met(left, right, 1).unionByName(met(left, right, 2))
+    return met(left, right, 1) if least < 2 or not short else met(left, right, 1).unionByName(met(left, right, 2))
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], ratio: Column | float, also: Column | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fuzzy matching against all pairs, with and without hot tokens that are split."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,22 @@ def test_hidden_signs_keep_every_score(spark):
     hidden = both.withColumns({c: S.seen_by(F.col(c), F.col("l")) for c in ("r", "r_bare")}).withColumn("seen", M._score("l", "r"))
     assert hidden.where("plain <> seen or plain is null").count() == 0
     assert hidden.select("l", "r").distinct().count() < both.select("l", "r").distinct().count()
+
+
+def test_choices_of_signs(spark):
+    sides = spark.createDataFrame([(1, list("dbca")), (2, list("zy")), (3, list("電a\U0001F600b1"))], "id long, signs array<string>")
+    for size in (2, 3):
+        got = P.choices(sides.select("id", P.codes(F.col("signs")).alias("points")), "points", size).collect()
+        want = [(id_, sum(ord(c) << 21 * (size - 1 - k) for k, c in enumerate(some))) for id_, signs in ((1, "dbca"), (2, "zy"), (3, "電a\U0001F600b1"))
+                for some in combinations(sorted(signs), size)]
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_frequent_signs_leave_as_many_pairs_as_can_count(spark):
+    # all quotes share two signs with the targets, a few share three: no target meets more than ``rough`` of them
+    signs = lambda k: ["a", "b", "c"] if k % 50 == 0 else ["a", "b", chr(0x4E00 + k)]
+    quotes = spark.createDataFrame([(k, signs(k), k, 1) for k in range(1, 301)], "id long, tokens array<string>, lowest long, quotes int")
+    targets = spark.createDataFrame([(k, ["a", "b", "c", chr(0x3041 + k)]) for k in range(3)], "id long, tokens array<string>")
+    got = sorted((r["l_id"], -r["rough"], r["r_id"]) for r in M.leading_pairs(targets, quotes, 8).select("l_id", "rough", "r_id").collect())
+    three, two = max(3 / 4, 0.7), max(2 / 5, 2 / 3 * 0.7)
+    assert got == [(k, *x) for k in range(3) for x in [(-three, r) for r in range(50, 301, 50)] + [(-two, r) for r in (1, 2)]]
