@@ -14,7 +14,7 @@ from costbook.functions.text import join_spec
 from costbook.operators.blocks import pack
 from costbook.operators.ordered import numbered
 from costbook.operators.pricing import latest_price_row, overlay_anchor, price_split
-from costbook.session import settle, shuffled
+from costbook.session import settle, shuffled, stored
 
 BLOCK_COLUMNS = 55
 UNPRICED = "本包未定价"  # fixed value: the note on a resource that the pack has no price for
@@ -39,15 +39,18 @@ def resolve_picks(picks: DataFrame, norms: DataFrame) -> tuple[DataFrame, DataFr
     return found, resolved.filter(F.col("norm_ID_found").isNull()).select(*keep)
 
 
+def _named(rows: DataFrame, kind: str) -> tuple[DataFrame, list[Column]]:
+    """Consumption rows that have a name, and their name, unit, class and label."""
+    named = rows.withColumn("name", join_spec(F.col("cons_Name"), F.col("cons_Standard"))).filter(F.col("name") != "")
+    unit = F.trim(F.coalesce("cons_Units", F.lit("")))
+    return named, [F.col("name"), unit.alias("unit"), classify_resource(F.col("cons_Style"), F.col(kind), F.col("name")).alias("cls"),
+                   F.when(unit != "", F.concat_ws("\n", "name", unit)).otherwise(F.col("name")).alias("label")]
+
+
 def resource_lines(content: DataFrame, consumption: DataFrame, on: list[str], kind: str = "kind_Code") -> DataFrame:
     """Content lines as labelled, classed resources; lines without a name drop out."""
-    name = join_spec(F.col("cons_Name"), F.col("cons_Standard"))
-    unit = F.trim(F.coalesce("cons_Units", F.lit("")))
-    lines = content.join(shuffled(consumption), on).withColumn("name", name).filter(F.col("name") != "")
-    return lines.select(
-        "norm_ID", "cons_ID", "master_res_ID", "name", unit.alias("unit"), F.coalesce("cont_Amount", F.lit(0.0)).alias("amount"),
-        classify_resource(F.col("cons_Style"), F.col(kind), F.col("name")).alias("cls"),
-        F.when(unit != "", F.concat_ws("\n", "name", unit)).otherwise(F.col("name")).alias("label"))
+    lines, (name, unit, cls, label) = _named(content.join(shuffled(consumption), on), kind)
+    return lines.select("norm_ID", "cons_ID", "master_res_ID", name, unit, F.coalesce("cont_Amount", F.lit(0.0)).alias("amount"), cls, label)
 
 
 def class_rank(cls: Column) -> Column:
@@ -86,10 +89,14 @@ def matrix_block(matrix: DataFrame, labels: list[str]) -> DataFrame:
 
 def unit_rates(matrix: DataFrame, reference: DataFrame) -> DataFrame:
     """Rate of every norm: amount times the reference price of the label, by class; a blank price counts 0."""
-    joined = matrix.join(reference.select("label", F.col("price").alias("reference_price")), "label", "left")
+    return _by_class(matrix.join(reference.select("label", F.col("price").alias("reference_price")), "label", "left"))
+
+
+def _by_class(cells: DataFrame) -> DataFrame:
+    """Sums of amount times reference price of every norm, by class and in all."""
     worth = F.col("amount") * F.coalesce("reference_price", F.lit(0.0))
     parts = [F.round(F.coalesce(F.sum(F.when(F.col("cls") == c, worth)), F.lit(0.0)), 4).alias(c) for c in L.RATE_CLASSES]
-    return joined.groupBy("norm_ID").agg(*parts, F.round(F.sum(worth), 4).alias("rate"))
+    return cells.groupBy("norm_ID").agg(*parts, F.round(F.sum(worth), 4).alias("rate"))
 
 
 def rates(lines: DataFrame) -> DataFrame:
@@ -103,6 +110,27 @@ def rates(lines: DataFrame) -> DataFrame:
     return unit_rates(cells.drop("price"), cells.groupBy("label").agg(F.min_by("price", "norm_ID").alias("price")))
 
 
+def rates_of(wanted: DataFrame, content: DataFrame, consumption: DataFrame, prices: DataFrame, kind: str = "kind_Code") -> DataFrame:
+    """As ``rates`` of all priced lines, for the ``wanted`` norms (norm_ID, distinct) alone; reference prices come from all lines.
+
+    Labels and prices are those of a consumption row, so they are found before the lines are joined: no line carries a text of its resource.
+    ``content`` (vol, norm_ID, cons_ID, cont_Amount), ``prices`` (res_ID, price).
+    """
+    on = ["vol", "cons_ID"]
+    rows, (_, _, cls, label) = _named(consumption, kind)
+    known = stored(price_lines(rows.select(*on, "master_res_ID", cls, label), prices).drop("master_res_ID"), "resources")
+    # the first line of a label is the first one of one of its rows
+    first = known.join(content.groupBy(*on).agg(F.min("norm_ID").alias("norm_ID")), on)
+    reference = first.groupBy("label").agg(F.min_by("price", F.struct("norm_ID", "cons_ID")).alias("reference_price"))
+    labels = stored(reference.withColumn("label_ID", F.monotonically_increasing_id()), "labels")
+    cells = known.drop("price").join(shuffled(labels), "label").drop("label")
+    lines = content.join(wanted, "norm_ID", "left_semi").join(shuffled(cells), on).repartition("norm_ID")
+    # one exchange by norm serves both groupings
+    matrix = lines.select("norm_ID", "cons_ID", "cls", "label_ID", "reference_price", F.coalesce("cont_Amount", F.lit(0.0)).alias("amount")).groupBy(
+        "norm_ID", "label_ID", "reference_price").agg(F.max_by("amount", F.struct("cons_ID", "amount")).alias("amount"), F.min_by("cls", F.struct("cons_ID", "cls")).alias("cls"))
+    return _by_class(matrix)
+
+
 BLOCK_KEYS = ["chapter", "section", "subsection"]
 
 

@@ -18,6 +18,7 @@ from costbook.plans.books import BILL, bill, coded_norms
 from costbook.plans.prices import ANCHOR, PACK, PRICED, usage
 from costbook.plans.registry import register
 from costbook.plans.scalars import TITLES, pick
+from costbook.session import stored
 from costbook.sources.bindings import define_view
 
 DOCUMENTS = ["A", "B", "C", "D", "E"]
@@ -65,13 +66,16 @@ ur AS (SELECT mx.norm_ID, """ + ", ".join(f"round(coalesce(sum(CASE WHEN mx.cls
 """
 
 
+def pack_prices(t):
+    return R.latest_price_row(t.resource_price).filter(F.col("pack") == PACK).select("res_ID", "price")
+
+
 def priced_lines(t, norms=None):
     content = volume_content(t.content, t.norm)
     if norms is not None:
         content = content.join(norms, "norm_ID", "left_semi")
     lines = U.resource_lines(content, t.consumption, ["vol", "cons_ID"])
-    prices = R.latest_price_row(t.resource_price).filter(F.col("pack") == PACK).select("res_ID", "price")
-    return U.price_lines(lines, prices)
+    return U.price_lines(lines, pack_prices(t))
 
 
 @register("a28_resource_registry", "WITH " + RES + """
@@ -172,10 +176,11 @@ SELECT b.disc, b.cat, b.subcat, b.boq_code, b.strict_ID AS norm_ID, c3.chap_Name
 FROM resolved b JOIN norm n ON n.norm_ID = b.strict_ID JOIN chapter c1 ON c1.chap_ID = n.chap_ID JOIN chapter c2 ON c2.chap_ID = c1.chap_PID JOIN chapter c3 ON c3.chap_ID = c2.chap_PID
 LEFT JOIN ur ON ur.norm_ID = b.strict_ID""")
 def _(t):
-    found = B.resolve_codes(bill(t), coded_norms(t)).filter(F.col("strict_ID").isNotNull()).select(
-        "disc", "cat", "subcat", "boq_code", F.col("strict_ID").alias("norm_ID"))
+    # packed, as both the book and its norms are read from it
+    found = stored(B.resolve_codes(bill(t), coded_norms(t)).filter(F.col("strict_ID").isNotNull()).select(
+        "disc", "cat", "subcat", "boq_code", F.col("strict_ID").alias("norm_ID")), "found")
     paths = H.chapter_paths(t.chapter).select("chap_ID", *H.split_levels(F.col("names"), fourth=True)).drop("level4")
-    rates = U.rates(priced_lines(t))
+    rates = U.rates_of(found.select("norm_ID").distinct(), volume_content(t.content, t.norm), t.consumption, pack_prices(t))
     return found.join(t.norm.select("norm_ID", "chap_ID"), "norm_ID").join(paths, "chap_ID").join(rates, "norm_ID", "left").drop("chap_ID")
 
 
