@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
@@ -38,6 +42,23 @@ class Words(dict):
         found = WORD.findall((text or "").lower())
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
+    def of_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``of`` for many texts: the hashes of all of them in order, and of each hash the place of its text."""
+        spaced = pc.utf8_trim(pc.replace_substring_regex(pa.array([(x or "").lower() for x in texts], pa.string()), between(), " "), " ")
+        found = pc.split_pattern(pc.if_else(pc.equal(spaced, ""), None, spaced), " ")
+        # each distinct word is looked up once
+        words = found.flatten().dictionary_encode()
+        hashes = np.fromiter(map(self.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(words.dictionary))
+        counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+        return hashes[words.indices.to_numpy()], np.repeat(np.arange(len(texts)), counts)
+
+
+@lru_cache(maxsize=1)
+def between() -> str:
+    """What lies between two words as a pattern of Arrow's, its letters and digits those of ``WORD``."""
+    runs = [[c for _, c in run] for held, run in groupby(((WORD.match(chr(c)) is not None, c) for c in range(sys.maxunicode + 1)), lambda x: x[0]) if held]
+    return "[^" + "".join(rf"\x{{{run[0]:x}}}-\x{{{run[-1]:x}}}" for run in runs) + "]+"
+
 
 def joined(*parts: np.ndarray) -> np.ndarray:
     """One hash of several aligned arrays of hashes; their order counts."""
